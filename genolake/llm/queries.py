@@ -3,9 +3,15 @@ expresses them, so tests hold them against brute force."""
 
 from __future__ import annotations
 
+from genolake.llm.bpe import op7_bpe
+from genolake.llm.packing import op3_packing
+from genolake.llm.piecewise import op9_piecewise
 from genolake.llm.simhash import op5_simhash
 
 QUERIES = {
+    "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
+    "op7_bpe": op7_bpe,
+    "op9_piecewise": op9_piecewise,
 }
 ORACLE_SQL: dict[str, str] = {}
