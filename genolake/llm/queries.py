@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from genolake.llm.bpe import op7_bpe
 from genolake.llm.packing import op3_packing
+from genolake.llm.pii import op6_pii
 from genolake.llm.piecewise import op9_piecewise
 from genolake.llm.simhash import op5_simhash
 
 QUERIES = {
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
+    "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
     "op9_piecewise": op9_piecewise,
 }
