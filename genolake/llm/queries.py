@@ -4,16 +4,20 @@ expresses them, so tests hold them against brute force."""
 from __future__ import annotations
 
 from genolake.llm.bpe import op7_bpe
+from genolake.llm.language import op1_language
 from genolake.llm.packing import op3_packing
 from genolake.llm.pii import op6_pii
 from genolake.llm.piecewise import op9_piecewise
+from genolake.llm.quality import op10_quality
 from genolake.llm.simhash import op5_simhash
 
 QUERIES = {
+    "op1_language": op1_language,
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
     "op9_piecewise": op9_piecewise,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
