@@ -10,6 +10,7 @@ from genolake.llm.pii import op6_pii
 from genolake.llm.piecewise import op9_piecewise
 from genolake.llm.quality import op10_quality
 from genolake.llm.simhash import op5_simhash
+from genolake.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_language": op1_language,
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_piecewise": op9_piecewise,
     "op10_quality": op10_quality,
 }
