@@ -11,10 +11,12 @@ from genolake.llm.piecewise import op9_piecewise
 from genolake.llm.quality import op10_quality
 from genolake.llm.simhash import op5_simhash
 from genolake.llm.toxicity import op8_toxicity
+from genolake.llm.vectors import op4_vectors
 
 QUERIES = {
     "op1_language": op1_language,
     "op3_packing": op3_packing,
+    "op4_vectors": op4_vectors,
     "op5_simhash": op5_simhash,
     "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
