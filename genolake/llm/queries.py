@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from genolake.llm.bpe import op7_bpe
 from genolake.llm.language import op1_language
+from genolake.llm.lm import op2_lm
 from genolake.llm.packing import op3_packing
 from genolake.llm.pii import op6_pii
 from genolake.llm.piecewise import op9_piecewise
@@ -15,6 +16,7 @@ from genolake.llm.vectors import op4_vectors
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_lm": op2_lm,
     "op3_packing": op3_packing,
     "op4_vectors": op4_vectors,
     "op5_simhash": op5_simhash,
