@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,3 +81,27 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until no column of df has it (names are compared without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_result(docs: DataFrame, name: str, kind: DataType, make: Callable[[], Callable[[list[str | None]], pa.Array]]) -> DataFrame:
+    """docs with one more column, computed from the column text batch by batch where the rows are read: no shuffle.
+
+    make() is called once in each task. name must be free (see free_name).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for b in batches:
+            yield b.append_column(name, compute(b.column(at).to_pylist()))
+
+    at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, kind)]))

@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from genolake.llm.common import bucket, small_batches, table
+from genolake.llm.common import bucket, free_name, small_batches, table, with_result
 from genolake.llm.fitting import bounded_sample, fitted
 
 BINS = 1 << 16
@@ -125,6 +126,28 @@ def identify(docs: DataFrame, model: bytes) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: bytes, least_share: float = 0.4) -> DataFrame:
+    """The rows of docs whose main language has a share of at least least_share; texts without a letter go.
+
+    A null lang is filled with the language found; all other columns stay as they are. Repeated rows stay.
+    """
+    name = free_name(docs, "language_found")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        languages, logp = pickle.loads(shared.value)
+
+        def main(text: str | None) -> str | None:
+            found = proportions(text, languages, logp)
+            best = max(found, key=lambda k: (found[k], k), default=None)
+            return best if best is not None and found[best] >= least_share else None
+
+        return lambda texts: pa.array(list(map(main, texts)), pa.string())
+
+    kept = with_result(docs, name, StringType(), make).where(F.col(name).isNotNull())
+    return kept.withColumn("lang", F.coalesce("lang", name)).drop(name)
+
+
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, bucket("doc_id", 3) != 1)

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from genolake.llm.common import small_batches, table
+from genolake.llm.common import free_name, small_batches, table, with_result
 from genolake.llm.fitting import bounded_sample, fitted
 
 BINS = 1 << 18
@@ -96,6 +97,22 @@ def learn(docs: DataFrame, ratings: DataFrame, most: int = DOCS_PER_GRADE) -> by
     return fitted(bounded_sample(rows, most, ["grade"]), fit)
 
 
+def graded(texts: list[bytes | None], model: tuple, least: int) -> tuple[pa.Array, pa.Array]:
+    """(expected grade, probability of grade `least` or more) of each text."""
+    grades, w, cuts = model
+    z = np.zeros(len(texts))
+    for k, text in enumerate(texts):
+        bins, values = features(text or b"")
+        z[k] = float(w[bins] @ values)
+    if len(grades) < 2:
+        same = grades[0] if grades else None
+        return pa.array([same] * len(z), pa.float64()), pa.array([float(same is not None and same >= least)] * len(z), pa.float64())
+    above = sigmoid(z[:, None] - cuts)
+    j = int(np.searchsorted(grades, least))
+    tail = np.ones(len(z)) if j == 0 else np.zeros(len(z)) if j == len(grades) else above[:, j - 1]
+    return pa.array(grades[0] + above @ np.diff(np.array(grades, float))), pa.array(tail, pa.float64())
+
+
 def grade(docs: DataFrame, model: bytes, least: int = 1) -> DataFrame:
     """docs' doc_id with expected_grade and tail (probability of grade `least` or more), for every row.
 
@@ -105,33 +122,39 @@ def grade(docs: DataFrame, model: bytes, least: int = 1) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grades, w, cuts = pickle.loads(shared.value)
         for b in batches:
-            z = np.zeros(b.num_rows)
-            for k, text in enumerate(b.column(1).to_pylist()):
-                bins, values = features(text or b"")
-                z[k] = float(w[bins] @ values)
-            if len(grades) < 2:
-                expected, tail = [grades[0] if grades else None] * len(z), [float(bool(grades) and grades[0] >= least)] * len(z)
-            else:
-                above = sigmoid(z[:, None] - cuts)
-                expected = grades[0] + above @ np.diff(np.array(grades, float))
-                j = int(np.searchsorted(grades, least))
-                tail = np.ones(len(z)) if j == 0 else np.zeros(len(z)) if j == len(grades) else above[:, j - 1]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], ["doc_id", "expected_grade", "tail"])
+            expected, tail = graded(b.column(1).to_pylist(), pickle.loads(shared.value), least)
+            yield pa.RecordBatch.from_arrays([b.column(0), expected, tail], ["doc_id", "expected_grade", "tail"])
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, expected_grade double, tail double")
 
 
+KEEP_TAIL = 0.3
+
+
+def accepted(docs: DataFrame, model: bytes, least: int = 1, tail: float = KEEP_TAIL) -> DataFrame:
+    """The rows of docs with a probability of at least `tail` for grade `least` or more; all columns stay.
+
+    A model that saw under two grades can't tell, so then every row is kept. Repeated rows stay.
+    """
+    if len(pickle.loads(model)[0]) < 2:
+        return docs
+    name = free_name(docs, "grade_tail")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        known = pickle.loads(shared.value)
+        return lambda texts: graded([None if t is None else t.encode("utf-8", "replace") for t in texts], known, least)[1]
+
+    return with_result(docs, name, DoubleType(), make).where(F.col(name) >= tail).drop(name)
+
+
 def ratings(labels: DataFrame) -> DataFrame:
     """Grades 0 to 2 from the label table: poor, good but toxic, good."""
     return labels.where("quality is not null").select("doc_id", (F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))).cast("int").alias("grade"))
 
 
-KEEP_TAIL = 0.3
-
-
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, ratings(table(spark, sf_dir, "labels")))

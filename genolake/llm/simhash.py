@@ -9,8 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from genolake.llm.common import Scratch, components, small_batches, table
+from genolake.llm.common import Scratch, components, free_name, small_batches, table, with_result
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -64,6 +65,13 @@ def close_fingerprints(fps: DataFrame) -> DataFrame:
     return probes.join(stored, "key").where((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
+def groups(hashed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, root) for each distinct fingerprint of hashed: root is the same for all fingerprints linked by a chain."""
+    nodes = scratch.save(hashed.select("fp").distinct(), "distinct")
+    roots = components(hashed.sparkSession, close_fingerprints(nodes), scratch)
+    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
@@ -72,12 +80,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fingerprints are joined. Empty and null texts have fingerprint 0 and link like any others. Repeated rows stay, each
     with the same component. A null doc_id gets the component of its fingerprint (null if no other id is there).
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
+    scratch = Scratch(docs.sparkSession, "simhash")
     hashed = scratch.save(simhash(docs), "fingerprints")
-    nodes = hashed.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(spark, close_fingerprints(nodes.select("fp")), scratch)
-    linked = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = hashed.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups(hashed, scratch), "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = linked.join(least, "root").select("fp", "component_id")
     return hashed.join(of_fp, "fp").select(
@@ -85,5 +90,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one with the least doc_id (null ids last, then the first
+    written of equal ones). All columns stay. Groups are as in near_duplicates()."""
+    scratch = Scratch(docs.sparkSession, "deduplicated")
+    fp, row = free_name(docs, "fp"), free_name(docs, "row")
+
+    def make():
+        return lambda texts: pa.array(np.array([fingerprint(t.encode() if t else None) for t in texts], np.uint64).view(np.int64))
+
+    hashed = scratch.save(with_result(docs, fp, LongType(), make).withColumn(row, F.monotonically_increasing_id()), "hashed")
+    slim = hashed.select(F.col(fp).alias("fp"), F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("row"))
+    first = F.min(F.struct("no_id", "doc_id", "row"))
+    best = slim.groupBy("fp").agg(first.alias("best")).join(groups(slim, scratch), "fp").groupBy("root").agg(F.min("best").alias("best"))
+    kept = best.select(F.col("best.row").alias(row))
+    return hashed.join(kept, row, "left_semi").drop(fp, row)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
