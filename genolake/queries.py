@@ -72,7 +72,7 @@ def _(spark, d):
     return ranges.group_adjacent(fx.gone(spark, d), ["seq_index"])
 
 
-@query("q5_gap_counts", "cells spans", "SELECT s.seq_index, CASE WHEN size=1 THEN 0 ELSE coalesce(b,size) END::INT "leading", CASE WHEN size=1 OR b IS NULL THEN 0 ELSE g-b-(size-e) END::INT "internal", CASE WHEN size=1 OR b IS NULL THEN 0 ELSE size-e END::INT "trailing", CASE WHEN size=1 THEN 0 ELSE g END::INT "total" FROM spans s JOIN (SELECT seq_index, count(*) FILTER (qry='-') g FROM cells GROUP BY 1) c USING (seq_index)")
+@query("q5_gap_counts", "cells spans", "SELECT s.seq_index, CASE WHEN size=1 THEN 0 ELSE coalesce(b,size) END::INT \"leading\", CASE WHEN size=1 OR b IS NULL THEN 0 ELSE g-b-(size-e) END::INT \"internal\", CASE WHEN size=1 OR b IS NULL THEN 0 ELSE size-e END::INT \"trailing\", CASE WHEN size=1 THEN 0 ELSE g END::INT \"total\" FROM spans s JOIN (SELECT seq_index, count(*) FILTER (qry='-') g FROM cells GROUP BY 1) c USING (seq_index)")
 def _(spark, d):
     return nuc.gap_summary(ref_and_aligned(spark, d)[1])
 
