@@ -738,9 +738,9 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select("path", "tag", "updated_at", F.col("attributes")["deprecated"].alias("deprecated"))
 
 
-@query("d1_list_datasets", "cat", f"SELECT * FROM ({LATEST.format('')}) WHERE deprecated='false' AND path ILIKE '%steel%'")
+@query("d1_list_datasets", "cat", f"SELECT * FROM ({LATEST.format('')}) WHERE deprecated='false' AND path ILIKE '%brand#1%'")
 def _(spark, d):
-    return flat(catalog.list_datasets(catalogue(spark, d), search="STEEL"))
+    return flat(catalog.list_datasets(catalogue(spark, d), search="BRAND#1"))
 
 
 @query("d2_latest_versions", "cat", LATEST.format(" WHERE tag<>'unreleased'"))
