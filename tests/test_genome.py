@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from genolake.functions.mutations import parse_mutation
 from genolake.functions.seq import codon_table, gap_counts, reverse_complement, translate_codons
 from genolake.operators import aa, align, catalog, detect, muts, nuc, qc, ranges, results, tree
+from genolake.plans.scratch import cut_lineage
 from genolake.sources import fasta, tables
 
 
@@ -168,6 +169,13 @@ def test_global_datasets_match_a_plain_loop(spark):
     assert [(r[1], r[3], r[4]) for r in got] == [w for _, w in want]
 
 
+def test_global_datasets_leave_no_sequence_unmatched(spark):
+    hits = spark.createDataFrame([(s, s, f"d{s}", 20, 0.5, 1) for s in range(23)], "seq_index long, ref_id long, name string, n_hits long, score double, rank int")
+    found = cut_lineage(detect.global_datasets(hits))
+    assert {r.ref_id for r in found.collect()} == set(range(23))
+    assert {r.seq_index: r.name for r in detect.assign_global(hits.select("seq_index"), hits, found).collect()} == {s: f"d{s}" for s in range(23)}
+
+
 def full_score(q, r, cost):
     h, gap_r = np.zeros((len(r) + 1, len(q) + 1)), np.full((len(r) + 1, len(q) + 1), -1e9)
     for i in range(1, len(r) + 1):
