@@ -1,20 +1,29 @@
-"""Operator 5: SimHash near-duplicates by multi-index hashing."""
+"""Operator 5: SimHash near-duplicates by multi-index hashing. The pipeline's stage keeps one of each similar text instead
+(one_of_similar), by word shingles."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
 from genolake.llm.common import Scratch, components, free_name, small_batches, table, with_result
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
+#: The stage: words of a shingle and least Jaccard similarity; bands and minima in each. Two texts of similarity s meet in
+#: a band with a chance of 1 - (1 - s^ROWS)^BANDS: 0.9997 at 0.8.
+SIMILAR_WORDS = 5
+SIMILAR = 0.8
+BANDS, ROWS = 20, 5
+#: Odd factors, one for each minimum: a permutation of 64-bit hashes each.
+FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes | None, n_words: int = SHINGLE_WORDS) -> int:
@@ -107,5 +116,101 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return hashed.join(kept, row, "left_semi").drop(fp, row)
 
 
+def shingles(text: bytes | None, n_words: int = SIMILAR_WORDS) -> tuple[bytes, np.ndarray]:
+    """The normalised text (as in fingerprint()) and the sorted distinct hashes of its word shingles. A text of fewer words
+    is one shingle, an empty one too."""
+    words = (text or b"").lower().split()
+    joined = b" ".join(words)
+    if len(words) <= n_words:
+        return joined, np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - n_words + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return joined, np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[n_words - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band: the hash of its number and minima."""
+    least = np.full(len(FACTORS), ~np.uint64(0))
+    for k in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[k : k + 4096, None] * FACTORS).min(0))
+    return [xxhash.xxh64_intdigest(row.tobytes(), b) - (1 << 63) for b, row in enumerate(least.reshape(BANDS, ROWS))]
+
+
+@lru_cache(maxsize=64)
+def shingles_kept(text: str) -> np.ndarray:
+    return shingles(text.encode())[1]
+
+
+def jaccard(a: str | None, b: str | None) -> float:
+    x, y = shingles_kept(a or ""), shingles_kept(b or "")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def similar_links(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): rows of members(key, me) that share a key and are similar, as far as they decide what is kept.
+
+    In each round the first 1 (then 4, 16, ..) members of a key are its centres, and every member is compared with the
+    centres before it, on all shingles of texts(row, text). Members linked to a centre and the centres leave; the rest goes
+    to the next round, until no key has two. So two members that share a key are both first of their groups only if they
+    were compared and are not similar, and a group of copies costs a pair a member instead of a pair of each two.
+    """
+
+    @F.arrow_udf(BooleanType())
+    def similar(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([jaccard(x, y) >= SIMILAR for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+
+    spark = texts.sparkSession
+    found, centres, k = spark.createDataFrame([], "a long, b long"), 1, 0
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    rest = scratch.save(members.join(shared, "key"), "members0")
+    while not rest.isEmpty():
+        order = Window.partitionBy("key").orderBy("me")
+        first = rest.withColumn("no", F.row_number().over(order)).where(F.col("no") <= centres).select("key", F.col("me").alias("c"))
+        pairs = scratch.save(rest.join(first, "key").where("me > c").select("key", "me", "c"), f"pairs{k}")
+        distinct = pairs.select(F.col("me.row").alias("a"), F.col("c.row").alias("b")).distinct()
+        one, other = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
+        links = scratch.save(distinct.join(one, "a").join(other, "b").where(similar("text_a", "text_b")).select("a", "b"), f"links{k}")
+        found = found.union(links)
+        linked = pairs.join(links, (F.col("me.row") == links.a) & (F.col("c.row") == links.b), "left_semi").select("key", "me")
+        gone = linked.union(first.select("key", F.col("c").alias("me"))).distinct()
+        k, centres = k + 1, min(4 * centres, 256)
+        rest = scratch.save(rest.join(gone, ["key", "me"], "left_anti"), f"members{k}")
+        scratch.drop(f"members{k - 1}")
+        scratch.drop(f"pairs{k - 1}")
+    return found
+
+
+def one_of_similar(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more: the one
+    with the least doc_id (null ids last, then the first written of equal ones). All columns stay.
+
+    Equal normalised texts are collapsed first. Candidates share one of 20 bands of minima and are verified on all their
+    shingles. Every dropped row is linked to a kept one, over others at most; kept rows that share a band are not similar.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    mark, row = free_name(docs, "mark"), free_name(docs, "row")
+    kind = StructType([StructField("digest", BinaryType()), StructField("keys", ArrayType(LongType()))])
+
+    def make():
+        def compute(texts):
+            found = [shingles(t.encode() if t else None) for t in texts]
+            digests = pa.array([xxhash.xxh3_128_digest(joined) for joined, _ in found], pa.binary())
+            return pa.StructArray.from_arrays([digests, pa.array([band_keys(h) for _, h in found], pa.list_(pa.int64()))], ["digest", "keys"])
+
+        return compute
+
+    hashed = scratch.save(with_result(docs, mark, kind, make).withColumn(row, F.monotonically_increasing_id()), "hashed")
+    me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("row"))
+    nodes = scratch.save(hashed.select(F.col(f"{mark}.digest").alias("digest"), me.alias("me")).groupBy("digest").agg(F.min("me").alias("me")).select("me"), "nodes")
+    keys = hashed.select(F.col(row).alias("_row"), F.explode(f"{mark}.keys").alias("key"))
+    members = keys.join(nodes, keys._row == F.col("me.row")).select("key", "me")
+    links = similar_links(members, hashed.select(F.col(row).alias("row"), "text"), scratch)
+    roots = components(docs.sparkSession, links, scratch)
+    best = nodes.join(roots, F.col("me.row") == roots.node, "left").groupBy(F.coalesce("root", "me.row").alias("root")).agg(F.min("me").alias("me"))
+    return hashed.join(best.select(F.col("me.row").alias(row)), row, "left_semi").drop(mark, row)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

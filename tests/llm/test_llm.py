@@ -171,6 +171,35 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs(spark).limit(0)).count() == 0
 
 
+def test_dedup_stage_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    def plain(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 5 else {tuple(w)}
+
+    base, other = words("en", 300).split(), words("de", 90).split()
+    texts = [*TEXTS, " ".join(base), *(" ".join([*base[:k], "zz", *base[k + 1 :]]) for k in range(10, 290, 10))]
+    texts += [" ".join([*other[:30], *(f"x{k}" for _ in range(n)), *other[30:]]) for n in (1, 2, 12, 40, 90) for k in range(3)]
+    sets = [plain(t) for t in texts]
+    like = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    kept = corpus_pipeline.dedup_stage(spark, docs(spark, texts, repeat=2), "").collect()
+    left = sorted(r.doc_id for r in kept)
+    assert kept[0].asDict().keys() == dict.fromkeys(docs(spark).columns).keys() and len(set(left)) == len(left)
+    root, before = list(range(len(texts))), None
+    while root != before:
+        before = root[:]
+        for i, a in enumerate(sets):
+            root[i] = min(root[j] for j, b in enumerate(sets) if like(a, b))
+        root = [root[r] for r in root]
+    assert left == sorted(set(root)) and len(texts) - len(left) > 30
+
+
+def test_similarity_of_shingles():
+    assert simhash.jaccard("a b c d e f", "A  b c d e f\n") == 1 and simhash.jaccard("a b c d e f", "a b c d e g") == 1 / 3
+    assert simhash.jaccard(None, "") == 1 and simhash.jaccard("a b", "a c") == 0
+
+
 def test_close_fingerprints_finds_every_pair_within_two_bits(spark):
     r = random.Random(8)
     fps = {0, (1 << 64) - 1}
