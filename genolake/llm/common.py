@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,8 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b: long) by alternating large-star and small-star steps.
+def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Connected components of edges (a, b: long) by alternating large-star and small-star steps, until none changes an edge.
 
     Returns (node, root) for every node of an edge; root is the least node of its component. The number of rounds
     grows with the logarithm of the component size. Minima are pre-aggregated before each shuffle, so a hub costs
@@ -65,7 +66,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds:
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges0"
     )
     before = None
-    for k in range(1, rounds + 1):
+    for k in count(1):
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break

@@ -217,7 +217,7 @@ def branch_score(muts: DataFrame, masks: DataFrame, keys: list[str]) -> DataFram
     return c.select(*keys, (F.col("n") + F.when(F.col("n_masked") > 0, 0.5).otherwise(0.0) + F.when(F.col("n_other") > 0, 0.1).otherwise(0.0)).alias("score"))
 
 
-def refine_placement(private: DataFrame, nearest: DataFrame, tree_nodes: DataFrame, branch_muts: DataFrame, masks: DataFrame, rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+def refine_placement(private: DataFrame, nearest: DataFrame, tree_nodes: DataFrame, branch_muts: DataFrame, masks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Walks all sequences through the tree at once until none moves: (placements, private mutations there).
 
     In each round a sequence compares the score of what its private mutations share with its own branch (reversed) and
@@ -236,7 +236,7 @@ def refine_placement(private: DataFrame, nearest: DataFrame, tree_nodes: DataFra
     parents = cut_lineage(parents)
     place, priv = nearest.select("seq_index", F.col("node_id").alias("at")), private.select("seq_index", *site)
     going = place
-    for _ in range(rounds):
+    while True:
         shared = going.join(priv.where("cds = 'nuc'"), "seq_index").join(steps, ["at", *site])
         by = ["seq_index", "at", "to", "up", "preorder"]
         scores = branch_score(shared.select(*by, *site), masks, by).join(shared.groupBy(*by).agg(F.count("*").alias("n")), by)

@@ -213,6 +213,17 @@ def test_refinement_moves_to_child_and_parent(spark):
     assert rows(place) == [(10, 2), (11, 1), (12, 1)] and rows(left) == [(12, "nuc", 9, "A", "T")]
 
 
+def test_refinement_goes_on_until_nothing_moves(spark):
+    n = 52
+    nodes = spark.createDataFrame([(k, k - 1 if k else None, k) for k in range(n + 1)], "node_id long, parent_id long, preorder int")
+    site = "cds string, pos int, ref string, qry string"
+    branch = spark.createDataFrame([(k, "nuc", k, "A", "C") for k in range(1, n + 1)], f"node_id long, {site}")
+    private = spark.createDataFrame([(10, "nuc", k, "A", "C") for k in range(1, n + 1)], f"seq_index long, {site}")
+    near, masks = spark.createDataFrame([(10, 0)], "seq_index long, node_id long"), spark.createDataFrame([], "begin int, end int")
+    place, left = tree.refine_placement(private, near, nodes, branch, masks)
+    assert rows(place) == [(10, n)] and left.isEmpty()
+
+
 def test_fasta(spark, tmp_path):
     p = tmp_path / "a.fasta"
     p.write_text("\n\n>seq1 some > text\nacg-t\nN*\n>seq2\nTT\n")
