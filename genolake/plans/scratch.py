@@ -5,17 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared checkpoint folder and read again: loops keep short plans, and a lost executor
-    costs no earlier round. Without such a folder (tests) a temporary one is set."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a session in local mode, where the driver is the
+    executor, may do without: it gets a temporary folder. On a cluster a missing setting is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-ck-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/lineage-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path below the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: loops keep short plans, and a lost executor costs no
+    earlier round."""
+    path = new_folder(df.sparkSession, "lineage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from genolake.functions.mutations import mutation_text, parse_mutation
 from genolake.functions.seq import CODES, COMPLEMENTS, codon_table, reverse_complement
 from genolake.operators import aa, align, catalog, detect, muts, nuc, qc, ranges, results, tree
 from genolake.plans import fixtures as fx
-from genolake.plans.scratch import cut_lineage
+from genolake.plans.scratch import cut_lineage, new_folder
 from genolake.sources import fasta, tables
 from genolake.streaming import runs
 
@@ -757,15 +757,7 @@ def _(spark, d):
 
 
 def folder(spark) -> str:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-ck-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/query-{uuid.uuid4().hex}"
+    return new_folder(spark, "query")
 
 
 @query("s1_read_fasta", "rawseqs", "SELECT 's' || doc_id || ' ' || lang AS seq_name, translate(s0,'-','') seq FROM rawseqs JOIN documents ON doc_id=seq_index")
