@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import count
@@ -12,21 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from genolake.plans.scratch import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in local tests a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-ck-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
 class Scratch:
     """Parquet tables in the shared folder: they cut lineage and survive the loss of executors."""
 
@@ -50,9 +41,23 @@ def bucket(column: str, n: int, seed: str = "") -> F.Column:
     return F.crc32(F.concat(F.col(column).cast("string"), F.lit(seed)).cast("binary")) % n
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what a Python worker holds at once, as texts may be very long."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Bounds the rows and bytes that a Python worker gets at once, as texts may be very long. These are settings of the
+    session that change no result; a query's plan takes them up when it runs, so they aren't set back here."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def text_chunks(texts: list[str | bytes | None], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts have about `most` bytes (or letters) together, at least one row each."""
+    begin = size = 0
+    for k, t in enumerate(texts):
+        size += len(t or "") + 8
+        if size >= most:
+            yield begin, k + 1
+            begin, size = k + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:

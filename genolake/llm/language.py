@@ -19,7 +19,8 @@ from genolake.llm.fitting import bounded_sample, fitted
 BINS = 1 << 16
 ORDERS = (2, 4)
 DOCS_PER_LANGUAGE = 1500
-ROUNDS = 12
+#: EM ends when no share moves by more than this.
+STILL = 1e-4
 #: Log-likelihood that one more language must win: this times the log of the number of n-grams.
 PENALTY = 4.0
 LETTERS = re.compile(r"[^\W\d_]")
@@ -54,21 +55,34 @@ def mixture(logp: np.ndarray) -> tuple[np.ndarray, float]:
     """Proportions and log-likelihood of n-grams (rows) under languages (columns)."""
     top = logp.max(1, keepdims=True)
     p = np.exp(logp - top)
-    share = np.full(logp.shape[1], 1 / logp.shape[1])
-    for _ in range(ROUNDS):
+    share, before = np.full(logp.shape[1], 1 / logp.shape[1]), np.zeros(logp.shape[1])
+    while np.abs(share - before).max() > STILL:  # EM raises the likelihood each round, and shares converge
         weighted = p * share
         weighted /= weighted.sum(1, keepdims=True)
-        share = weighted.mean(0)
+        share, before = weighted.mean(0), share
     return share, float(np.log(p @ share).sum() + top.sum())
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of a Unicode letter category; the pattern also finds signs like ² that are none."""
+    return any(m.group().isalpha() for m in LETTERS.finditer(text))
+
+
+def certainty(x: np.ndarray) -> float:
+    """0.5 to 1: how far the likeliest single language is ahead of the next, in units of the penalty."""
+    if x.shape[1] < 2:
+        return 1.0
+    second, first = np.sort(x.sum(0, dtype=np.float64))[-2:]
+    return float(1 / (1 + np.exp(-(first - second) / (PENALTY * math.log(len(x) + 1) * len(ORDERS)))))
+
+
 def proportions(text: str | None, languages: list[str], logp: np.ndarray) -> dict[str, float]:
     """Language shares of one text, over the set of languages with the best penalised likelihood; empty without letters.
 
     The set starts with the likeliest single language and takes in the next likeliest while that wins more than the
     penalty (a language whose slope at share 0 is too small for that is not tried). n-grams overlap, so their log-likelihood is scaled down by the number of orders.
     """
-    if not text or not LETTERS.search(text) or not languages:
+    if not text or not languages or not has_letter(text):
         return {}
     x = logp[grams(text)]
     if not len(x):
@@ -101,20 +115,24 @@ def learn(docs: DataFrame, training: F.Column, most: int = DOCS_PER_LANGUAGE) ->
 def identify(docs: DataFrame, model: bytes) -> DataFrame:
     """(doc_id, lang_pred, score, languages, shares) of every row; `und` and score 0 if the text is null or has no letter.
 
-    lang_pred has the largest share, which is the score. With a model fitted on no row every text is `und`.
+    lang_pred has the largest share. The score is that share times the certainty that no other single language fits the
+    text better; equal shares go to the last name in order. A null doc_id stays, a repeated row stays as often. Very long
+    texts are read whole. With a model fitted on no row every text is `und`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, logp = pickle.loads(shared.value)
         for b in batches:
-            found = [proportions(t, languages, logp) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            found = [proportions(t, languages, logp) for t in texts]
+            sure = [certainty(logp[grams(t)]) if f else 0.0 for t, f in zip(texts, found, strict=True)]
             best = [max(f, key=lambda k: (f[k], k)) if f else "und" for f in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
                     pa.array(best, pa.string()),
-                    pa.array([f.get(k, 0.0) for f, k in zip(found, best, strict=True)], pa.float64()),
+                    pa.array([f.get(k, 0.0) * c for f, k, c in zip(found, best, sure, strict=True)], pa.float64()),
                     pa.array([list(f) for f in found], pa.list_(pa.string())),
                     pa.array([list(f.values()) for f in found], pa.list_(pa.float64())),
                 ],
@@ -149,6 +167,8 @@ def accepted(docs: DataFrame, model: bytes, least_share: float = 0.4) -> DataFra
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, languages, shares) of every row of documents, learnt from those whose
+    crc32(doc_id as text) mod 3 is not 1. The defined results for nulls, empties, ties, repeats are those of identify()."""
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, bucket("doc_id", 3) != 1)
     return identify(docs, model).select(

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from genolake.llm import bpe, language, lm, packing, pii, piecewise, quality, simhash, toxicity, vectors
+from genolake.llm import bpe, fitting, language, lm, packing, pii, piecewise, quality, simhash, toxicity, vectors
 from genolake.llm.common import Scratch, components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, row int, language_found string, grade_tail string"
@@ -53,9 +53,28 @@ def test_language(spark):
 def test_language_mixture_matches_plain_em():
     logp = np.log(np.random.default_rng(0).dirichlet(np.ones(3), 200))
     share = np.ones(3) / 3
-    for _ in range(language.ROUNDS):
+    for _ in range(500):
         share = np.mean([np.exp(r) * share / (np.exp(r) @ share) for r in logp], 0)
-    assert np.allclose(language.mixture(logp)[0], share)
+    assert np.allclose(language.mixture(logp)[0], share, atol=5e-3)
+
+
+def test_letters_are_unicode_letters():
+    assert not any(map(language.has_letter, ("²", "½", "Ⅷ", "①", "12 _ 3", "")))
+    assert all(map(language.has_letter, ("1a", "² ñ", "漢")))
+
+
+def test_samples_are_bounded_at_any_count():
+    for most, n in ((1500, 10), (1500, 1500), (1500, 10**6), (1500, 2 * 10**9), (1500, 10**10), (1500, 10**14)):
+        share = fitting.below(most, n) / fitting.DRAWS
+        assert share > 0 and abs(share - min(1, most / n)) <= 1e-6 * share
+
+
+def test_fitting_takes_no_more_than_its_bytes(spark):
+    rows = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "doc_id long, text string").repartition(7)
+    fit = lambda rows: ",".join(str(r["doc_id"]) for r in rows).encode()
+    some = fitting.fitted(rows, fit, 10_000).decode().split(",")
+    assert len(some) == 11 and some == fitting.fitted(rows.repartition(3), fit, 10_000).decode().split(",")
+    assert len(fitting.fitted(rows, fit).decode().split(",")) == 50 and fitting.fitted(rows.limit(0), fit) == b""
 
 
 def test_lm_base_is_exact_and_scores_are_log_probabilities(spark):
@@ -143,6 +162,49 @@ def test_vectors(spark):
     assert out[905].n_links == out[906].n_links == 1 and out[906].component_id == 905
 
 
+@pytest.mark.parametrize("n", [6_000, 50_000, 500_000])
+def test_filters_catch_pairs_at_any_size(n):
+    rng, at = np.random.default_rng(n), vectors.Rotations(n, 64)
+
+    def filters(x):
+        row, code = at.decode(x / np.linalg.norm(x, axis=1, keepdims=True))
+        return [set(c.tolist()) for c in np.split(code, np.searchsorted(row, np.arange(1, len(x))))]
+
+    x = rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = filters(x)
+    assert min(map(len, own)) >= vectors.ROTATIONS * vectors.FLOOR and np.mean(list(map(len, own))) < 14
+    for cosine in (0.951, 0.97, 0.99):
+        z = rng.standard_normal(x.shape)
+        z -= (z * x).sum(1, keepdims=True) * x
+        y = cosine * x + math.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        assert np.mean([bool(a & b) for a, b in zip(own, filters(y), strict=True)]) >= 0.98
+
+
+def test_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 64))
+    for k in range(0, 2000, 2):  # pairs just over and just under the bar, and a chain of links
+        z = rng.standard_normal(64)
+        u = x[k] / np.linalg.norm(x[k])
+        z -= (z @ u) * u
+        x[k + 1] = (0.951 if k % 4 else 0.949) * u + math.sqrt(1 - 0.95**2) * z / np.linalg.norm(z)
+    for k in range(3000, 3020):
+        x[k] = x[k - 1] / np.linalg.norm(x[k - 1]) + 0.02 * rng.standard_normal(64)
+    ids = [None if i == 3999 else i for i in range(4000)]
+    x[3999] = x[3010]
+    rows = [(i, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)] + [(5, [float(v) for v in x[2500]])]
+    got = {(r.vec_id, r.n_links): r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = np.array([r[1] for r in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    links = near.sum(1) - 1
+    found = [(i, int(n)) in got for i, n in zip([*ids, 5], links, strict=True)]
+    assert np.mean(np.array(found)[links > 0]) >= 0.97 and all(np.array(found)[links == 0])
+    assert got[None, int(links[3999])].component_id <= 3010
+    assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
 def test_simhash(spark):
     import xxhash
 
@@ -217,28 +279,55 @@ def test_components(spark):
     assert all(got[k] == 1 for k in range(1, 31)) and got[50] == got[41] == 40 and all(got[k] == 70 for k in range(70, 90)) and 60 not in got
 
 
+def luhn(s: str) -> int:
+    return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10
+
+
+def plain_permutation(x: int, n: int, key: str, tag: str) -> int:
+    """The Feistel network and its walk in plain Python."""
+
+    def keyed(*parts) -> int:
+        return int(hashlib.sha256("|".join(map(str, (key, *parts))).encode()).hexdigest()[:15], 16)
+
+    a = math.ceil(math.sqrt(n))
+    b = -(-n // a)
+    while True:
+        left, right = divmod(x, b)
+        for k in range(pii.ROUNDS):
+            if k % 2 == 0:
+                left = (left + keyed(tag, n, k, right)) % a
+            else:
+                right = (right + keyed(tag, n, k, left)) % b
+        x = left * b + right
+        if x < n:
+            return x
+
+
 def test_pii(spark):
     text = "id 4111111111111111, 4111 1111 1111 1111; b.34@mail7.example.com 10.2.255.1 1999-02-28 1999-02-31 12/31/2001 123-45-6789 +1 (017) 555-7713"
-    d = docs(spark, [text, "again 4111111111111111 on 31.12.2001", "plain text 12, 34.", None, "", "4111111111111112"], repeat=2)
-    out = {r.doc_id: r.text for r in pii.pseudonymise(d).collect()}
-    assert pii.pseudonymise(d).columns == d.columns and pii.pseudonymise(d).count() == 12
+    texts = [text, "again 4111111111111111 on 31.12.2001", "plain text 12, 34.", None, "", "4111111111111112", f"{pii.EDGE} 4111-1111-1111-1111", "3782 822463 10005"]
+    d = docs(spark, [*texts, "x 1 " * 50_000 + "4111111111111111"], repeat=2)
+    out = {r.doc_id: r.text for r in pii.pseudonymise(d, "k").collect()}
+    assert pii.pseudonymise(d, "k").columns == d.columns and pii.pseudonymise(d, "k").count() == 18
+    assert pii.pseudonymise(d.limit(0), "k").count() == 0
     number = out[1].split()[1]
-    assert number != "4111111111111111" and len(number) == 16 and out[0].split()[1] == number + ","
-
-    def luhn(s):
-        return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10
-
-    assert luhn(number) == 0 and luhn(out[5]) == luhn("4111111111111112")
+    assert out[0].split()[1] == number + "," and luhn(number) == 0
+    assert number[:15] == str(plain_permutation(411111111111111, 10**15, "k", "number")).zfill(15)
+    assert out[5] == "4111111111111112"  # a wrong check digit: no such number
+    assert out[6] == f"{pii.EDGE} " + "-".join(number[k : k + 4] for k in range(0, 16, 4))
+    assert out[7] != "3782 822463 10005" and luhn(out[7].replace(" ", "")) == 0 and [len(x) for x in out[7].split()] == [4, 6, 5]
     assert out[0].split()[2:6] == [f"{number[k:k+4]}" + (";" if k == 12 else "") for k in range(0, 16, 4)]
-    for secret in ("b.34@", "10.2.255.1", "1999-02-28", "12/31/2001", "123-45-6789", "555-7713"):
+    for secret in ("b.34@", "mail7", "example", "10.2.255.1", "1999-02-28", "12/31/2001", "123-45-6789", "555-7713"):
         assert secret not in out[0]
     assert "1999-02-31" in out[0] and out[2] == "plain text 12, 34." and out[3] is None and out[4] == ""
+    assert out[8] == "x 1 " * 50_000 + number
+    assert {r.text for r in pii.pseudonymise(d.where("doc_id = 1"), "other").collect()}.isdisjoint({out[1]})
 
 
 def test_pii_permutations(spark):
     for n in (1, 2, 97, 1000):
         got = [r[0] for r in spark.range(n).select(pii.permuted(pii.F.col("id"), n, "k", "t")).collect()]
-        assert sorted(got) == list(range(n))
+        assert sorted(got) == list(range(n)) and got == [plain_permutation(x, n, "k", "t") for x in range(n)]
     got = {r[0] for r in spark.range(100, 1000).select(pii.permuted_text(pii.F.concat(pii.F.lit("aB"), pii.F.col("id").cast("string")), "k", "t")).collect()}
     assert len(got) == 900 and all(g[0].islower() and g[1].isupper() and g[2:].isdigit() for g in got)
 
