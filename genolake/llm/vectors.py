@@ -13,65 +13,66 @@ from pyspark.sql import functions as F
 from genolake.llm.common import Scratch, components, table
 
 COSINE = 0.95
-#: Vectors expected behind a filter, whatever the table's size, and the recall aimed at for pairs just at COSINE.
+#: Vectors expected behind a filter, whatever the table's size.
 BUCKET = 200
-RECALL = 0.995
+#: Independent rotations, each with a code of its own; a vector takes at least its best FLOOR filters of each. So every
+#: vector has filters, and misses of one rotation are not misses of the next.
+ROTATIONS, FLOOR = 4, 2
+#: A vector passes a filter if it comes this near to its best one of the rotation.
+NEAR_BEST = 0.98
 HOT_ROWS = 2000
 BLOCK_ROWS = 1000
-
-
-def cap_share(alpha: float, dim: int) -> float:
-    """Share of the unit sphere where the inner product with a fixed direction is at least alpha."""
-    t = np.linspace(-1, 1, 200_001)
-    density = np.maximum(0, 1 - t * t) ** ((dim - 3) / 2) if dim > 3 else np.ones_like(t)
-    return float(density[t >= alpha].sum() / density.sum())
-
-
-def plan(n: int, dim: int) -> tuple[float, int, int]:
-    """(alpha, code words a block, blocks) for n vectors: caps hold BUCKET of n random vectors, and there are so many
-    that two vectors at cosine COSINE share one with probability RECALL."""
-    share = min(0.25, BUCKET / max(1, n))
-    low, high = 0.0, 1.0
-    for _ in range(40):
-        mid = (low + high) / 2
-        low, high = (mid, high) if cap_share(mid, dim) > share else (low, mid)
-    alpha = low
-    rng = np.random.default_rng(1)  # how often a vector at COSINE is in a cap that holds the other: by drawing both
-    t = np.linspace(alpha, 1, 4001)
-    density = np.maximum(0, 1 - t * t) ** ((dim - 3) / 2) if dim > 3 else np.ones_like(t)
-    first = rng.choice(t, 20_000, p=density / density.sum())
-    second = COSINE * first + math.sqrt(1 - COSINE**2) * np.sqrt(np.maximum(0, 1 - first**2)) * rng.standard_normal(20_000) / math.sqrt(max(1, dim - 1))
-    both = max(0.05, float(np.mean(second >= alpha)))
-    filters = math.log(1 / (1 - RECALL)) / both / share
-    blocks = min(dim, 2 if filters < 1e4 else 3 if filters < 1e7 else 4)
-    return alpha, max(2, math.ceil(filters ** (1 / blocks))), blocks
+#: Comparisons of filters that are held in memory at once.
+COMPARED = 2_000_000
 
 
 class Caps:
-    """Filter directions are all ways to put one code word of each block side by side, after a random rotation."""
-
-    def __init__(self, n: int, dim: int, seed: int = 11):
-        self.alpha, words, blocks = plan(n, dim)
-        rng = np.random.default_rng([seed, dim])
+    """Filter directions are all ways to put one code word of each block side by side, after a random rotation. There are
+    so many of them that one holds about BUCKET of n random vectors; words a block follow from that, and the number of blocks
+    keeps a block's words below 64, so that scoring all words costs far less than scoring all filters."""
+
+    def __init__(self, n: int, dim: int, rotation: int, seed: int = 11):
+        filters = max(4, FLOOR * n / BUCKET)
+        blocks = min(dim, max(2, math.ceil(math.log(filters, 64))))
+        words = max(2, math.ceil(filters ** (1 / blocks)))
+        rng = np.random.default_rng([seed, dim, rotation])
         turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         edges = np.linspace(0, dim, blocks + 1).astype(int)
-        self.codes = []
+        self.codes, self.first = [], rotation << 56
         for a, b in zip(edges, edges[1:], strict=False):
             c = rng.standard_normal((words, b - a))
             self.codes.append((turn[:, a:b] @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T) / math.sqrt(blocks))
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row of x, filter) for each filter that a row exceeds. Part sums that can't reach alpha any more, even with
-        the best words of the blocks to come, are dropped block by block."""
+        """(row of x, filter) for each filter that a row exceeds: its own bar is NEAR_BEST of its best filter's score, or
+        its FLOOR-th best score where that is lower. Part sums that can't reach the bar any more, even with the best words of
+        the blocks to come, are dropped block by block."""
         scores = [x @ c for c in self.codes]
         best = [s.max(1) for s in scores]
+        # the second best filter of a row changes the one word whose second choice costs least
+        loss = np.min([b - np.partition(s, -2, 1)[:, -2] for b, s in zip(best, scores, strict=True)], 0)
+        top = np.sum(best, 0)
+        bar = np.minimum(NEAR_BEST * top, top - loss if FLOOR > 1 else top) - 1e-12
         row, total, code = np.arange(len(x)), np.zeros(len(x)), np.zeros(len(x), np.int64)
         for k, s in enumerate(scores):
             rest = sum((b[row] for b in best[k + 1 :]), np.zeros(len(row)))
             sums = total[:, None] + s[row]
-            at, word = np.nonzero(sums + rest[:, None] >= self.alpha)
+            at, word = np.nonzero(sums + rest[:, None] >= bar[row][:, None])
             row, total, code = row[at], sums[at, word], code[at] * s.shape[1] + word
-        return row, code
+        return row, code + self.first
+
+
+class Rotations:
+    """The filters of all rotations, for vectors of one dimension."""
+
+    def __init__(self, n: int, dim: int):
+        self.caps = [Caps(n, dim, k) for k in range(ROTATIONS)]
+
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [c.decode(x) for c in self.caps]
+        row, code = np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
+        order = np.lexsort((code, row))
+        return row[order], code[order]
 
 
 def unit(column: pa.Array) -> np.ndarray:
@@ -82,29 +83,25 @@ def unit(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def filtered(reps: DataFrame, n: int, with_vectors: bool) -> DataFrame:
-    """(bucket, dim[, id, copies, filters, vector]): one row for each vector and filter that it exceeds."""
-    names = ["bucket", "dim", *["id", "copies", "filters", "vector"] * with_vectors]
-    caps: dict[int, Caps] = {}
+def filtered(reps: DataFrame, n: int) -> DataFrame:
+    """(bucket, dim, id, filters): one row for each vector and filter that it exceeds, without the vector."""
+    caps: dict[int, Rotations] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(sizes):
                 part = pa.Table.from_batches([b]).filter(pa.array(sizes == dim)).combine_chunks()
-                vectors = part.column(2).chunk(0)
-                row, code = caps.setdefault(int(dim), Caps(n, int(dim))).decode(unit(vectors))
-                columns = [pa.array(code), pa.array(np.full(len(row), dim, np.int32))]
-                if with_vectors:
-                    edges = np.searchsorted(row, np.arange(len(vectors) + 1))  # rows come in order
-                    lists = [code[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)]
-                    take = pa.array(row)
-                    columns += [part.column(0).chunk(0).take(take), part.column(1).chunk(0).take(take), pa.array(lists, pa.binary()).take(take), vectors.take(take)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                row, code = caps.setdefault(int(dim), Rotations(n, int(dim))).decode(unit(part.column(1).chunk(0)))
+                edges = np.searchsorted(row, np.arange(len(part) + 1))  # rows come in order
+                lists = [code[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(code), pa.array(np.full(len(row), dim, np.int32)), part.column(0).chunk(0).take(take), pa.array(lists, pa.binary()).take(take)],
+                    ["bucket", "dim", "id", "filters"],
+                )
 
-    kind = reps.schema["embedding"].dataType.simpleString()
-    schema = "bucket long, dim int" + f", id long, copies long, filters binary, vector {kind}" * with_vectors
-    return reps.select("id", "copies", "embedding").mapInArrow(run, schema)
+    return reps.select("id", "embedding").mapInArrow(run, "bucket long, dim int, id long, filters binary")
 
 
 def verified(group: pa.Table) -> pa.Table:
@@ -125,10 +122,11 @@ def verified(group: pa.Table) -> pa.Table:
         keep = (i < j) & ((left == right) | (side[i] != side[j]))
         i, j = i[keep], j[keep]
         pairs.append((i, j))
-        for c in range(0, len(i), 20_000):
-            p, q = i[c : c + 20_000], j[c : c + 20_000]
-            same = lists[p][:, :, None] == lists[q][:, None, :]
-            first = np.where(same & (lists[p] >= 0)[:, :, None], lists[p][:, :, None], np.iinfo(np.int64).max).min((1, 2))
+        step = max(1, COMPARED // lists.shape[1] ** 2)
+        for c in range(0, len(i), step):
+            p, q = i[c : c + step], j[c : c + step]
+            same = (lists[p][:, :, None] == lists[q][:, None, :]).any(2) & (lists[p] >= 0)
+            first = np.where(same, lists[p], np.iinfo(np.int64).max).min(1)
             p, q = p[first == bucket], q[first == bucket]
             np.add.at(counted, p, copies[q])
             np.add.at(counted, q, copies[p])
@@ -156,8 +154,10 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
 
     Two rows link if their cosine in double precision is at least 0.95; vectors of different lengths never do, nor do
     null, empty or zero ones or any with a null or non-finite component: these have 0 links and their own id as
-    component. Equal vectors are collapsed first and counted with their number, so a group of copies costs one row.
-    A bucket of over HOT_ROWS rows is cut into blocks whose pairs are verified by different tasks; none is dropped.
+    component. Equal vectors are collapsed first and counted with their number, so a group of copies costs one row. Rows
+    with a null or repeated vec_id link like any other; a component without any id has a null component_id.
+    A bucket of over HOT_ROWS rows is cut into blocks whose pairs are verified by different tasks; none is dropped. Vectors
+    travel once to their filters; what decides on blocks is a table of filters alone.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -165,19 +165,24 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     good = (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.coalesce(good, F.lit(False)), x).alias("embedding"))
     valid = rows.where("embedding is not null")
-    reps = scratch.save(valid.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).where("id is not null"), "distinct")
+    reps = valid.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    reps = scratch.save(reps.withColumn("id", F.monotonically_increasing_id()), "distinct")
     n = reps.count()
-    hot = filtered(reps, n, False).groupBy("bucket", "dim").count().where(F.col("count") > HOT_ROWS)
+    coded = scratch.save(filtered(reps, n), "coded")
+    hot = coded.groupBy("bucket", "dim").count().where(F.col("count") > HOT_ROWS)
     hot = hot.select("bucket", "dim", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = filtered(reps, n, True).join(hot, ["bucket", "dim"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = coded.join(hot, ["bucket", "dim"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("*", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")).drop("other", "blocks")
+    dealt = dealt.join(reps.select("id", "copies", F.col("embedding").alias("vector")), "id")
     found = scratch.save(dealt.groupBy("bucket", "dim", "left", "right").applyInArrow(verified, "a long, b long, n long"), "found")
     links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     roots = components(spark, found.where("b is not null").select("a", "b"), scratch)
-    about = reps.join(links, "id", "left").join(roots, reps.id == roots.node, "left")
-    about = about.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    about = reps.join(links, "id", "left").join(roots, reps.id == roots.node, "left").withColumn("root", F.coalesce("root", "id"))
+    about = scratch.save(about.select("embedding", "root", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "about")
+    names = about.groupBy("root").agg(F.min("least").alias("component_id"))
+    about = about.drop("least").join(names, "root").drop("root")
     out = rows.join(about, "embedding", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
@@ -185,4 +190,5 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_vectors() of all rows of embeddings; see there for nulls, repeats and other cases."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
