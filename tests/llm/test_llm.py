@@ -7,9 +7,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from genolake.llm import bpe, fitting, language, lm, packing, pii, piecewise, quality, simhash, toxicity, vectors
+from genolake.llm import bpe, fitting, language, lm, mixing, packing, pii, piecewise, quality, simhash, toxicity, vectors
 from genolake.llm.common import Scratch, components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, row int, language_found string, grade_tail string"
@@ -80,11 +81,11 @@ def test_fitting_takes_no_more_than_its_bytes(spark):
 def test_lm_base_is_exact_and_scores_are_log_probabilities(spark):
     d = docs(spark)
     out = {r.doc_id: r for r in lm.score(d, (d.doc_id % 10) != 0).collect()}
-    train = [lm.tokens((TEXTS[i] or "").encode()) for i in range(len(TEXTS)) if i % 10]
+    train = [lm_words(TEXTS[i]) for i in range(len(TEXTS)) if i % 10]
     c = Counter(w for t in train for w in t)
     n, v = sum(c.values()) + len(train), len(c) + 1
     for i, t in enumerate(TEXTS):
-        own = lm.tokens((t or "").encode())
+        own = lm_words(t)
         base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own) + math.log10((len(train) + 0.1) / (n + 0.1 * (v + 1)))
         assert out[i].n_tokens == len(own) + 1 and out[i].train_tokens == n
         assert out[i].n_known == sum(c[w] > 0 for w in own) + 1
@@ -94,15 +95,136 @@ def test_lm_base_is_exact_and_scores_are_log_probabilities(spark):
     assert len(none) == len(TEXTS) and all(r.base_score == pytest.approx(0) or r.n_tokens for r in none)
 
 
+def small_model(texts, head=40):
+    tokens = mixing.Tokens(pa.array([t.encode() for t in texts], pa.binary()))
+    seen = Counter(w for t in texts for w in lm_words(t))
+    top = [(w, n) for w, n in seen.most_common(head) if n > 1]
+    coder = mixing.Coder([w for w, _ in top], np.array([n for _, n in top], np.int64), len(texts), sum(seen.values()) - sum(n for _, n in top), 12)
+    counts = np.zeros(mixing.counters(12), np.int32)
+    mixing.count_into(counts, coder, tokens)
+    return mixing.Model(coder, counts.astype(np.float32))
+
+
+def lm_words(text):
+    return (text or "").encode().lower().split()
+
+
+NO_RUNS = lm.run_arrays(pa.array([], pa.list_(pa.struct([("key", pa.int64()), ("run", pa.binary()), ("n", pa.int64()), ("total", pa.int64())]))))
+
+
+def test_tokens_are_the_words_of_the_texts():
+    texts = [" Ab  c\td\x0b\x0ce ", "", "   ", None, "x", "É é\u00a0z", "w" * 100 + " v", " "]
+    t = mixing.Tokens(pa.array([None if x is None else x.encode() for x in texts], pa.binary()))
+    want = [lm_words(x) for x in texts]
+    assert t.sizes.tolist() == list(map(len, want)) and [t.word(c) for c in t.codes] == sum(want, [])
+    begin = np.concatenate(([0], t.ends[:-1] + 1))
+    assert [bytes(t.data[b:e]).lstrip() for b, e in zip(begin, t.ends, strict=True)] == sum(want, [])
+    assert max(map(len, t.keys().to_pylist())) <= mixing.LONGEST_NAME
+
+
 def test_lm_symbol_probabilities_sum_to_one():
-    coder = lm.Coder([b"the", b"and", b"ing"], np.array([5, 3, 2]), 2, 1)
-    whole = np.bincount(coder.kind, np.exp(coder.share), 256)
-    assert np.allclose(whole[whole > 0], 1)
-    e = lm.table_edges()
-    model = lm.Model(coder, [np.zeros(b - a, np.int32) for a, b in zip(e, e[1:], strict=False)], np.full((2, 8, 4), 0.3, np.float32))
-    x, ways = model.events(0, np.arange(256), np.zeros((4, 256), np.int64), False)
-    total, _ = lm.mix(x, ways, np.ones(256, np.int64), model.start[0])
-    assert abs(np.exp(total).sum() - 1) < 1e-6
+    model = small_model(TEXTS[:20])
+    coder, n = model.coder, len(model.coder.weights)
+    of, turns, depth = coder.paths(np.arange(n))
+    x = [coder.alone[turns].astype(np.float32), model.after[coder.slots(np.full(len(of), 7, np.uint32), turns)].astype(np.float32)]
+    lp = mixing.Mixer(n, mixing.DEPTH, mixing.WORD_START, coder.local).block(of, depth, x, turns & 1, turns >> 1)
+    assert abs(np.exp(np.bincount(of, lp, n) + coder.rest).sum() - 1) < 1e-4
+    big = mixing.Coder([b"%d" % k for k in range(20_000)], np.arange(20_000, 0, -1), 5, 9, 12)  # paths longer than DEPTH
+    known = {}
+    of, turns, _ = big.paths(np.arange(20_002))
+    for k, t in zip(of.tolist(), turns.tolist(), strict=True):
+        known.setdefault(k, []).append(t)
+    by: dict = {}
+    for k, path in known.items():
+        by.setdefault(tuple(path), []).append(math.exp(big.rest[k]))
+    assert max(map(len, by)) == mixing.DEPTH and all(abs(sum(v) - 1) < 1e-6 for v in by.values())
+
+
+def plain_mixing(events, gates, start, local=None):
+    """The mixer one bit at a time: events are (block, gate, inputs, bit, node)."""
+    w = {g: list(map(float, start)) for g in range(gates)}
+    fix, total, k = {}, 0.0, 0
+    counts = None if local is None else [list(map(float, row)) for row in local]
+    while k < len(events):
+        block, moves, fixes, adds, many = events[k][0], {}, {}, [], Counter()
+        while k < len(events) and events[k][0] == block:
+            _, g, x, y, node = events[k]
+            x = list(x)
+            if counts is not None:
+                x.append(math.log(counts[1][node] / counts[0][node]) if node < mixing.LOCAL_NODES else 0.0)
+                if node < mixing.LOCAL_NODES:
+                    adds.append((y, node))
+            s = sum(a * b for a, b in zip(w[g], x, strict=True))
+            cell = (g, int(min(max(s, -7.9), 7.9) + 8))
+            s += fix.get(cell, 0.0)
+            p = 1 / (1 + math.exp(-min(max(s, -14), 14)))
+            total += math.log(p if y else 1 - p)
+            many[g] += 1
+            moves.setdefault(g, []).append([(y - p) * v for v in x])
+            fixes.setdefault(cell, []).append(y - p)
+            k += 1
+        for g, rows in moves.items():
+            for i in range(len(w[g])):
+                w[g][i] += mixing.RATE * sum(r[i] for r in rows) / max(1, many[g] / 8)
+        for cell, errors in fixes.items():
+            fix[cell] = fix.get(cell, 0.0) + mixing.REFINE_RATE * sum(errors) / max(1, many[cell[0]] / 8)
+        for y, node in adds:
+            counts[y][node] += 1
+    return total
+
+
+@pytest.mark.parametrize("counted", [False, True])
+def test_lm_scores_match_a_plain_mixer(counted):
+    model, texts = small_model(TEXTS[:20]), [TEXTS[3], TEXTS[40], words("en", 700), ""]
+    coder, after, alone = model.coder, model.after, model.coder.alone
+    tokens = mixing.Tokens(pa.array([t.encode() for t in texts], pa.binary()))
+    got = model.score(tokens, np.full(len(texts), counted), NO_RUNS)
+    ids, kinds = coder.symbols(tokens)
+    step = lambda place: int(np.searchsorted(mixing.BOUNDS, place, side="right"))
+    spelled = iter(got["spelled"])
+    for k in range(len(texts)):
+        own_ids = [*ids[tokens.lane == k].tolist(), coder.end]
+        own_kinds = kinds[tokens.lane == k].tolist()
+        events, rest, letters, cost = [], 0.0, [], 0.0
+        for place, i in enumerate(own_ids):
+            before = own_kinds[place - 1] + 1 if place else 0
+            rest += coder.rest[i]
+            _, turns, depth = coder.paths(np.array([i]))
+            for t, d in zip(turns.tolist(), depth.tolist(), strict=True):
+                slot = int(coder.slots(np.array([before], np.uint32), np.array([t], np.int32))[0])
+                x = [float(alone[counted * len(alone) // 2 + t]), float(after[counted * len(after) // 2 + slot])]
+                events.append((step(place), d, x, t & 1, t >> 1))
+            if i == coder.escape:
+                x, contexts, _, open_ = coder.letters([lm_words(texts[k])[place]], np.array([before]))
+                cost += next(spelled)
+                rest_here = float(open_.sum())
+                cost -= rest_here
+                n = len({e[5] for e in letters})
+                for at, letter in enumerate(x.tolist()):
+                    for level in range(5):
+                        node, bit = 1 << level | letter >> (5 - level), letter >> (4 - level) & 1
+                        tables = [float(p[counted * len(p) // 2 + (int(contexts[c][at]) << 6) + node * 2 + bit]) for c, p in enumerate(model.spelled)]
+                        letters.append((step(8 * n), level, tables, bit, node, place))
+        assert got["total"][k] == pytest.approx(rest + plain_mixing(events, mixing.DEPTH, mixing.WORD_START, coder.local), rel=2e-3, abs=1e-3)
+        assert cost == pytest.approx(plain_mixing([e[:5] for e in letters], 5, mixing.LETTER_START), rel=2e-3, abs=1e-3)
+
+
+def test_lm_tells_copies_from_single_texts(spark):
+    single = [words("en", 150) for _ in range(30)]
+    twice = [words("fr", 150) for _ in range(6)]
+    texts = [*single, *twice, *twice, twice[0] + " und " + words("de", 50), None, "", "=" * 70 + " x " + "=" * 70]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(41, twice[5]), (None, "x y")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = lm.score(d, d.doc_id % 10 != 0).collect()
+    out = {r.doc_id: r for r in found}
+    assert len(found) == len(rows) and all(math.isfinite(r.score) and r.score < 0 for r in found)
+    rate = lambda i: out[i].score / out[i].n_tokens
+    apart = [rate(i) for i in range(30) if i % 10]
+    copies = [rate(i) for i in range(30, 42) if i != 34]  # the copy of 34 is held out, so nothing tells 34
+    assert min(copies) > max(apart) and rate(42) > max(apart)
+    assert out[36].score == pytest.approx(rate(36) * out[36].n_tokens) and {r.score for r in found if r.doc_id == 41} == {out[41].score}
+    assert out[43].n_tokens == out[44].n_tokens == 1
+    assert rate(34) < max(apart)
 
 
 def test_packing(spark):
