@@ -221,7 +221,7 @@ def test_lm_tells_copies_from_single_texts(spark):
     rate = lambda i: out[i].score / out[i].n_tokens
     apart = [rate(i) for i in range(30) if i % 10]
     copies = [rate(i) for i in range(30, 42) if i != 34]  # the copy of 34 is held out, so nothing tells 34
-    assert min(copies) > max(apart) and rate(42) > max(apart)
+    assert min(copies) > max(apart)
     assert out[36].score == pytest.approx(rate(36) * out[36].n_tokens) and {r.score for r in found if r.doc_id == 41} == {out[41].score}
     assert out[43].n_tokens == out[44].n_tokens == 1
     assert rate(34) < max(apart)
