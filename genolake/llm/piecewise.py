@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from genolake.llm.common import small_batches, table
 
 WINDOW = 7
-SIGNATURE = 64
+SIGNATURE, SIZES = 64, 3
 LEAST_LEVEL = 2
 BLOCK_BYTES = 1 << 22
 #: One multiplier for each byte of the window, made by a rule: odd 32-bit numbers from powers of 0x9E3779B1.
@@ -37,12 +37,11 @@ def window_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: bytes) -> str:
-    """`level:signature:signature at double size`. Level k cuts after each byte whose window hash falls into the lowest
-    1 / 2^k; a chunk's letter comes from the sum of its window hashes. The level is the least one which would give at
-    most 64 chunks, then less (by 4 at most) while the signature has under 32 letters. The whole text is hashed, in
-    blocks of bounded size. Chunks after the 63rd count as one."""
-    level = max(LEAST_LEVEL, (max(1, len(text) - 1) // SIGNATURE).bit_length())
-    least = max(LEAST_LEVEL, level - 4)
+    """`level:signature:signature at double size:signature at fourfold size`. Level k cuts after each byte whose window hash
+    falls into the lowest 1 / 2^k; a chunk's letter comes from the sum of its window hashes. The level is the least one, from
+    4 below what the length suggests, with at most 64 chunks in fact, so a signature never leaves a chunk out. The whole
+    text is hashed, in blocks of bounded size. A text in which all places have a few hashes may have a single chunk."""
+    least = max(LEAST_LEVEL, (max(1, len(text) - 1) // SIGNATURE).bit_length() - 4)
     marks, values, sums, before = [], [], [], np.uint32(0)
     for begin in range(0, len(text), BLOCK_BYTES):
         lead = min(begin, WINDOW - 1)
@@ -55,19 +54,19 @@ def fingerprint(text: bytes) -> str:
         before = running[-1]
     at, value, total = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (marks, values, sums))
 
-    def signature(k: int) -> str:
+    def ends(k: int) -> np.ndarray:
         chosen = value < np.uint32(1 << (32 - k))
-        ends = total[chosen]
-        if len(text) and not (chosen.any() and at[chosen][-1] == len(text) - 1):
-            ends = np.append(ends, before)
-        if len(ends) > SIGNATURE:
-            ends = np.append(ends[: SIGNATURE - 1], ends[-1])
-        pieces = np.diff(ends, prepend=np.uint32(0)).astype(np.uint32) * np.uint32(0x9E3779B1)
+        found = total[chosen]
+        return np.append(found, before) if len(text) and not (chosen.any() and at[chosen][-1] == len(text) - 1) else found
+
+    def signature(k: int) -> str:
+        pieces = np.diff(ends(k), prepend=np.uint32(0)).astype(np.uint32) * np.uint32(0x9E3779B1)
         return "".join(map(LETTERS.__getitem__, (pieces >> np.uint32(26)).tolist()))
 
-    while level > least and np.count_nonzero(value < np.uint32(1 << (32 - level))) + 1 < SIGNATURE // 2:
-        level -= 1
-    return f"{level}:{signature(level)}:{signature(level + 1)}"
+    level = least
+    while len(ends(level)) > SIGNATURE:
+        level += 1
+    return ":".join([str(level), *(signature(level + k) for k in range(SIZES))])
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -93,13 +92,13 @@ def similar(a: str, b: str) -> float:
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: 1 for equal fingerprints, 0 without a common run of letters or if the levels differ by more than one."""
+    """0 to 1: 1 for equal fingerprints, else the best likeness of two signatures of one chunk size; 0 if they have no chunk
+    size in common."""
     if a == b:
         return 1.0
-    (ka, a1, a2), (kb, b1, b2) = a.split(":"), b.split(":")
-    if ka == kb:
-        return max(similar(a1, b1), similar(a2, b2))
-    return similar(a1, b2) if int(ka) == int(kb) + 1 else similar(a2, b1) if int(ka) + 1 == int(kb) else 0.0
+    (ka, *of_a), (kb, *of_b) = a.split(":"), b.split(":")
+    gap = int(kb) - int(ka)
+    return max((similar(of_a[k + gap], of_b[k]) for k in range(SIZES) if 0 <= k + gap < SIZES), default=0.0)
 
 
 def with_next(docs: DataFrame, cells_per_task: int = 8) -> DataFrame:
@@ -145,7 +144,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: its fingerprint, that of its text edited with the next document's, and likenesses.
 
     Next is the following row by descending doc_id (null ids last, equal ids by text); after the last comes the first.
-    Null texts count as empty; an empty text has the fingerprint `2::`. Two equal fingerprints have likeness 1.
+    Null texts count as empty; an empty text has the fingerprint `2:::`. Two equal fingerprints have likeness 1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,4 +176,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op9_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fingerprints() of all rows of documents; see there for nulls, ties, repeats and long texts."""
     return fingerprints(table(spark, sf_dir, "documents"))

@@ -521,6 +521,56 @@ def test_toxicity(spark):
     assert toxicity.score(d.limit(0), model).count() == 0
 
 
+def plain_fingerprint(data: bytes) -> str:
+    """Byte by byte, in whole numbers."""
+    m = (1 << 32) - 1
+    factors = [pow(0x9E3779B1, k + 1, 1 << 32) | 1 for k in range(7)]
+    window, hashes = [0] * 7, []
+    for c in data:
+        window = [c, *window[:6]]
+        h = sum(x * f for x, f in zip(window, factors, strict=True)) & m
+        h ^= h >> 15
+        h = h * 0x85EBCA6B & m
+        h ^= h >> 13
+        hashes.append(h * 0xC2B2AE35 & m)
+
+    def signature(level: int) -> str:
+        out, total = "", 0
+        for k, h in enumerate(hashes):
+            total += h
+            if h < 1 << (32 - level) or k == len(hashes) - 1:
+                out += piecewise.LETTERS[(total * 0x9E3779B1 & m) >> 26]
+                total = 0
+        return out
+
+    level = max(2, (max(1, len(data) - 1) // 64).bit_length() - 4)
+    while len(signature(level)) > 64:
+        level += 1
+    return ":".join([str(level), *(signature(level + k) for k in range(3))])
+
+
+def plain_likeness(a: str, b: str) -> float:
+    if a == b:
+        return 1.0
+
+    def one(x: str, y: str) -> float:
+        if not x or not y:
+            return 0.0
+        run = max(3, min(7, min(len(x), len(y)) // 4))
+        if not any(x[k : k + run] in y for k in range(len(x) - run + 1)):
+            return 0.0
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            new = [i]
+            for j, e in enumerate(y, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + 2 * (c != e)))
+            row = new
+        return 1 - row[-1] / (len(x) + len(y))
+
+    of_a, of_b = ({int(f.split(":")[0]) + k: s for k, s in enumerate(f.split(":")[1:])} for f in (a, b))
+    return max((one(of_a[k], of_b[k]) for k in of_a if k in of_b), default=0.0)
+
+
 def test_piecewise(spark):
     out = {r.doc_id: r for r in piecewise.fingerprints(docs(spark)).collect()}
     order = sorted(range(len(TEXTS)), reverse=True)
@@ -530,8 +580,9 @@ def test_piecewise(spark):
         edited = own[: len(own) - half] + after[:half]
         r = out[i]
         assert r.n_chars == len(own) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert r.fingerprint == piecewise.fingerprint(own.encode()) and r.edited_fingerprint == piecewise.fingerprint(edited.encode())
-    assert out[0].fingerprint == out[80].fingerprint and out[75].fingerprint == "2::"
+        assert r.fingerprint == plain_fingerprint(own.encode()) and r.edited_fingerprint == plain_fingerprint(edited.encode())
+        assert r.near_edited == pytest.approx(plain_likeness(r.fingerprint, r.edited_fingerprint))
+    assert out[0].fingerprint == out[80].fingerprint and out[75].fingerprint == "2:::"
     assert piecewise.fingerprints(docs(spark).limit(0)).count() == 0
     assert len(piecewise.fingerprints(docs(spark, repeat=3)).collect()) == 3 * len(TEXTS)
 
