@@ -58,8 +58,12 @@ def gap_counts(seq: Column) -> Column:
 
 def translate_codons(seq: Column, stop_at_first: bool = False) -> Column:
     """Peptide of a coding sequence: one letter a whole codon, gap for '---', X where the codon can't be read."""
-    code = F.create_map(*[F.lit(x) for pair in sorted(codon_table().items()) for x in pair])
+    table = codon_table()
+    code = F.lit([table.get(a + b + c, "X") for a, b, c in product(CODES, repeat=3)])  # by number, not searched
+    at = lambda c, k: F.instr(F.lit(CODES), F.substr(c, F.lit(k), F.lit(1)))
+    place = lambda c: (at(c, 1) - 1) * 256 + (at(c, 2) - 1) * 16 + at(c, 3)
+    read = lambda c: F.when(c.rlike(f"[^{CODES}]"), "X").otherwise(F.element_at(code, place(c)))
     n = F.floor(F.length(seq) / 3).cast("int")
     codons = F.regexp_extract_all(seq, F.lit("(.{3})"), F.lit(1))
-    peptide = F.when(n == 0, "").otherwise(F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(code, c), F.lit("X"))), ""))
+    peptide = F.when(n == 0, "").otherwise(F.array_join(F.transform(codons, read), ""))
     return F.regexp_extract(peptide, r"^[^*]*\*?", 0) if stop_at_first else peptide

@@ -111,6 +111,30 @@ def group_aa_changes(changes: DataFrame, ranges: DataFrame, spacing: int = 3, pa
     return out.select("seq_index", "cds", F.least("first", F.coalesce("low", "first")).alias("begin"), (F.greatest("last", F.coalesce("high", "last")) + 1).alias("end"), "n")
 
 
+def nuc_changes_in_groups(groups: DataFrame, subs: DataFrame, segments: DataFrame) -> DataFrame:
+    """(seq_index, cds, begin, end, changes): for each group of changed codons the nucleotide changes inside it, `C12T,...` in
+    the order of the genome. Codons of the groups meet the genome places of changes in an equal join."""
+    spots = cds_positions(segments).select("cds", F.col("codon").alias("at"), F.col("pos"))
+    cells = groups.select("seq_index", "cds", "begin", "end", F.explode(F.sequence("begin", F.col("end") - 1)).alias("at"))
+    muts = subs.select("seq_index", "pos", "ref", "qry").join(F.broadcast(spots), "pos")  # one genome's places: a fixed size
+    text = F.struct("pos", F.concat("ref", (F.col("pos") + 1).cast("string"), "qry").alias("t"))
+    found = cells.join(muts, ["seq_index", "cds", "at"]).groupBy("seq_index", "cds", "begin", "end").agg(F.array_sort(F.collect_list(text)).alias("c"))
+    return found.select("seq_index", "cds", "begin", "end", F.array_join(F.transform("c", lambda x: x["t"]), ",").alias("changes"))
+
+
+def codon_states(states: DataFrame, key: str, segments: DataFrame, ref: DataFrame) -> DataFrame:
+    """(key, cds, pos, qry): the amino acid of each codon that some nucleotide state touches. states: (key, pos, qry) where a
+    sequence or a node differs from the reference; ref: (pos, ref). Codons that can't be read are X, all-gap ones '-'."""
+    spots = cds_positions(segments).join(segments.select("cds", "begin", "end", "strand"), "cds").where("pos >= begin and pos < end")
+    base = lambda c: F.when(F.col("strand") == "-", reverse_complement(F.col(c))).otherwise(F.col(c))
+    whole = spots.join(ref.select("pos", "ref"), "pos").select("cds", "codon", "cds_pos", base("ref").alias("ref"))
+    changed = states.join(F.broadcast(spots), "pos").select(key, "cds", "codon", "cds_pos", base("qry").alias("qry"))
+    touched = changed.select(key, "cds", "codon").distinct().join(F.broadcast(whole), ["cds", "codon"])
+    cells = touched.join(changed, [key, "cds", "codon", "cds_pos"], "left")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cds_pos", F.coalesce("qry", "ref").alias("x")))), lambda c: c["x"]), "")
+    return cells.groupBy(key, "cds", F.col("codon").alias("pos")).agg(text.alias("codon")).select(key, "cds", "pos", translate_codons(F.col("codon")).alias("qry"))
+
+
 def nuc_to_aa(changes: DataFrame, segments: DataFrame) -> DataFrame:
     """(seq_index, pos, changes): for each genome position of a changed codon the sorted distinct amino-acid changes."""
     spots = cds_positions(segments).select("cds", F.col("codon").alias("codon"), F.col("pos").alias("nuc_pos"))

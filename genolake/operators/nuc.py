@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from genolake.functions.seq import CODES, gap_counts, letters
 from genolake.operators.ranges import islands
 
+BLOCK = 32
+
 
 def points(seqs: DataFrame, keep: Column | None = None, column: str = "aln") -> DataFrame:
     """(seq_index, pos, letter) of the letters in `keep` (a regular expression of one letter); others are dropped before
@@ -46,9 +48,15 @@ def alignment_range(aligned: DataFrame) -> DataFrame:
 def find_nuc_subs(aligned: DataFrame, ref: str) -> DataFrame:
     """(seq_index, pos, ref, qry) where the query has a plain nucleotide other than the reference's. Only these places
     become rows; ambiguous letters and gaps never count."""
-    of_ref = F.split(F.lit(ref), "")
-    cells = F.transform(letters(F.col("aln")), lambda q, i: F.struct(i.alias("pos"), F.try_element_at(of_ref, i + 1).alias("ref"), q.alias("qry")))
-    return aligned.select("seq_index", F.inline(F.filter(cells, lambda c: c["qry"].isin("A", "C", "G", "T") & (c["qry"] != c["ref"]))))
+    # blocks that equal the reference's are passed over as a whole
+    blocks = F.zip_with(F.regexp_extract_all("aln", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), F.lit([ref[k : k + BLOCK] for k in range(0, len(ref), BLOCK)]), lambda q, r: F.struct(q.alias("q"), r.alias("r")))
+    placed = F.transform(blocks, lambda b, k: F.struct(b["q"].alias("q"), b["r"].alias("r"), (k * BLOCK).alias("at")))
+
+    def cells(b: Column) -> Column:
+        pairs = F.zip_with(letters(b["q"]), letters(b["r"]), lambda q, r: F.struct(r.alias("ref"), q.alias("qry")))
+        return F.filter(F.transform(pairs, lambda c, i: F.struct((b["at"] + i).alias("pos"), c["ref"].alias("ref"), c["qry"].alias("qry"))), lambda c: c["qry"].isin("A", "C", "G", "T") & (c["qry"] != c["ref"]))
+
+    return aligned.select("seq_index", F.inline(F.flatten(F.transform(F.filter(placed, lambda b: b["q"] != b["r"]), cells))))
 
 
 def find_nuc_dels(aligned: DataFrame) -> DataFrame:

@@ -49,6 +49,11 @@ def score_text(score: Column) -> Column:
     return F.when(score == F.round(score), F.format_string("%.0f", score)).otherwise(F.format_string("%.6f", score))
 
 
+def aa_cells(changes: DataFrame, name: str = "aa_changes") -> DataFrame:
+    """`S:N501Y,S:L5-` for each sequence, by CDS and position."""
+    return joined(changes, ["seq_index"], mutation_text(F.col("cds"), F.col("ref"), F.col("pos"), F.col("qry")), ["cds", "pos", "qry"], name)
+
+
 def combine_outputs_and_errors(ok: DataFrame, failed: DataFrame) -> DataFrame:
     """Good and failed rows together; failed ones keep index, name and errors. seq_index gives the input order; sort at the
     sink if order is wanted."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from genolake.operators.muts import compose_muts, inverted, label_mutations
 from genolake.operators.ranges import in_range, is_sequenced, islands
+from genolake.plans.numbering import numbered
 from genolake.plans.scratch import cut_lineage
 
 PLAIN = ("A", "C", "G", "T")
@@ -18,7 +19,8 @@ PLAIN = ("A", "C", "G", "T")
 
 def ancestors(tree_nodes: DataFrame) -> DataFrame:
     """(node_id, ancestor_id, distance), each node being its own ancestor at 0. By doubling: the number of joins grows
-    with the logarithm of the depth. Lineage is cut after each round."""
+    with the logarithm of the depth. Lineage is cut after each round. A circle of parents is an error."""
+    n_nodes = tree_nodes.count()
     up = tree_nodes.select("node_id", "parent_id").where("parent_id is not null")
     out = tree_nodes.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("distance"))
     jump, size = up.select(F.col("node_id").alias("ancestor_id"), F.col("parent_id").alias("next_id")), 1
@@ -29,6 +31,8 @@ def ancestors(tree_nodes: DataFrame) -> DataFrame:
         jump, size = cut_lineage(further), size * 2
         if jump.isEmpty():
             return out
+        if size > 2 * max(1, n_nodes):
+            raise ValueError("the tree has a circle of parents")
 
 
 def node_mutations(branch_muts: DataFrame, closure: DataFrame, ref: DataFrame) -> DataFrame:
@@ -71,12 +75,12 @@ def placement_distance(subs: DataFrame, aligned: DataFrame, missing: DataFrame,
     holes = missing.select(*span).union(dels.select(*span))
     holes = holes.union(aligned.select("seq_index", F.lit(0), F.coalesce("begin", F.lit(ref_length)))).union(aligned.select("seq_index", F.coalesce("end", F.lit(ref_length)), F.lit(ref_length)))
     unknown = holes.where("begin < end").select("seq_index", F.explode(F.sequence("begin", F.col("end") - 1)).alias("pos"))
-    unknown = unknown.join(F.broadcast(nodes.select("pos").distinct()), "pos", "left_semi").distinct()
+    unknown = unknown.join(nodes.select("pos").distinct(), "pos", "left_semi").distinct()
     undetermined = unknown.join(nodes, "pos").select("seq_index", "node_id", F.lit(1).alias("less"))
     less = shared.union(undetermined).groupBy("seq_index", "node_id").agg(F.sum("less").alias("less"))
     n_seq = seq.groupBy("seq_index").agg(F.count("*").alias("n_seq"))
     n_node = nodes.groupBy("node_id").agg(F.count("*").alias("n_node"))
-    out = less.join(n_seq, "seq_index", "left").join(F.broadcast(n_node), "node_id", "left")
+    out = less.join(n_seq, "seq_index", "left").join(n_node, "node_id", "left")
     return out.select("seq_index", "node_id", (F.coalesce("n_node", F.lit(0)) + F.coalesce("n_seq", F.lit(0)) - F.col("less")).cast("long").alias("distance"))
 
 
@@ -90,18 +94,18 @@ def candidates(seqs: DataFrame, subs: DataFrame, distances: DataFrame, tree_node
     """
     n_node = placed_muts(node_muts, masks).groupBy("node_id").agg(F.count("*").alias("n"))
     nodes = tree_nodes.select("node_id", F.coalesce("prior", F.lit(-10.0)).alias("prior"), "preorder").join(n_node, "node_id", "left").na.fill(0, ["n"])
-    nodes = nodes.withColumn("place", F.row_number().over(Window.orderBy("n", F.desc("prior"), "preorder")))  # a tree is one small table
+    nodes = numbered(nodes.orderBy("n", F.desc("prior"), "preorder"), "place").withColumn("place", (F.col("place") + 1).cast("int"))
     n_seq = in_range(subs.where("cds = 'nuc'"), masks, [], "left_anti").groupBy("seq_index").agg(F.count("*").alias("n_seq"))
-    near = distances.join(F.broadcast(nodes), "node_id")
+    near = distances.join(nodes, "node_id")
     by_place = Window.partitionBy("seq_index").orderBy("place")
     gaps = near.select("seq_index", "place", F.row_number().over(by_place).alias("k")).groupBy("seq_index")
     first = gaps.agg(F.coalesce(F.min(F.when(F.col("place") != F.col("k"), F.col("k"))), F.max("k") + 1).alias("place"))
-    free = seqs.select("seq_index").join(first, "seq_index", "left").na.fill(1, ["place"]).join(F.broadcast(nodes.select("place", "n")), "place")
+    free = seqs.select("seq_index").join(first, "seq_index", "left").na.fill(1, ["place"]).join(nodes.select("place", "n"), "place")
     if ties:
-        alike = free.select("seq_index", "n").join(F.broadcast(nodes), "n")
+        alike = free.select("seq_index", "n").join(nodes, "n")
         free = alike.join(distances, ["seq_index", "node_id"], "left_anti")
     else:
-        free = free.select("seq_index", "place").join(F.broadcast(nodes), "place")
+        free = free.select("seq_index", "place").join(nodes, "place")
     cols = ["seq_index", "node_id", "distance", "prior", "preorder"]
     free = free.join(n_seq, "seq_index", "left").withColumn("distance", (F.col("n") + F.coalesce("n_seq", F.lit(0))).cast("long"))
     return near.select(*cols).union(free.select(*cols))
@@ -169,14 +173,19 @@ def ancestor_search(nearest: DataFrame, closure: DataFrame, tree_nodes: DataFram
     criteria: (search, rank, qry_clade, target_clade, target_name, strategy); a null qry_clade fits any sequence;
     strategy: nearest or earliest ancestor (never the node itself), or first in preorder of the whole tree.
     """
-    about = tree_nodes.select("node_id", "clade")
+    # what a criterion asks of the sequence: its clade, or nothing; as keys of an equal join
+    about = tree_nodes.select("node_id", F.explode(F.array(F.concat(F.lit("c"), "clade"), F.lit("any"))).alias("asked")).where("asked is not null")
+    asked = F.coalesce(F.concat(F.lit("c"), "qry_clade"), F.lit("any")).alias("asked")
     node = tree_nodes.select(F.col("node_id").alias("found_id"), F.col("clade").alias("_c"), F.col("name").alias("_n"), "preorder")
-    wanted = criteria.join(node, (F.col("_n") == F.col("target_name")) | (F.col("_c") == F.col("target_clade")))
+    cols = ["search", "rank", asked, "strategy", "found_id", "preorder"]
+    by_name = criteria.join(node, F.col("_n") == F.col("target_name")).select(*cols)
+    wanted = by_name.union(criteria.join(node, F.col("_c") == F.col("target_clade")).select(*cols)).distinct()
     up = closure.where("distance > 0").select("node_id", F.col("ancestor_id").alias("found_id"), "distance")
-    on_path = wanted.where("strategy <> 'first'").join(up, "found_id").withColumn("_order", F.when(F.col("strategy") == "nearest", F.col("distance")).otherwise(-F.col("distance")))
-    whole = wanted.where("strategy = 'first'").join(tree_nodes.select("node_id"), F.lit(True)).withColumn("_order", F.col("preorder"))
-    cols = ["node_id", "search", "rank", "qry_clade", "found_id", "_order"]
-    options = on_path.select(*cols).union(whole.select(*cols)).join(about, "node_id").where("qry_clade is null or qry_clade = clade")
+    on_path = wanted.where("strategy <> 'first'").join(up, "found_id").join(about, ["node_id", "asked"])
+    on_path = on_path.withColumn("_order", F.when(F.col("strategy") == "nearest", F.col("distance")).otherwise(-F.col("distance")))
+    first = wanted.where("strategy = 'first'").groupBy("search", "rank", "asked").agg(F.min(F.struct("preorder", "found_id")).alias("f"))
+    whole = first.join(about, "asked").select("node_id", "search", "rank", F.col("f.found_id").alias("found_id"), F.col("f.preorder").alias("_order"))
+    options = on_path.select("node_id", "search", "rank", "found_id", "_order").union(whole)
     best = options.groupBy("node_id", "search").agg(F.min(F.struct("rank", "_order", "found_id")).alias("b"))
     return nearest.select("seq_index", "node_id").join(best, "node_id").select("seq_index", "search", "b.found_id")
 
@@ -266,7 +275,8 @@ def attach_nodes(place: DataFrame, private: DataFrame, divergences: DataFrame, t
     by_cds = private.groupBy("seq_index", "cds").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x["t"]), ",").alias("t"), F.count("*").alias("n"))
     muts = by_cds.groupBy("seq_index").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("cds", "t")))).alias("muts"), F.sum("n").alias("n_private"))
     j = place.join(tree_nodes.select("node_id", "clade"), "node_id", "left").join(muts, "seq_index", "left").join(divergences, "seq_index", "left").join(attributes, "seq_index", "left")
-    return j.select("seq_index", F.col("node_id").alias("parent_id"), "muts", F.coalesce("n_private", F.lit(0)).alias("n_private"), F.col("divergence").alias("div"), "clade", *[c for c in attributes.columns if c != "seq_index"])
+    out = j.select("seq_index", F.col("node_id").alias("parent_id"), "muts", F.coalesce("n_private", F.lit(0)).alias("n_private"), F.col("divergence").alias("div"), "clade", *[c for c in attributes.columns if c != "seq_index"])
+    return numbered(out.orderBy("n_private", "seq_index"), "rank")
 
 
 def ladderize(tree_nodes: DataFrame, closure: DataFrame) -> DataFrame:

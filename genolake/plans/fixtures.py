@@ -1,8 +1,9 @@
 """Sequence tables derived from the given tables, each with the same definition in SQL.
 
-aligned: every document's letters, cut into stretches as long as the reference, read as changes against it; the reference
-is the text of all benchmark items as nucleotides. muts, ranges and dels: small genomes of 300 places from line items and
-orders. nodes and branch_muts: a tree from suppliers.
+The reference genome has a fixed size, whatever the tables, and its letters follow a rule. aligned: every document's letters,
+cut into stretches as long as the reference, read as changes against it. edited: one sequence for each document, the reference
+with changes planted by its id and letters. muts, ranges and dels: small genomes of 300 places from line items and orders. nodes
+and branch_muts: a tree from suppliers.
 """
 
 from __future__ import annotations
@@ -10,15 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genolake.plans.scratch import new_folder
+
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 TO_REF, TO_SEQ = "ACGTACGTACGTACGTACGTACGTAC", "ACGTACGNACGTACGTACG-ACGRTA"
 SIZE = 300
+REF_SIZE = 3000
+REF = "".join("ACGT"[(i * i * 7 + i * 31 + i // 5 * 13) % 1009 % 4] for i in range(REF_SIZE))
+#: Stretches of one document have neighbouring numbers.
+STRETCHES = 100_000
 
 SQL = {
-    "ref": "SELECT string_agg(translate(regexp_replace(lower(text),'[^a-z]','','g'),'%s','%s'),'' ORDER BY item_id) r FROM benchmark" % (ALPHABET, TO_REF),
+    "ref": f"SELECT string_agg(substr('ACGT', ((i*i*7 + i*31 + (i//5)*13) % 1009 % 4 + 1)::INT, 1), '' ORDER BY i) r FROM range({REF_SIZE}) t(i)",
     "chars": "SELECT doc_id, unnest(string_split(t,'')) ch, generate_subscripts(string_split(t,''),1)-1 i FROM (SELECT doc_id, regexp_replace(lower(text),'[^a-z]','','g') t FROM documents) WHERE t <> ''",
     "refpos": "SELECT unnest(string_split(r,'')) ref, generate_subscripts(string_split(r,''),1)-1 pos FROM ref",
-    "cells": "SELECT (doc_id*1000 + i // size)::BIGINT seq_index, m::INT pos, p.ref, CASE WHEN ch='z' THEN 'N' WHEN ch='x' THEN 'R' WHEN ch IN ('q','j') THEN '-' WHEN ch IN ('k','b') THEN translate(p.ref,'ACGT','CGTA') WHEN ch='w' THEN translate(p.ref,'ACGT','GTAC') WHEN ch='v' THEN translate(p.ref,'ACGT','TACG') ELSE p.ref END qry FROM (SELECT c.*, size, i % size m FROM chars c, (SELECT length(r) size FROM ref)) c JOIN refpos p ON p.pos = c.m",
+    "cells": "SELECT (doc_id*100000 + i // size)::BIGINT seq_index, m::INT pos, p.ref, CASE WHEN ch='z' THEN 'N' WHEN ch='x' THEN 'R' WHEN ch IN ('q','j') THEN '-' WHEN ch IN ('k','b') THEN translate(p.ref,'ACGT','CGTA') WHEN ch='w' THEN translate(p.ref,'ACGT','GTAC') WHEN ch='v' THEN translate(p.ref,'ACGT','TACG') ELSE p.ref END qry FROM (SELECT c.*, size, i % size m FROM chars c, (SELECT length(r) size FROM ref)) c JOIN refpos p ON p.pos = c.m",
     "spans": "SELECT seq_index, min(pos) FILTER (qry <> '-') b, max(pos) FILTER (qry <> '-') + 1 e, max(pos)+1 size FROM cells GROUP BY 1",
     "muts": "SELECT seq_index, 'nuc' cds, pos, substr('ACGT', pos%4+1, 1) ref, qry FROM (SELECT l_orderkey::BIGINT seq_index, (l_partkey % 300)::INT pos, min(substr('ACGT', cast(l_quantity as INT) % 4 + 1, 1)) qry FROM lineitem GROUP BY 1,2) WHERE qry <> substr('ACGT', pos%4+1, 1)",
     "seqs": "SELECT o_orderkey::BIGINT seq_index FROM orders",
@@ -49,6 +56,10 @@ SQL = {
 }
 
 
+#: Columns of the views that refer to themselves.
+RECURSIVE = {"cl": "node_id, ancestor_id, distance", "rec_qry": "seq_index, name, cds, b, p", "rec_ref": "seq_index, name, cds, b, p", "rec_cover": "round, ref_id, name, n_hits, done", "rec_walk": "node_id, path"}
+
+
 def with_views(names: str, select: str) -> str:
     """A query over the named views and all that they need, as one statement."""
     import re
@@ -65,7 +76,7 @@ def with_views(names: str, select: str) -> str:
 
     for n in names.split():
         add(n)
-    parts = [f"{n}(node_id, ancestor_id, distance) AS ({SQL[n]})" if n == "cl" else f"{n} AS ({SQL[n]})" for n in needed]
+    parts = [f"{n}({RECURSIVE[n]}) AS ({SQL[n]})" if n in RECURSIVE else f"{n} AS ({SQL[n]})" for n in needed]
     return f"WITH RECURSIVE {', '.join(parts)} {select}"
 
 
@@ -77,25 +88,70 @@ def clean(column: str = "text") -> F.Column:
     return F.regexp_replace(F.lower(column), "[^a-z]", "")
 
 
-def ref_text(spark: SparkSession, sf_dir: str) -> str:
-    """The reference genome: one string, whatever the number of sequences."""
-    t = table(spark, sf_dir, "benchmark").select("item_id", F.translate(clean(), ALPHABET, TO_REF).alias("t"))
-    return t.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "t"))), lambda x: x["t"]), "")).first()[0]
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> DataFrame:
+    """df written once for each session and folder of tables: queries share it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        path = new_folder(spark, name)
+        df.write.parquet(path)
+        _written[key] = path
+    return spark.read.schema(df.schema).parquet(_written[key])
 
 
-def aligned(spark: SparkSession, sf_dir: str, ref: str) -> DataFrame:
-    """(seq_index, aln)."""
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_index, aln): every stretch of every document's letters, as changes of the reference's."""
     docs = table(spark, sf_dir, "documents").select("doc_id", clean().alias("t")).where("t <> ''")
-    chunks = F.sequence(F.lit(0), F.floor((F.length("t") - 1) / len(ref)).cast("int"))
-    piece = docs.select("doc_id", F.posexplode(F.transform(chunks, lambda k: F.substr(F.col("t"), k * len(ref) + 1, F.lit(len(ref))))).alias("k", "p"))
-    of_ref = F.split(F.lit(ref), "")
+    stretches = F.sequence(F.lit(0), F.floor((F.length("t") - 1) / REF_SIZE).cast("int"))
+    piece = docs.select("doc_id", F.posexplode(F.transform(stretches, lambda k: F.substr(F.col("t"), k * REF_SIZE + 1, F.lit(REF_SIZE)))).alias("k", "p"))
 
-    def cell(ch: F.Column, i: F.Column) -> F.Column:
-        r = F.element_at(of_ref, i + 1)
+    def cell(ch: F.Column, r: F.Column) -> F.Column:
         turned = F.when(ch.isin("k", "b"), F.translate(r, "ACGT", "CGTA")).when(ch == "w", F.translate(r, "ACGT", "GTAC")).when(ch == "v", F.translate(r, "ACGT", "TACG"))
         return F.when(ch == "z", "N").when(ch == "x", "R").when(ch.isin("q", "j"), "-").otherwise(F.coalesce(turned, r))
 
-    return piece.select((F.col("doc_id") * 1000 + F.col("k")).alias("seq_index"), F.array_join(F.transform(F.split("p", ""), cell), "").alias("aln"))
+    # most letters leave the reference's as it is, so only the others are looked at one by one
+    def text(p: F.Column) -> F.Column:
+        marks = F.regexp_extract_all(p, F.lit("[^bjkqvwxz]*[bjkqvwxz]"), F.lit(0))
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+        def add(s: F.Column, m: F.Column) -> F.Column:
+            end = s["at"] + F.length(m)
+            return F.struct(F.concat(s["out"], F.substr(F.lit(REF), s["at"] + 1, F.length(m) - 1), cell(F.right(m, F.lit(1)), F.substr(F.lit(REF), end, F.lit(1)))).alias("out"), end.alias("at"))
+
+        return F.aggregate(marks, start, add, lambda s: F.concat(s["out"], F.substr(F.lit(REF), s["at"] + 1, F.length(p) - s["at"])))
+
+    return once(spark, sf_dir, "aligned", piece.select((F.col("doc_id") * STRETCHES + F.col("k")).alias("seq_index"), text(F.col("p")).alias("aln")))
+
+
+SQL["edits"] = (
+    "SELECT doc_id::BIGINT seq_index, t, doc_id%40 skip, 300+doc_id*37%900 del_at, 3+doc_id%25 del_size, 1800+doc_id*53%800 ins_at, "
+    f"substr(t, 1, (1+doc_id%12)::INT) ins FROM (SELECT doc_id, translate(regexp_replace(lower(text),'[^a-z]','','g'),'{ALPHABET}','{TO_REF}') t FROM documents)"
+)
+SQL["edit_subs"] = (
+    "SELECT seq_index, count(*) n FROM edits JOIN refpos ON pos%97 = seq_index%97 WHERE pos >= skip+25 AND pos < 2950 AND NOT (pos >= del_at-25 AND pos < del_at+del_size+25) "
+    "AND NOT (pos >= ins_at-25 AND pos < ins_at+25) GROUP BY 1"
+)
+
+
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_index, seq): the reference without its first letters, with one deletion, one insertion of the document's own letters
+    and substitutions far from both; one in seven is reverse-complemented, and one in fifty is cut to 60 letters."""
+    d = F.col("doc_id")
+    e = table(spark, sf_dir, "documents").select(d.cast("long").alias("seq_index"), F.translate(clean(), ALPHABET, TO_REF).alias("t"))
+    i = F.col("seq_index")
+    e = e.select("seq_index", (i % 40).alias("skip"), (300 + i * 37 % 900).alias("del_at"), (3 + i % 25).alias("del_size"), (1800 + i * 53 % 800).alias("ins_at"), F.substr("t", F.lit(1), (1 + i % 12).cast("int")).alias("ins"))
+    spots = F.filter(
+        F.sequence(i % 97, F.lit(2949), F.lit(97)),
+        lambda p: (p >= F.col("skip") + 25) & ~((p >= F.col("del_at") - 25) & (p < F.col("del_at") + F.col("del_size") + 25)) & ~((p >= F.col("ins_at") - 25) & (p < F.col("ins_at") + 25)),
+    )
+    other = lambda p: F.translate(F.substr(F.lit(REF), (p + 1).cast("int"), F.lit(1)), "ACGT", "CGTA")
+    changed = F.aggregate(spots, F.lit(REF), lambda s, p: F.overlay(s, other(p), (p + 1).cast("int")))
+    part = lambda a, b: F.substr("s", (a + 1).cast("int"), (b - a).cast("int"))
+    e = e.withColumn("s", changed).withColumn("seq", F.concat(part(F.col("skip"), F.col("del_at")), part(F.col("del_at") + F.col("del_size"), F.col("ins_at")), "ins", part(F.col("ins_at"), F.lit(REF_SIZE))))
+    turned = F.when(i % 7 == 3, F.reverse(F.translate("seq", "ACGT", "TGCA"))).otherwise(F.col("seq"))
+    return e.select("seq_index", F.when(i % 50 == 1, F.substr("seq", F.lit(1), F.lit(60))).otherwise(turned).alias("seq"))
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from types import SimpleNamespace
 
@@ -12,6 +13,7 @@ from genolake.functions.mutations import mutation_text, parse_mutation
 from genolake.functions.seq import CODES, COMPLEMENTS, codon_table, reverse_complement
 from genolake.operators import aa, align, catalog, detect, muts, nuc, qc, ranges, results, tree
 from genolake.plans import fixtures as fx
+from genolake.plans.numbering import numbered
 from genolake.plans.scratch import cut_lineage, new_folder
 from genolake.sources import fasta, tables
 from genolake.streaming import runs
@@ -33,8 +35,7 @@ def query(name: str, views: str = "", sql: str = "") -> Callable[[Query], Query]
 
 
 def ref_and_aligned(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
-    ref = fx.ref_text(spark, d)
-    return ref, fx.aligned(spark, d, ref)
+    return fx.REF, fx.aligned(spark, d)
 
 
 # ---- sequences ----
@@ -153,18 +154,27 @@ def _(spark, d):
     return coding(spark, d).peptides
 
 
+fx.SQL["aains"] = "SELECT seq_index, 'S' cds, (seq_index//100000*13%140)::INT pos, (1+seq_index//100000%4)::INT size FROM alns"
+fx.SQL["gapcells"] = "SELECT seq_index, cds, k p FROM (SELECT seq_index, cds, nuc, unnest(range(length(nuc)))::INT k FROM cdsseq) WHERE substr(nuc, k+1, 1)='-'"
+fx.SQL["indels"] = "SELECT seq_index, cds, p b, p+1 e, 1 shift FROM gapcells UNION ALL SELECT seq_index, cds, pos+1, pos+1, -size FROM aains"
+fx.SQL["indelruns"] = "SELECT seq_index, cds, min(b) b, max(e) e, sum(shift) shift FROM (SELECT *, sum(fresh) OVER (PARTITION BY seq_index, cds ORDER BY b, e ROWS UNBOUNDED PRECEDING) run FROM (SELECT *, (b > coalesce(max(e) OVER (PARTITION BY seq_index, cds ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1))::INT fresh FROM indels)) GROUP BY seq_index, cds, run"
+fx.SQL["frames"] = "SELECT *, coalesce(lag(frame) OVER w, 0) was FROM (SELECT r.*, size, ((sum(shift) OVER (PARTITION BY r.seq_index, r.cds ORDER BY b ROWS UNBOUNDED PRECEDING) % 3) + 3) % 3 frame FROM indelruns r JOIN (SELECT seq_index, cds, length(nuc) size FROM cdsseq) z ON z.seq_index=r.seq_index AND z.cds=r.cds WHERE b>0 AND e<size) WINDOW w AS (PARTITION BY seq_index, cds ORDER BY b)"
+fx.SQL["shifts"] = "SELECT seq_index, cds, e nuc_begin, coalesce(closing, size) nuc_end, (e//3)::INT codon_begin, ceil(coalesce(closing, size)/3)::INT codon_end FROM (SELECT *, lead(b) OVER (PARTITION BY seq_index, cds ORDER BY b) closing FROM frames WHERE (was=0)<>(frame=0)) WHERE was=0"
+
+
 def shifted(spark, d) -> tuple[SimpleNamespace, DataFrame]:
     c = coding(spark, d)
-    none = spark.createDataFrame([], "seq_index long, cds string, pos int, size int")
-    return c, aa.frame_shifts(c.cds, none)
+    number = F.expr("seq_index div 100000")
+    added = c.aligned.select("seq_index", F.lit("S").alias("cds"), (number * 13 % 140).cast("int").alias("pos"), (1 + number % 4).cast("int").alias("size"))
+    return c, aa.frame_shifts(c.cds, added)
 
 
-@query("t3_frame_shifts")
+@query("t3_frame_shifts", "shifts", "SELECT * FROM shifts")
 def _(spark, d):
     return shifted(spark, d)[1]
 
 
-@query("t4_mask_frame_shifts")
+@query("t4_mask_frame_shifts", "codons shifts", "SELECT c.seq_index, c.cds, string_agg(CASE WHEN qry<>'-' AND s.seq_index IS NOT NULL THEN 'X' ELSE qry END, '' ORDER BY pos) aa FROM codons c LEFT JOIN (SELECT DISTINCT seq_index, cds, unnest(range(codon_begin, codon_end)) pos FROM shifts) s USING (seq_index, cds, pos) GROUP BY 1,2")
 def _(spark, d):
     c, s = shifted(spark, d)
     return aa.mask_frame_shifts(c.peptides, s)
@@ -180,7 +190,11 @@ def _(spark, d):
     return coding(spark, d).ranges
 
 
-@query("t6_unsequenced_ranges")
+fx.SQL["peplen"] = "SELECT seq_index, cds, count(*)::INT n FROM codons GROUP BY 1,2"
+fx.SQL["unseq"] = "SELECT seq_index, cds, prev b, b e FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY seq_index, cds ORDER BY b), 0) prev FROM (SELECT seq_index, cds, b, e FROM aaranges UNION ALL SELECT seq_index, cds, n, n FROM peplen)) WHERE b > prev"
+
+
+@query("t6_unsequenced_ranges", "unseq", 'SELECT seq_index, cds, b "begin", e "end" FROM unseq')
 def _(spark, d):
     c = coding(spark, d)
     return aa.unsequenced_ranges(c.ranges, c.peptides)
@@ -200,12 +214,23 @@ def _(spark, d):
     return aa_changes(spark, d)[1]
 
 
-@query("t8_group_aa_changes")
+fx.SQL["aasessions"] = "SELECT seq_index, cds, no, min(pos) f, max(pos) l, count(*) n FROM (SELECT *, sum(fresh) OVER (PARTITION BY seq_index, cds ORDER BY pos) no FROM (SELECT *, coalesce(pos > lag(pos) OVER (PARTITION BY seq_index, cds ORDER BY pos) + 3, true)::INT fresh FROM aachanges)) GROUP BY 1,2,3"
+fx.SQL["aapads"] = "SELECT s.seq_index, s.cds, no, x FROM (SELECT *, unnest([f-2,f-1,l+1,l+2]) x FROM aasessions) s WHERE x>=0 AND EXISTS (SELECT 1 FROM aaranges a WHERE a.seq_index=s.seq_index AND a.cds=s.cds AND x>=a.b AND x<a.e)"
+fx.SQL["aagroups"] = "SELECT s.seq_index, s.cds, least(f, coalesce(min(x), f))::INT b, (greatest(l, coalesce(max(x), l))+1)::INT e, n FROM aasessions s LEFT JOIN aapads p USING (seq_index, cds, no) GROUP BY s.seq_index, s.cds, no, f, l, n"
+
+
+@query("t8_group_aa_changes", "aagroups", 'SELECT seq_index, cds, b "begin", e "end", n FROM aagroups')
 def _(spark, d):
     c, x = aa_changes(spark, d)
     return aa.group_aa_changes(x, c.ranges)
 
 
+@query("t8_group_nuc_changes", "aagroups cdspos cells", "SELECT g.seq_index, g.cds, b \"begin\", e \"end\", string_agg(ref||(c.pos+1)||qry, ',' ORDER BY c.pos) changes FROM aagroups g JOIN cdspos p ON p.cds=g.cds AND p.cds_pos//3>=b AND p.cds_pos//3<e JOIN cells c ON c.seq_index=g.seq_index AND c.pos=p.pos WHERE qry IN ('A','C','G','T') AND qry<>ref GROUP BY 1,2,3,4")
+def _(spark, d):
+    c, x = aa_changes(spark, d)
+    return aa.nuc_changes_in_groups(aa.group_aa_changes(x, c.ranges), nuc.find_nuc_subs(c.aligned, c.ref), c.segments)
+
+
 @query("t9_nuc_to_aa", "aachanges cdspos", "SELECT seq_index, p.pos, string_agg(DISTINCT a.cds||':'||ref||(a.pos+1)||qry, ',' ORDER BY a.cds||':'||ref||(a.pos+1)||qry) changes FROM aachanges a JOIN cdspos p ON p.cds=a.cds AND p.cds_pos//3=a.pos GROUP BY 1,2")
 def _(spark, d):
     c, x = aa_changes(spark, d)
@@ -219,6 +244,27 @@ def _(spark, d):
 
 
 MOTIFS = {"glyc": "[NSTA][^P][ST]", "pair": "LL|RR|SS"}
+fx.SQL["peps"] = "SELECT seq_index, cds, string_agg(qry,'' ORDER BY pos) aa FROM codons GROUP BY 1,2"
+fx.SQL["refpeps"] = "SELECT cds, string_agg(ref,'' ORDER BY pos) aa FROM refcodons GROUP BY 1"
+
+
+def motif_views(name: str, spans: str) -> None:
+    """Views of the motifs in (seq_index, cds, b, s): of all places that fit, the first, then the first that is free, ..."""
+    fx.SQL[f"fit{name}"] = (
+        f"SELECT * FROM (SELECT seq_index, 'glyc' AS name, cds, b, s, 3 size, unnest(range(length(s)-2)) p FROM {spans} UNION ALL SELECT seq_index, 'pair', cds, b, s, 2, unnest(range(length(s)-1)) FROM {spans}) "
+        f"WHERE regexp_matches(substr(s, p+1, size), CASE WHEN name='glyc' THEN '^(?:{MOTIFS['glyc']})$' ELSE '^(?:{MOTIFS['pair']})$' END)"
+    )
+    fx.SQL[f"rec_{name}"] = (
+        f"SELECT seq_index, name, cds, b, min(p) p FROM fit{name} GROUP BY 1,2,3,4 UNION ALL SELECT g.seq_index, g.name, g.cds, g.b, min(f.p) FROM rec_{name} g JOIN fit{name} f ON f.seq_index=g.seq_index AND f.name=g.name AND f.cds=g.cds "
+        "AND f.b=g.b AND f.p>=g.p+f.size GROUP BY 1,2,3,4"
+    )
+    fx.SQL[f"motifs{name}"] = f"SELECT f.seq_index, f.name, f.cds, (f.b+f.p)::INT pos, substr(f.s, f.p+1, f.size) AS text FROM fit{name} f JOIN rec_{name} USING (seq_index, name, cds, b, p)"
+
+
+fx.SQL["pepspans"] = "SELECT seq_index, cds, b, substr(aa, b+1, e-b) s FROM peps JOIN aaranges USING (seq_index, cds)"
+fx.SQL["refspans"] = "SELECT 0 seq_index, cds, 0 b, aa s FROM refpeps"
+motif_views("qry", "pepspans")
+motif_views("ref", "refspans")
 
 
 def with_motifs(spark, d) -> tuple[SimpleNamespace, DataFrame]:
@@ -226,12 +272,18 @@ def with_motifs(spark, d) -> tuple[SimpleNamespace, DataFrame]:
     return c, aa.find_motifs(c.peptides, c.ranges, MOTIFS)
 
 
-@query("t11_find_motifs")
+@query("t11_find_motifs", "motifsqry", "SELECT * FROM motifsqry")
 def _(spark, d):
     return with_motifs(spark, d)[1]
 
 
-@query("t12_motif_changes")
+T12 = """SELECT seq_index, name, cds, pos, r.text ref_text, q.text qry_text, 'preserved' AS change FROM motifsqry q JOIN (SELECT name, cds, pos, text FROM motifsref) r USING (name, cds, pos)
+UNION ALL SELECT seq_index, name, cds, pos, NULL, text, 'gained' FROM motifsqry q ANTI JOIN motifsref USING (name, cds, pos)
+UNION ALL SELECT w.seq_index, w.name, w.cds, w.pos, w.text, here, CASE WHEN contains(here,'X') THEN 'ambiguous' ELSE 'lost' END FROM (SELECT p.seq_index, m.name, m.cds, m.pos, m.text, substr(aa, m.pos+1, length(m.text)) here FROM peps p JOIN motifsref m USING (cds)) w
+ANTI JOIN motifsqry q ON q.seq_index=w.seq_index AND q.name=w.name AND q.cds=w.cds AND q.pos=w.pos WHERE EXISTS (SELECT 1 FROM aaranges a WHERE a.seq_index=w.seq_index AND a.cds=w.cds AND w.pos>=a.b AND w.pos+length(w.text)<=a.e)"""
+
+
+@query("t12_motif_changes", "motifsqry motifsref peps aaranges", T12)
 def _(spark, d):
     c, m = with_motifs(spark, d)
     whole = c.ref_peptides.select(F.lit(0).cast("long").alias("seq_index"), "cds", "aa")
@@ -262,21 +314,29 @@ def right_muts(spark, d) -> DataFrame:
     return a.union(m.where("pos % 5 = 0").withColumn("pos", F.col("pos") + 300))
 
 
-@query("m1_parse_mutations", "muts", "SELECT seq_index, cds, pos, ref, qry, true AS valid FROM muts")
+fx.SQL["m1rows"] = "SELECT seq_index, pos, ref, qry, (seq_index+pos)%5 kind FROM muts"
+
+
+@query("m1_parse_mutations", "m1rows", "SELECT seq_index, CASE WHEN kind=0 THEN 'S' WHEN kind<3 THEN 'nuc' END cds, CASE WHEN kind<3 THEN pos END pos, CASE WHEN kind<2 THEN ref END AS ref, CASE WHEN kind<3 THEN qry END qry, kind<3 AS valid FROM m1rows")
 def _(spark, d):
-    m = fx.muts(spark, d).select("seq_index", parse_mutation(mutation_text(F.col("cds"), F.col("ref"), F.col("pos"), F.col("qry"))).alias("m"))
-    return m.select("seq_index", "m.*")
+    m = fx.muts(spark, d).withColumn("kind", (F.col("seq_index") + F.col("pos")) % 5)
+    whole = mutation_text(F.lit("nuc"), F.col("ref"), F.col("pos"), F.col("qry"))
+    genotype = F.concat((F.col("pos") + 1).cast("string"), "qry")
+    text = F.when(F.col("kind") == 0, F.concat(F.lit("S:"), whole)).when(F.col("kind") == 1, whole).when(F.col("kind") == 2, genotype).when(F.col("kind") == 3, F.concat(F.col("ref"), F.lit("0"), "qry")).otherwise(F.concat(whole, F.lit("?")))
+    return m.select("seq_index", parse_mutation(text).alias("m")).select("seq_index", "m.*")
 
 
-@query("m2_split_muts", "muts rightmuts", "SELECT seq_index, cds, pos, ref, qry, CASE WHEN count(*)=2 THEN 'shared' ELSE min(s) END side FROM (SELECT *, 'left' s FROM muts UNION ALL SELECT *, 'right' FROM rightmuts) GROUP BY 1,2,3,4,5")
+@query("m2_split_muts", "muts rightmuts", "SELECT seq_index, cds, pos, ref, qry, CASE WHEN count(*)=2 THEN 'shared' ELSE min(s) END side FROM (SELECT *, 'left' s FROM muts WHERE pos%7<>2 UNION ALL SELECT *, 'right' FROM rightmuts WHERE pos%7<>2) GROUP BY 1,2,3,4,5 UNION ALL SELECT m.seq_index, m.cds, m.pos, m.ref, m.qry, CASE WHEN r.pos IS NULL THEN 'left' ELSE 'error' END FROM muts m LEFT JOIN rightmuts r USING (seq_index, cds, pos) WHERE m.pos%7=2 UNION ALL SELECT seq_index, cds, pos, 'N', qry, 'right' FROM rightmuts ANTI JOIN muts USING (seq_index, cds, pos) WHERE pos%7=2")
 def _(spark, d):
-    return muts.split_muts(fx.muts(spark, d), right_muts(spark, d), ["seq_index"])
+    wrong = right_muts(spark, d).withColumn("ref", F.when(F.col("pos") % 7 == 2, "N").otherwise(F.col("ref")))
+    return muts.split_muts(fx.muts(spark, d), wrong, ["seq_index"])
 
 
-@query("m3_compose_muts", "muts", f"SELECT seq_index, cds, pos, ref, CASE WHEN pos%3=0 THEN {NEXT} ELSE qry END qry, true AS valid FROM muts")
+@query("m3_compose_muts", "muts", f"SELECT seq_index, cds, pos, CASE WHEN pos%9=0 THEN 'N' ELSE ref END AS ref, CASE WHEN pos%9=0 THEN qry WHEN pos%3=0 THEN {NEXT} ELSE qry END qry, (pos%9<>0 OR {NEXT}=ref) AS valid FROM muts")
 def _(spark, d):
     m = fx.muts(spark, d)
-    after = m.where("pos % 3 = 0").select("seq_index", "cds", "pos", F.col("qry").alias("ref"), F.translate("qry", "ACGT", "CGTA").alias("qry"))
+    first = F.when(F.col("pos") % 9 == 0, "N").otherwise(F.col("qry"))
+    after = m.where("pos % 3 = 0").select("seq_index", "cds", "pos", first.alias("ref"), F.translate("qry", "ACGT", "CGTA").alias("qry"))
     return muts.compose_muts(after, m, ["seq_index"])
 
 
@@ -361,17 +421,45 @@ def _(spark, d):
     return tree.private_summary(privates(spark, d, t, near), fx.labels(spark), fx.seqs(spark, d))
 
 
-@query("n8_private_aa")
+SMALL_REF = "substr('ACGT', (pos%4+1)::INT, 1)"
+
+
+def codon_views(name: str, key: str, states: str) -> None:
+    """Amino acids of the codons that the states (key, pos, qry) touch."""
+    fx.SQL[f"cod{name}"] = (
+        f"SELECT {key}, cds, k AS pos, coalesce(c.aa,'X') qry FROM (SELECT t.{key}, t.cds, t.k, string_agg(CASE WHEN t.cds='N' THEN translate(coalesce(s.qry, {SMALL_REF.replace('pos', 'p.pos')}), '{CODES}', '{COMPLEMENTS}') "
+        f"ELSE coalesce(s.qry, {SMALL_REF.replace('pos', 'p.pos')}) END, '' ORDER BY p.cds_pos) codon FROM (SELECT DISTINCT {key}, c2.cds, cds_pos//3 k FROM {states} s2 JOIN cdspos c2 ON c2.pos=s2.pos) t "
+        f"JOIN cdspos p ON p.cds=t.cds AND p.cds_pos//3=t.k LEFT JOIN {states} s ON s.{key}=t.{key} AND s.pos=p.pos GROUP BY 1,2,3) LEFT JOIN code c USING (codon)"
+    )
+
+
+codon_views("seq", "seq_index", "state")
+codon_views("node", "node_id", "nodemuts")
+fx.SQL["smallaa"] = f"SELECT cds, k AS pos, aa ref FROM (SELECT cds, cds_pos//3 k, string_agg(CASE WHEN cds='N' THEN translate({SMALL_REF},'ACGT','TGCA') ELSE {SMALL_REF} END, '' ORDER BY cds_pos) codon FROM cdspos GROUP BY 1,2) JOIN code USING (codon)"
+fx.SQL["aaspan"] = "SELECT seq_index, cds, ((greatest(b,b2)-b2+before)//3)::INT b, ((least(e,e2)-b2+before)//3)::INT e FROM span JOIN segs ON b < e2 AND e > b2"
+fx.SQL["aaunknown"] = "SELECT DISTINCT seq_index, cds, (cds_pos//3)::INT p FROM (SELECT seq_index, unnest(range(b, e))::INT pos FROM missing) JOIN cdspos USING (pos)"
+fx.SQL["aastates"] = "SELECT seq_index, cds, pos, s.qry FROM codseq s JOIN smallaa r USING (cds, pos) WHERE s.qry<>'X' AND s.qry<>ref"
+fx.SQL["aanode"] = "SELECT n.seq_index, c.cds, c.pos, c.qry node_qry FROM nearest n JOIN codnode c USING (node_id) JOIN smallaa r ON r.cds=c.cds AND r.pos=c.pos WHERE c.qry<>ref"
+fx.SQL["aajoint"] = "SELECT seq_index, cds, pos, s.qry, n.node_qry, r.ref FROM aastates s FULL JOIN aanode n USING (seq_index, cds, pos) JOIN smallaa r USING (cds, pos)"
+N8 = """SELECT seq_index, cds, pos::INT pos, coalesce(node_qry, ref) ref, qry, false reversion FROM aajoint WHERE qry IS NOT NULL AND qry IS DISTINCT FROM node_qry
+UNION ALL SELECT x.seq_index, x.cds, x.pos::INT, x.node_qry, x.ref, true FROM aajoint x WHERE x.qry IS NULL AND EXISTS (SELECT 1 FROM aaspan a WHERE a.seq_index=x.seq_index AND a.cds=x.cds AND x.pos>=a.b AND x.pos<a.e)
+AND NOT EXISTS (SELECT 1 FROM aaunknown u WHERE u.seq_index=x.seq_index AND u.cds=x.cds AND u.p=x.pos)"""
+
+
+@query("n8_private_aa", "aajoint aaspan aaunknown", N8)
 def _(spark, d):
-    c, x = aa_changes(spark, d)
-    n = tree_of(spark, d).nodes
-    size = n.count()
-    near = c.aligned.select("seq_index", (F.pmod(F.xxhash64("seq_index"), F.lit(size)) + 1).alias("node_id"))
-    states = n.select("node_id", F.lit("S").alias("cds"), (F.col("node_id") % 50).cast("int").alias("pos"), F.lit("K").alias("qry"))
-    ref = c.ref_peptides.select("cds", F.posexplode(F.split("aa", "")).alias("pos", "ref"))
-    unknown = aa.unsequenced_ranges(c.ranges, c.peptides)
-    gone = x.where("qry = '-'").select("seq_index", "cds", "pos")
-    return tree.private_mutations(x.where("qry <> '-'"), gone, near, states, c.ranges, unknown, ref, keep_undeletions=True)
+    t, near = placed(spark, d)
+    seg, letters_of = fx.segments(spark), fx.small_ref(spark)
+    state = fx.muts(spark, d).select("seq_index", "pos", "qry").union(fx.gone(spark, d).select("seq_index", "pos", F.lit("-")))
+    whole = cut_lineage(aa.codon_states(letters_of.select(F.lit(0).alias("k"), "pos", F.col("ref").alias("qry")), "k", seg, letters_of).select("cds", "pos", F.col("qry").alias("ref")))
+    differs = lambda x: x.join(F.broadcast(whole), ["cds", "pos"]).where("qry <> ref").drop("ref")
+    x = cut_lineage(differs(aa.codon_states(state, "seq_index", seg, letters_of)).where("qry <> 'X'"))
+    nodes = differs(aa.codon_states(t.states.select("node_id", "pos", "qry"), "node_id", seg, letters_of))
+    spots = nuc.cds_positions(seg).select("cds", "pos", "codon")
+    holes = fx.missing(spark, d).select("seq_index", F.explode(F.sequence("begin", F.col("end") - 1)).alias("pos")).join(F.broadcast(spots), "pos")
+    unknown = holes.select("seq_index", "cds", F.col("codon").alias("begin"), (F.col("codon") + 1).alias("end")).distinct()
+    span = aa.aa_ranges(fx.span(spark, d), seg)
+    return tree.private_mutations(x.where("qry <> '-'"), x.where("qry = '-'").select("seq_index", "cds", "pos"), near, nodes, span, unknown, whole, keep_undeletions=True)
 
 
 FOUNDER = "SELECT seq_index, coalesce(f, node_id) founder_id FROM nearest LEFT JOIN (SELECT c.node_id, arg_max(c.ancestor_id, c.distance) f FROM cl c JOIN nodes a ON a.node_id=c.node_id JOIN nodes b ON b.node_id=c.ancestor_id WHERE a.clade=b.clade GROUP BY 1) USING (node_id)"
@@ -407,9 +495,16 @@ fx.SQL["fboth"] = "SELECT seq_index, cds, pos, s.qry, n.node_qry, substr('ACGT',
 fx.SQL["fprivate"] = "SELECT seq_index, cds, pos, coalesce(node_qry, ref) ref, qry, false reversion FROM fboth WHERE qry IS NOT NULL AND qry IS DISTINCT FROM node_qry UNION ALL SELECT x.seq_index, x.cds, x.pos, x.node_qry, x.ref, true FROM fboth x JOIN span s USING (seq_index) JOIN missing m USING (seq_index) WHERE x.qry IS NULL AND x.pos >= s.b AND x.pos < s.e AND NOT (x.pos >= m.b AND x.pos < m.e)"
 
 
-@query("n11_relative_mutations", "fprivate", "SELECT seq_index, 'clade' ref_kind, cds, pos, ref, qry, reversion FROM fprivate")
+fx.SQL["pstate"] = "SELECT n.seq_index, m.cds, m.pos, m.qry node_qry FROM nearest n JOIN nodes x USING (node_id) JOIN nodemuts m ON m.node_id=x.parent_id"
+fx.SQL["pboth"] = fx.SQL["fboth"].replace("fstate", "pstate").replace("FULL JOIN", "FULL JOIN")
+fx.SQL["pprivate"] = (
+    "SELECT * FROM (" + fx.SQL["fprivate"].replace("fboth", "pboth") + ") WHERE seq_index IN (SELECT seq_index FROM nearest JOIN nodes USING (node_id) WHERE parent_id IS NOT NULL)"
+)
+
+
+@query("n11_relative_mutations", "fprivate pprivate", "SELECT seq_index, 'clade' ref_kind, cds, pos, ref, qry, reversion FROM fprivate UNION ALL SELECT seq_index, 'parent', cds, pos, ref, qry, reversion FROM pprivate")
 def _(spark, d):
-    return relative(spark, d)[1].where("ref_kind = 'clade'")
+    return relative(spark, d)[1]
 
 
 fx.SQL["pcount"] = "SELECT seq_index, count(*) FILTER (plain AND NOT masked) n, count(*) FILTER (plain AND masked) nm, count(*) FILTER (NOT plain) o FROM (SELECT *, ref<>'-' AND qry<>'-' plain, pos<10 OR pos>=290 masked FROM private) GROUP BY 1"
@@ -438,7 +533,20 @@ def _(spark, d):
     return refined(spark, d)[2]
 
 
-@query("n15_attach_nodes")
+fx.SQL["diverged"] = "SELECT x.seq_index, node_id, n2.clade, n2.div + CASE WHEN coalesce(n,0)=0 AND coalesce(nm,0)+coalesce(o,0)>0 THEN 0.06 ELSE coalesce(n,0) END div FROM nearest x JOIN nodes n2 USING (node_id) LEFT JOIN pcount p USING (seq_index)"
+N15 = """SELECT d.seq_index, d.node_id parent_id, m.t muts, coalesce(m.n,0)::BIGINT n_private, round(d.div,6) div, d.clade, row_number() OVER (ORDER BY coalesce(m.n,0), d.seq_index) - 1 AS rank
+FROM diverged d LEFT JOIN (SELECT seq_index, string_agg(ref||(pos+1)||qry, ',' ORDER BY pos, ref||(pos+1)||qry) t, count(*) n FROM private GROUP BY 1) m USING (seq_index)"""
+
+
+@query("n15_attach_nodes", "diverged private", N15)
+def _(spark, d):
+    t, near = placed(spark, d)
+    private = cut_lineage(privates(spark, d, t, near).drop("reversion"))
+    out = tree.attach_nodes(near.select("seq_index", "node_id"), private, tree.divergence(private, near, t.nodes, t.masks), t.nodes, fx.seqs(spark, d))
+    return out.withColumn("muts", F.try_element_at("muts", F.lit("nuc"))).withColumn("div", F.round("div", 6))
+
+
+@query("n15_attach_refined")
 def _(spark, d):
     t, near, place, private = refined(spark, d)
     div = tree.divergence(private, place, t.nodes, t.masks)
@@ -482,9 +590,9 @@ def _(spark, d):
     return qc.snp_clusters(fx.muts(spark, d), 100, 2)
 
 
-@query("c5_qc_frame_shifts")
+@query("c5_qc_frame_shifts", "shifts", "SELECT seq_index, count(*) FILTER (NOT i) n, count(*) FILTER (i) n_ignored, (count(*) FILTER (NOT i)*75)::DOUBLE score FROM (SELECT *, cds='S' AND codon_begin<8 AND codon_end=50 i FROM shifts) GROUP BY 1")
 def _(spark, d):
-    ignored = spark.createDataFrame([("M", 10, 20)], "cds string, codon_begin int, codon_end int")
+    ignored = spark.createDataFrame([("S", k, 50) for k in range(8)], "cds string, codon_begin int, codon_end int")
     return qc.frame_shift_score(shifted(spark, d)[1], ignored)
 
 
@@ -598,16 +706,26 @@ def _(spark, d):
     return detect.best_dataset(x.seqs, x.hits).withColumn("score", F.round("score", 6))
 
 
-@query("k5_global_datasets")
+PICKED = "CASE WHEN b.n=a.n THEN b ELSE a END"
+fx.SQL["hitcounts"] = "SELECT seq_index, ref_id, name, rank FROM hits"
+fx.SQL["rec_cover"] = (
+    "SELECT 0, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, [-1::BIGINT] UNION ALL SELECT round+1, p.pick.ref_id, p.pick.name, p.n_hits, list_concat(done, (SELECT list(DISTINCT h.seq_index) FROM hitcounts h WHERE h.ref_id=p.pick.ref_id)) "
+    f"FROM rec_cover g, LATERAL (SELECT {PICKED} pick, b.n n_hits FROM (SELECT arg_max({{'ref_id':ref_id,'name':name,'n':n}}, n*1000000-ref_id) a, arg_max({{'ref_id':ref_id,'name':name,'n':n}}, top*1000000-ref_id) b FROM "
+    "(SELECT ref_id, name, count(*) n, count(*) FILTER (rank=1) top FROM hitcounts h WHERE NOT list_contains(g.done, h.seq_index) GROUP BY 1,2))) p WHERE p.pick.ref_id IS NOT NULL"
+)
+fx.SQL["cover"] = "SELECT row_number() OVER (ORDER BY n_assigned DESC, round DESC) - 1 suggestion, ref_id, name, n_hits, n_assigned FROM (SELECT g.*, (SELECT count(DISTINCT seq_index) FROM hitcounts h WHERE h.ref_id=g.ref_id) n_assigned FROM rec_cover g WHERE ref_id IS NOT NULL)"
+
+
+@query("k5_global_datasets", "cover", "SELECT suggestion::INT suggestion, ref_id, name, n_hits, n_assigned FROM cover")
 def _(spark, d):
     return detect.global_datasets(cut_lineage(detection(spark, d).hits))
 
 
-@query("k6_assign_global")
+@query("k6_assign_global", "rawseqs hits cover", "SELECT seq_index, name, n_hits, round(score,6) score FROM rawseqs LEFT JOIN (SELECT h.* FROM hits h JOIN cover c USING (ref_id) QUALIFY row_number() OVER (PARTITION BY seq_index ORDER BY suggestion)=1) USING (seq_index)")
 def _(spark, d):
     x = detection(spark, d)
     hits = cut_lineage(x.hits)
-    return detect.assign_global(x.seqs, hits, detect.global_datasets(hits))
+    return detect.assign_global(x.seqs, hits, detect.global_datasets(hits)).withColumn("score", F.round("score", 6))
 
 
 @query("k7_detection_summary", "rawseqs hits", f"SELECT name, count(*) n, round(count(*)*100.0/(SELECT count(*) FROM rawseqs),6) percent FROM ({BEST}) GROUP BY 1")
@@ -626,24 +744,69 @@ def unaligned(spark, d) -> tuple[str, DataFrame, DataFrame]:
     return ref, s, spark.createDataFrame([(0, ref)], "seq_index long, seq string")
 
 
-@query("a1_seed_hits")
+SEED, EVERY, SPAN = 15, 30, 22
+PLACES = [i for i in range(SPAN) if i % 3 != 2][:SEED]
+RC = f"reverse(translate(s,'{CODES}','{COMPLEMENTS}'))"
+SEED_TEXT = " || ".join(f"substr(s, i+{k + 1}, 1)" for k in PLACES)
+fx.SQL["rawun"] = f"SELECT seq_index, CASE WHEN seq_index%7=3 THEN {RC} ELSE s END s FROM (SELECT seq_index, replace(a,'-','') s FROM alns)"
+fx.SQL["refseeds"] = f"SELECT i ref_pos, k FROM (SELECT i, {SEED_TEXT} k FROM (SELECT r s, unnest(range(length(r)-{SPAN - 1})) i FROM ref)) WHERE NOT regexp_matches(k, '[^ACGT]')"
+
+
+def seed_views(seqs: str, name: str) -> None:
+    """Views of hits and covers of a table (seq_index, s)."""
+    fx.SQL[f"hits{name}"] = (
+        f"SELECT seq_index, i::INT qry_pos, ref_pos::INT ref_pos, (ref_pos-i)::INT \"offset\" FROM (SELECT seq_index, i, {SEED_TEXT} k FROM (SELECT seq_index, s, unnest(range(length(s)-{SPAN - 1})) i FROM {seqs} "
+        f"WHERE length(s)>={SPAN}) WHERE i%{EVERY}<3) JOIN refseeds USING (k)"
+    )
+    fx.SQL[f"spans{name}"] = (
+        f'SELECT seq_index, "offset" o, min(qry_pos) b, max(qry_pos)+{SPAN} e FROM (SELECT *, sum(fresh) OVER (PARTITION BY seq_index, "offset" ORDER BY qry_pos) no FROM (SELECT *, '
+        f'(coalesce(qry_pos > lag(qry_pos) OVER (PARTITION BY seq_index, "offset" ORDER BY qry_pos) + {2 * EVERY}, true))::INT fresh FROM hits{name})) GROUP BY seq_index, "offset", no'
+    )
+    fx.SQL[f"covered{name}"] = (
+        "SELECT seq_index, sum(greatest(0, e - greatest(b, far))) covered, min(o) low, max(o) high FROM (SELECT *, coalesce(max(e) OVER (PARTITION BY seq_index ORDER BY b, e, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) far "
+        f"FROM spans{name}) GROUP BY 1"
+    )
+    fx.SQL[f"cover{name}"] = (
+        "SELECT seq_index, CASE WHEN x>=0.33 THEN x ELSE y END cover, low, high, greatest(x,y)>=0.33 ok FROM (SELECT u.seq_index, low, high, coalesce(CASE WHEN length(s)>0 THEN covered/least(length(s), 3000)::DOUBLE END, 0) x, "
+        f"coalesce(CASE WHEN regexp_matches(s,'[ACGT]') THEN covered/least(length(regexp_replace(s,'[^ACGT]','','g')), 3000)::DOUBLE END, 0) y FROM {seqs} u LEFT JOIN covered{name} USING (seq_index))"
+    )
+
+
+seed_views("rawun", "un")
+fx.SQL["turnedun"] = f"SELECT u.seq_index, {RC} s FROM rawun u JOIN coverun USING (seq_index) WHERE NOT ok"
+seed_views("turnedun", "rc")
+
+
+@query("a1_seed_hits", "hitsun", "SELECT * FROM hitsun")
 def _(spark, d):
     ref, s, r = unaligned(spark, d)
-    return align.seed_hits(s, r, 15, 30)
+    return align.seed_hits(s, r, SEED, EVERY)
 
 
-@query("a2_seed_cover")
+COVER = "SELECT seq_index, round(cover,6) cover, low::INT low, high::INT high, ok, {} is_rc FROM {}"
+
+
+@query("a2_seed_cover", "coverun coverrc", COVER.format("false", "coverun WHERE seq_index NOT IN (SELECT seq_index FROM coverrc WHERE ok) UNION ALL ") + COVER.format("true", "coverrc WHERE ok"))
 def _(spark, d):
     ref, s, r = unaligned(spark, d)
-    return align.oriented(s, r, len(ref), 15, 30).drop("seq").withColumn("cover", F.round("cover", 6))
+    return align.oriented(s, r, len(ref), SEED, EVERY).drop("seq", "spans").withColumn("cover", F.round("cover", 6))
+
 
+A3 = """SELECT e.seq_index, (3*(3000-skip-del_size-coalesce(n,0)) - coalesce(n,0) - 6 - CASE WHEN ins='' THEN 0 ELSE 6 END)::BIGINT score, e.seq_index%7=3 is_rc, NULL::VARCHAR errors,
+(skip+del_size)::BIGINT qry_gaps, length(ins)::BIGINT ref_gaps, true whole FROM edits e LEFT JOIN edit_subs USING (seq_index) WHERE e.seq_index%50<>1
+UNION ALL SELECT seq_index, NULL, false, 'sequence is too short: 60', NULL, NULL, NULL FROM edits WHERE seq_index%50=1"""
 
-@query("a3_align")
+
+@query("a3_align", "edits edit_subs", A3)
 def _(spark, d):
-    ref, s, r = unaligned(spark, d)
-    cost = [x["cost"] for x in align.gap_open_scores(len(ref), fx.segments(spark)).orderBy("pos").collect()]  # one number a reference base
-    out = align.align_to_reference(cut_lineage(align.oriented(s, r, len(ref), 15, 30)), ref, cost, 50)
-    return out.select("seq_index", "score", "is_rc", "errors", F.md5("qry_aln").alias("qry_md5"), F.md5("ref_aln").alias("ref_md5"))
+    s = fx.once(spark, d, "edited", fx.edited(spark, d))
+    cost = [x["cost"] for x in align.gap_open_scores(fx.REF_SIZE, fx.segments(spark)).orderBy("pos").collect()]  # one number a reference base
+    found = cut_lineage(align.oriented(s, spark.createDataFrame([(0, fx.REF)], "seq_index long, seq string"), fx.REF_SIZE, SEED, EVERY))
+    out = align.align_to_reference(found, fx.REF, cost)
+    gaps = lambda c: (F.length(c) - F.length(F.replace(c, F.lit("-"), F.lit("")))).cast("long")
+    same = (F.replace("qry_aln", F.lit("-"), F.lit("")) == F.col("seq")) & (F.replace("ref_aln", F.lit("-"), F.lit("")) == fx.REF)
+    out = out.join(found.select("seq_index", "seq"), "seq_index")
+    return out.select("seq_index", "score", (F.col("is_rc") & F.col("errors").isNull()).alias("is_rc"), "errors", gaps(F.col("qry_aln")).alias("qry_gaps"), gaps(F.col("ref_aln")).alias("ref_gaps"), same.alias("whole"))
 
 
 @query("a4_gap_open_scores", "ref cdspos muts", "SELECT m.pos, coalesce(c.cost, 6)::INT cost, n FROM (SELECT pos, count(*) n FROM muts GROUP BY 1) m LEFT JOIN (SELECT pos, arg_max(CASE WHEN cds_pos%3 = CASE WHEN cds='N' THEN 2 ELSE 0 END THEN 7 ELSE 8 END, cds) cost FROM cdspos GROUP BY 1) c USING (pos)")
@@ -687,15 +850,30 @@ def _(spark, d):
     return rounded(results.run_filters(all_results(spark, d), m, m, name="1", nuc="..T", clade="c", statuses=["good", "bad"], errors=False))
 
 
-@query("r7_sort_results", "res", RES.format(", errors", "res"))
+def places(name: str, order: str) -> str:
+    return f"SELECT seq_index, {name}, row_number() OVER (ORDER BY {order}) - 1 AS place FROM res"
+
+
+@query("r7_sort_results", "res", places("n_subs", "n_subs DESC NULLS LAST, seq_index"))
+def _(spark, d):
+    return numbered(results.sort_results(all_results(spark, d), "n_subs", True), "place").select("seq_index", "n_subs", "place")
+
+
+fx.SQL["resshifts"] = "SELECT seq_index, errors, CASE WHEN errors IS NULL THEN seq_index%4 END n_frame_shifts, CASE WHEN errors IS NULL THEN seq_index%3 END n_frame_shifts_ignored FROM res"
+
+
+@query("r7_sort_by_frame_shifts", "resshifts", "SELECT seq_index, row_number() OVER (ORDER BY n_frame_shifts*1000+n_frame_shifts_ignored NULLS LAST, seq_index) - 1 AS place FROM resshifts")
 def _(spark, d):
-    return rounded(results.sort_results(all_results(spark, d), "n_subs", True))
+    r = all_results(spark, d).select("seq_index", "errors")
+    ok = lambda n: F.when(F.col("errors").isNull(), F.col("seq_index") % n)
+    r = r.withColumns({"n_frame_shifts": ok(4), "n_frame_shifts_ignored": ok(3)})
+    return numbered(results.sort_results(r, "frame_shifts"), "place").select("seq_index", "place")
 
 
-@query("r8_sort_by_attribute", "res", RES.format(", errors", "res"))
+@query("r8_sort_by_attribute", "res", places("qc_status", "coalesce(qc_status, '') DESC, seq_index"))
 def _(spark, d):
-    r = all_results(spark, d).withColumn("attrs", F.create_map(F.lit("status"), F.coalesce("qc_status", F.lit(""))))
-    return rounded(results.sort_by_entry(r, "attrs", "status").drop("attrs"))
+    r = all_results(spark, d).withColumn("attrs", F.map_filter(F.create_map(F.lit("status"), F.coalesce("qc_status", F.lit(""))), lambda k, v: v != ""))
+    return numbered(results.sort_by_entry(r, "attrs", "status", True), "place").select("seq_index", "qc_status", "place")
 
 
 @query("r9_mutations_relative_to", "fprivate", "SELECT seq_index, cds, pos, ref, qry, reversion, 'clade' ref_kind FROM fprivate")
@@ -772,6 +950,23 @@ def _(spark, d):
     return fasta.parse_header(fx.sequences(spark, d)).select("seq_index", "seq_id", "seq_desc")
 
 
+@query("s3_write_fasta", "rawseqs", "SELECT 0::BIGINT place, 'ref' seq_name, (SELECT r FROM ref) seq UNION ALL SELECT row_number() OVER (ORDER BY doc_id), 's' || doc_id || ' ' || lang || CASE WHEN doc_id%3=0 THEN ' |reverse complement|' ELSE '' END, translate(s0,'-','') FROM rawseqs JOIN documents ON doc_id=seq_index".replace("(SELECT r FROM ref)", f"'{fx.REF}'"))
+def _(spark, d):
+    path = f"{folder(spark)}/fasta"
+    s = fx.sequences(spark, d).withColumn("is_rc", F.col("seq_index") % 3 == 0)
+    fasta.write_fasta(s, path, ref=("ref", fx.REF))
+    return fasta.read_fasta(spark, [path]).select(F.col("seq_index").alias("place"), "seq_name", "seq")
+
+
+@query("s4_write_peptides", "codons", "SELECT cds, 's' || seq_index AS seq_name, string_agg(qry,'' ORDER BY pos) aa FROM codons GROUP BY seq_index, cds")
+def _(spark, d):
+    path = f"{folder(spark)}/peptides"
+    p = coding(spark, d).peptides.select("cds", F.concat(F.lit("s"), F.col("seq_index").cast("string")).alias("seq_name"), "aa")
+    fasta.write_peptides(p, path)
+    back = spark.read.text(path, lineSep="\n>").select("cds", F.split(F.regexp_replace("value", r"^>|\n$", ""), "\n").alias("v"))
+    return back.select("cds", F.col("v")[0].alias("seq_name"), F.col("v")[1].alias("aa"))
+
+
 @query("s5_results_json", "called", RES.format("", "called"))
 def _(spark, d):
     path = f"{folder(spark)}/json"
@@ -791,15 +986,112 @@ def _(spark, d):
     return results.substitution_cells(fx.muts(spark, d))
 
 
-@query("s8_combine", "res", RES.format(", errors", "res"))
+RANGE_TEXT = "CASE WHEN e=b+1 THEN (b+1)::VARCHAR ELSE (b+1) || '-' || e END"
+fx.SQL["strips"] = "SELECT seq_index, pos, string_agg(qry,'' ORDER BY p0) ins FROM (SELECT seq_index, pos AS p0, qry, (count(*) FILTER (qry<>'R') OVER (PARTITION BY seq_index ORDER BY pos) - 1)::INT pos FROM cells) WHERE qry='R' GROUP BY 1,2"
+fx.SQL["nranges"] = "SELECT seq_index, letter, min(pos) b, max(pos)+1 e FROM (SELECT seq_index, qry letter, pos, pos - row_number() OVER (PARTITION BY seq_index, qry ORDER BY pos) g FROM cells WHERE qry IN ('N','R')) GROUP BY 1, 2, g"
+S7 = f"""SELECT seq_index, 'ranges' kind, string_agg(letter || ':' || {RANGE_TEXT}, ',' ORDER BY b, e) cell FROM nranges GROUP BY 1
+UNION ALL SELECT seq_index, 'insertions', string_agg((pos+1) || ':' || ins, ',' ORDER BY pos, ins) FROM strips GROUP BY 1
+UNION ALL SELECT seq_index, 'aa', string_agg(cds || ':' || ref || (pos+1) || qry, ',' ORDER BY cds, pos, qry) FROM aachanges GROUP BY 1"""
+
+
+@query("s7_more_cells", "nranges strips aachanges", S7)
+def _(spark, d):
+    c, x = aa_changes(spark, d)
+    letters_of = nuc.letter_ranges(c.aligned, "[^ACGT-]")
+    added = nuc.strip_insertions(c.aligned.select("seq_index", F.col("aln").alias("qry_aln"), F.translate("aln", "-R", "A-").alias("ref_aln")))[1]
+    cells = {"ranges": (results.range_cells(letters_of, "cell"), "cell"), "insertions": (results.insertion_cells(added), "insertions"), "aa": (results.aa_cells(x), "aa_changes")}
+    parts = [t.select("seq_index", F.lit(kind).alias("kind"), F.col(column).alias("cell")) for kind, (t, column) in cells.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+fx.SQL["fewprimers"] = "SELECT 'p' || p_partkey AS name, (p_partkey*7)%280 b FROM part WHERE p_size=1"
+S7P = """SELECT seq_index, string_agg(name || ':' || m, ',' ORDER BY name) primer_changes FROM (SELECT m.seq_index, name, string_agg(ref||(pos+1)||qry, ';' ORDER BY pos, qry) m FROM muts m JOIN fewprimers ON pos>=b AND pos<b+20 GROUP BY 1,2) GROUP BY 1"""
+
+
+@query("s7_primer_cells", "muts fewprimers", S7P)
+def _(spark, d):
+    p = fx.table(spark, d, "part").where("p_size = 1").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), ((F.col("p_partkey") * 7) % 280).cast("int").alias("begin"))
+    p = p.withColumn("end", F.col("begin") + 20)
+    none = p.select("name", F.col("begin").alias("pos"), F.lit("A").alias("letters")).where("false")
+    return results.primer_cells(qc.primer_changes(fx.muts(spark, d), p, none))
+
+
+@query("s7_score_cells", "", "SELECT s_suppkey, CASE WHEN x=round(x) THEN printf('%.0f', x) ELSE printf('%.6f', x) END score FROM (SELECT s_suppkey, CASE WHEN s_suppkey%4=0 THEN s_suppkey/4 ELSE s_suppkey/8::DOUBLE END::DOUBLE x FROM supplier)")
+def _(spark, d):
+    s = fx.table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 4 == 0, F.col("s_suppkey") / 4).otherwise(F.col("s_suppkey") / 8).cast("double").alias("x"))
+    return s.select("s_suppkey", results.score_text(F.col("x")).alias("score"))
+
+
+@query("s9_read_annotation", "", "SELECT 'g' || s_suppkey AS gene, 'c' || s_suppkey AS cds, k::INT seg_no, (s_suppkey*300 + CASE WHEN s_suppkey%2=0 THEN k ELSE 1-k END*100)::INT \"begin\", (s_suppkey*300 + CASE WHEN s_suppkey%2=0 THEN k ELSE 1-k END*100 + 60)::INT \"end\", (k*60)::INT local_begin, (k*60+60)::INT local_end, CASE WHEN s_suppkey%2=0 THEN '+' ELSE '-' END strand, (s_suppkey%3)::INT phase FROM supplier, range(2) t(k)")
 def _(spark, d):
-    return rounded(all_results(spark, d))
+    path, key = f"{folder(spark)}/gff", F.col("s_suppkey")
+    row = lambda kind, begin, end, attrs: F.concat_ws("\t", F.lit("chr"), F.lit("."), F.lit(kind), (begin + 1).cast("string"), end.cast("string"), F.lit("."), F.when(key % 2 == 0, "+").otherwise("-"), (key % 3).cast("string"), attrs)
+    gene = row("gene", key * 300, key * 300 + 200, F.concat(F.lit("ID=gene"), key.cast("string"), F.lit(";gene=g"), key.cast("string")))
+    cds = [row("CDS", key * 300 + 100 * k, key * 300 + 100 * k + 60, F.concat(F.lit("ID=cds"), key.cast("string"), F.lit(";Parent=gene"), key.cast("string"), F.lit(";Name=c"), key.cast("string"))) for k in range(2)]
+    fx.table(spark, d, "supplier").select(F.explode(F.array(F.lit("##gff-version 3"), gene, *cds)).alias("value")).write.text(path)
+    return tables.read_annotation(spark, path).select("gene", "cds", "seg_no", "begin", "end", F.col("local_begin").cast("int").alias("local_begin"), F.col("local_end").cast("int").alias("local_end"), "strand", "phase")
 
 
-@query("s10_find_primers", "ref", "SELECT item_id::VARCHAR AS name, (strpos(r, s)-1)::INT \"begin\", (strpos(r, s)-1+length(s))::INT \"end\" FROM (SELECT item_id, translate(regexp_replace(lower(text),'[^a-z]','','g'),'%s','%s') s FROM benchmark), ref" % (fx.ALPHABET, fx.TO_REF))
+S11 = """SELECT n.name, p.name parent, n.preorder - 1 AS preorder, n.clade, n.div, n.prior, 'r' || (n.node_id%3) region, m.t muts FROM deepfirst n LEFT JOIN nodes p ON p.node_id=n.parent_id
+LEFT JOIN (SELECT node_id, string_agg(cds || ':' || ref || (pos+1) || qry, ',' ORDER BY pos) t FROM branch GROUP BY 1) m ON m.node_id=n.node_id"""
+fx.SQL["rec_walk"] = "SELECT node_id, lpad(node_id::VARCHAR, 9, '0') FROM nodes WHERE parent_id IS NULL UNION ALL SELECT n.node_id, path || '/' || lpad(n.node_id::VARCHAR, 9, '0') FROM rec_walk w JOIN nodes n ON n.parent_id=w.node_id"
+fx.SQL["deepfirst"] = "SELECT n.* REPLACE ((row_number() OVER (ORDER BY path))::INT AS preorder) FROM nodes n JOIN rec_walk USING (node_id)"
+
+
+@query("s11_tree_from_json", "deepfirst branch nodes", S11)
 def _(spark, d):
-    p = fx.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.translate(fx.clean(), fx.ALPHABET, fx.TO_REF).alias("seq"))
-    return tables.find_primers(p, fx.ref_text(spark, d)).select("name", "begin", "end")
+    """A tree file is one nested JSON object, so the file is put together from its rows on the driver, as it is read there."""
+    t = tree_of(spark, d)
+    muts_of: dict[int, list[str]] = {}
+    for r in t.branch.orderBy("pos").collect():
+        muts_of.setdefault(r.node_id, []).append(f"{r.ref}{r.pos + 1}{r.qry}")
+    made = {r.node_id: ({"name": r.name, "node_attrs": {"div": r.div, "clade_membership": {"value": r.clade}, "placement_prior": {"value": r.prior}, "region": {"value": f"r{r.node_id % 3}"}}, "branch_attrs": {"mutations": {"nuc": muts_of.get(r.node_id, [])}}, "children": []}, r.parent_id) for r in t.nodes.orderBy("node_id").collect()}
+    for node, parent in made.values():
+        if parent:
+            made[parent][0]["children"].append(node)
+    top = {"name": "top", "children": [x for x, p in made.values() if p is None]}  # the table may hold several roots
+    n, m, _ = tables.tree_from_json(spark, json.dumps({"tree": top}))
+    n = n.withColumn("preorder", F.col("preorder") - 1)
+    text = results.joined(m, ["node_id"], F.concat("cds", F.lit(":"), "ref", (F.col("pos") + 1).cast("string"), "qry"), ["pos"], "muts")
+    parent = n.where("name <> 'top'").select(F.col("node_id").alias("parent_id"), F.col("name").alias("parent"))
+    return n.where("name <> 'top'").join(parent, "parent_id", "left").join(text, "node_id", "left").select("name", "parent", "preorder", "clade", "div", "prior", F.col("attrs")["region"].alias("region"), "muts")
+
+
+@query("s12_read_minimizer_index", "refmins minirefs", f"SELECT r.name, len AS length, n_minimizers, hash, {K} k, {CUTOFF}::BIGINT cutoff FROM refmins JOIN minirefs r USING (ref_id)")
+def _(spark, d):
+    """An index file is one JSON object as well; it is written by one task, as its size is that of the references' index."""
+    index, refs = detect.build_index(fx.mini_refs(spark, d), K, CUTOFF)
+    refs = cut_lineage(numbered(refs.orderBy("ref_id"), "no"))
+    by_hash = index.join(refs.select("ref_id", "no"), "ref_id").groupBy("hash").agg(F.array_sort(F.collect_list("no")).alias("refs"))
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col("hash").cast("string"), "refs"))).alias("minimizers")
+    listed = refs.agg(F.array_sort(F.collect_list(F.struct("no", "name", F.col("length").cast("long").alias("length"), F.col("n_minimizers").alias("nMinimizers")))).alias("r"))
+    whole = by_hash.agg(entries).crossJoin(listed).select("minimizers", F.transform("r", lambda x: F.struct(x["name"].alias("name"), x["length"].alias("length"), x["nMinimizers"].alias("nMinimizers"))).alias("references"))  # one row each
+    path = f"{folder(spark)}/index"
+    whole.withColumn("params", F.struct(F.lit(K).alias("k"), F.lit(CUTOFF).alias("cutoff"))).coalesce(1).write.json(path)
+    m, r, params = tables.read_minimizer_index(spark, path)
+    return m.join(r, "ref_id").join(F.broadcast(params), F.lit(True)).select("name", "length", "n_minimizers", "hash", "k", "cutoff")
+
+
+@query("s8_combine", "res", "SELECT *, row_number() OVER (ORDER BY seq_index) - 1 AS place FROM (" + RES.format(", errors", "res") + ")")
+def _(spark, d):
+    return numbered(results.in_input_order(rounded(all_results(spark, d))), "place")
+
+
+fx.SQL["primers"] = "SELECT item_id, p, CASE WHEN item_id%3=0 THEN overlay_at ELSE s END s FROM (SELECT *, substr(s,1,4) || CASE WHEN substr(s,5,1) IN ('A','G') THEN 'R' ELSE 'Y' END || substr(s,6) overlay_at FROM (SELECT item_id, (item_id*131)%2900 p, substr(r, ((item_id*131)%2900+1)::INT, 25) s FROM benchmark, ref))"
+PRIMER_NAME = "item_id || CASE WHEN item_id%2=1 THEN '_R' ELSE '_F' END"
+
+
+@query("s10_find_primers", "primers", f'SELECT {PRIMER_NAME} AS name, p::INT "begin", (p+25)::INT "end", item_id%3=0 has_code FROM primers')
+def _(spark, d):
+    at = F.col("item_id") * 131 % 2900
+    p = fx.table(spark, d, "benchmark").select("item_id", F.substr(F.lit(fx.REF), (at + 1).cast("int"), F.lit(25)).alias("s"))
+    code = F.when(F.substr("s", F.lit(5), F.lit(1)).isin("A", "G"), "R").otherwise("Y")
+    p = p.withColumn("s", F.when(F.col("item_id") % 3 == 0, F.overlay("s", code, 5)).otherwise(F.col("s")))
+    odd, path = F.col("item_id") % 2 == 1, f"{folder(spark)}/primers"
+    seq = F.when(odd, reverse_complement(F.col("s"))).otherwise(F.col("s"))
+    p.select(F.concat(F.col("item_id").cast("string"), F.when(odd, "_R").otherwise("_F")).alias("name"), seq.alias("seq")).write.csv(path, header=True)
+    found = tables.find_primers(tables.read_primers(spark, path), fx.REF)
+    return found.select("name", "begin", "end", (F.size("ambiguous") > 0).alias("has_code"))
 
 
 @query("s13_dataset_prefixes", "hits", "SELECT seq_index, unnest(['org', 'org/' || split_part(name,'/',2), name]) dataset FROM hits WHERE rank=1")
@@ -808,6 +1100,17 @@ def _(spark, d):
     return fasta.dataset_prefixes(detect.best_dataset(x.seqs, x.hits)).select("seq_index", "dataset")
 
 
+S13 = "SELECT dataset, 's' || doc_id || ' ' || lang AS seq_name, md5(s0) seq_md5 FROM (SELECT DISTINCT seq_index, unnest(['org', 'org/' || split_part(name,'/',2), name]) dataset FROM hits) h JOIN rawseqs r USING (seq_index) JOIN documents ON doc_id=h.seq_index"
+
+
+@query("s13_split_output", "hits rawseqs", S13)
+def _(spark, d):
+    x, path = detection(spark, d), f"{folder(spark)}/split"
+    fasta.split_output(x.seqs, x.hits, path)
+    back = spark.read.text(path, lineSep="\n>").select("dataset", F.split(F.regexp_replace("value", r"^>|\n$", ""), "\n").alias("v"))
+    return back.select(F.url_decode(F.regexp_replace("dataset", "%(?![0-9A-Fa-f]{2})", "%25")).alias("dataset"), F.col("v")[0].alias("seq_name"), F.md5(F.coalesce(F.col("v")[1], F.lit(""))).alias("seq_md5"))
+
+
 @query("st1_stream_detect", "rawseqs hits", BEST)
 def _(spark, d):
     x, at = detection(spark, d), folder(spark)

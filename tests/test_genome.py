@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from genolake.functions.mutations import parse_mutation
 from genolake.functions.seq import codon_table, gap_counts, reverse_complement, translate_codons
 from genolake.operators import aa, align, catalog, detect, muts, nuc, qc, ranges, results, tree
+from genolake.plans.numbering import numbered
 from genolake.plans.scratch import cut_lineage
 from genolake.sources import fasta, tables
 
@@ -189,18 +190,104 @@ def full_score(q, r, cost):
     return h[-1, -1]
 
 
+def score_of(q, r, cost):
+    """The score of an alignment as written, its end gaps free."""
+    first = next(k for k, (x, y) in enumerate(zip(q, r, strict=True)) if "-" not in (x, y))
+    last = max(k for k, (x, y) in enumerate(zip(q, r, strict=True)) if "-" not in (x, y))
+    i, total, before = sum(y != "-" for y in r[:first]), 0, ""
+    for x, y in zip(q[first : last + 1], r[first : last + 1], strict=True):
+        now = "del" if x == "-" else "ins" if y == "-" else ""
+        if now and now != before:
+            total -= cost[i - (now == "ins")]
+        elif not now:
+            total += 3 if align.FITS[ord(x), ord(y)] else -1
+        i, before = i + (y != "-"), now
+    return total
+
+
 def test_alignment_has_the_best_score():
     rnd = random.Random(7)
-    for _ in range(40):
-        r = "".join(rnd.choice("ACGT") for _ in range(60))
+    for _ in range(150):
+        r = "".join(rnd.choice("ACGT") for _ in range(rnd.randint(5, 60)))
         q = list(r)
-        for _ in range(3):
-            k = rnd.randrange(len(q))
-            q[k : k + rnd.randint(0, 4)] = [rnd.choice("ACGT") for _ in range(rnd.randint(0, 4))]
-        q, cost = "".join(q)[rnd.randint(0, 5) :], np.array([rnd.choice([6, 7, 8]) for _ in r])
-        a, b, score, _ = align.pairwise(q, r, cost, -80, 80)
-        assert a.replace("-", "") == q and b.replace("-", "") == r and len(a) == len(b)
-        assert score == full_score(q, r, cost)
+        for _ in range(rnd.randint(0, 4)):
+            k = rnd.randrange(len(q)) if q else 0
+            q[k : k + rnd.randint(0, 4)] = [rnd.choice("ACGTNR") for _ in range(rnd.randint(0, 4))]
+        q, cost = "".join(q)[rnd.randint(0, 5) :] or "A", np.array([rnd.choice([6, 7, 8]) for _ in r])
+        ((a, b, score, errors),) = align.aligned_batch([(q, [])], r, cost)
+        assert a.replace("-", "") == q and b.replace("-", "") == r and len(a) == len(b) and errors is None
+        assert score == full_score(q, r, cost) and (score <= 0 or score_of(a, b, cost) == score)
+
+
+@pytest.mark.parametrize(
+    "q, r, want",
+    [
+        ("ACGCTCGCT", "ACGCTCGCT", "ACGCTCGCT"), ("CGCTCGCT", "ACGCTCGCT", "-CGCTCGCT"), ("CTCGCT", "ACGCTCGCT", "---CTCGCT"),
+        ("TCCAATCA", "AACAAACCAACCA", "-----TCCAATCA"), ("TGTTACCTGCGC", "AAGGTTTATACCTGCGC", "-----TGTTACCTGCGC"), ("ACGCTC", "ACGCTCGCT", "ACGCTC---"),
+        ("CCAATCAT", "CCAACCAAACAAA", "CCAATCAT-----"), ("CCGATCAT", "CCGACCAAACAAA", "CCGATCAT-----"), ("ACGCTC", "GCCACGCTCGCT", "---ACGCTC---"),
+    ],
+)
+def test_alignment_of_padded_and_contained_sequences(q, r, want):
+    ((a, b, _, _),) = align.aligned_batch([(q, [])], r, np.full(len(r), 6))
+    assert (a, b) == (want, r)
+
+
+def test_banded_alignment_equals_the_full_one():
+    rnd = random.Random(5)
+    r = "".join(rnd.choice("ACGT") for _ in range(1200))
+    at, cost, jobs = {r[i : i + 20]: i for i in range(1180)}, np.full(1200, 6), []
+    for _ in range(12):
+        d, ins, size = rnd.randint(500, 700), rnd.randint(100, 400), rnd.randint(0, 90)
+        q = r[rnd.randint(0, 60) : ins] + "".join(rnd.choice("ACGT") for _ in range(rnd.randint(0, 30))) + r[ins:d] + r[d + size :]
+        spans = {}
+        for i in range(0, len(q) - 20, 10):
+            if q[i : i + 20] in at:
+                spans.setdefault(at[q[i : i + 20]] - i, []).append(i)
+        jobs.append((q, align.chain([(min(v), max(v) + 20, o) for o, v in spans.items()])))
+    side = align.aligned_batch(jobs, r, cost)
+    for (q, _), (a, b, score, errors) in zip(jobs, side, strict=True):
+        ((_, _, best, _),) = align.aligned_batch([(q, [])], r, cost)
+        assert score == best == score_of(a, b, cost) and errors is None and a.replace("-", "") == q
+    assert align.aligned_batch([(jobs[0][0], [(0, 20, 0)])], r, cost, extra=1, retries=0)[0][2] <= side[0][2]
+
+
+def test_alignment_of_a_table(spark):
+    rnd = random.Random(2)
+    ref = "".join(rnd.choice("ACGT") for _ in range(900))
+    turned = ref[:400] + ref[430:]
+    turned = turned[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    seqs = [(0, ref), (1, ref[50:]), (2, turned), (3, "ACGT" * 10), (4, "".join(rnd.choice("ACGT") for _ in range(600)))]
+    s = spark.createDataFrame(seqs, "seq_index long, seq string")
+    found = align.oriented(s, spark.createDataFrame([(0, ref)], "seq_index long, seq string"), 900)
+    out = {r.seq_index: r for r in align.align_to_reference(found, ref, [6] * 900).collect()}
+    assert (out[0].score, out[1].score, out[2].score) == (2700, 2550, 3 * 870 - 6) and out[2].is_rc and not out[1].is_rc
+    assert out[1].qry_aln == "-" * 50 + ref[50:] and "too short" in out[3].errors and "seeds" in out[4].errors
+    assert align.align_to_reference(found.limit(0), ref, [6] * 900).count() == 0
+
+
+def test_rows_are_numbered_in_order(spark):
+    df = spark.range(1000).repartition(7).orderBy(F.desc("id"))
+    assert rows(numbered(df, "n").select("n", "id")) == [(k, 999 - k) for k in range(1000)]
+    assert numbered(df.limit(0), "n").count() == 0
+
+
+def test_circle_of_parents_is_an_error(spark):
+    t = spark.createDataFrame([(1, 2), (2, 1), (3, None)], "node_id long, parent_id long")
+    with pytest.raises(ValueError, match="circle"):
+        tree.ancestors(t)
+
+
+def test_written_sequences_keep_their_order(spark, tmp_path):
+    s = spark.createDataFrame([(k, f"s{k}", "ACGT"[k % 4] * 3, k % 2 == 0) for k in range(50)], "seq_index long, seq_name string, seq string, is_rc boolean").repartition(6)
+    fasta.write_fasta(s, str(tmp_path / "o"), ref=("ref", "AC"))
+    (tmp_path / "b.fasta").write_text(">last\nGG\n")
+    got = rows(fasta.read_fasta(spark, [str(tmp_path / "o"), str(tmp_path / "b.fasta")]).select("seq_index", "seq_name"))
+    assert got == [(0, "ref"), *[(k + 1, f"s{k}" + " |reverse complement|" * (k % 2 == 0)) for k in range(50)], (51, "last")]
+    hits = spark.createDataFrame([(0, "a/b"), (0, "a/c"), (1, "a/b")], "seq_index long, name string")
+    same = s.withColumns({"seq_name": F.lit("x"), "seq": F.lit("A")})
+    fasta.split_output(same, hits, str(tmp_path / "split"))
+    back = spark.read.text(str(tmp_path / "split"), lineSep="\n>")
+    assert back.groupBy("dataset").count().count() == 3 and back.count() == 5
 
 
 def test_refinement_moves_to_child_and_parent(spark):
