@@ -76,17 +76,25 @@ def certainty(x: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-(first - second) / (PENALTY * math.log(len(x) + 1) * len(ORDERS)))))
 
 
+def likelihoods(text: str | None, languages: list[str], logp: np.ndarray) -> np.ndarray | None:
+    """Log-likelihoods of a text's n-grams (rows) under the languages; None without a letter or an n-gram."""
+    if not text or not languages or not has_letter(text):
+        return None
+    x = logp[grams(text)]
+    return x if len(x) else None
+
+
 def proportions(text: str | None, languages: list[str], logp: np.ndarray) -> dict[str, float]:
+    x = likelihoods(text, languages, logp)
+    return {} if x is None else shares(x, languages)
+
+
+def shares(x: np.ndarray, languages: list[str]) -> dict[str, float]:
     """Language shares of one text, over the set of languages with the best penalised likelihood; empty without letters.
 
     The set starts with the likeliest single language and takes in the next likeliest while that wins more than the
     penalty (a language whose slope at share 0 is too small for that is not tried). n-grams overlap, so their log-likelihood is scaled down by the number of orders.
     """
-    if not text or not languages or not has_letter(text):
-        return {}
-    x = logp[grams(text)]
-    if not len(x):
-        return {}
     penalty = PENALTY * math.log(len(x) + 1) * len(ORDERS)
     single = x.sum(0, dtype=np.float64)
     chosen = [int(single.argmax())]
@@ -125,8 +133,11 @@ def identify(docs: DataFrame, model: bytes) -> DataFrame:
         languages, logp = pickle.loads(shared.value)
         for b in batches:
             texts = b.column(1).to_pylist()
-            found = [proportions(t, languages, logp) for t in texts]
-            sure = [certainty(logp[grams(t)]) if f else 0.0 for t, f in zip(texts, found, strict=True)]
+            found, sure = [], []
+            for t in texts:
+                x = likelihoods(t, languages, logp)
+                found.append({} if x is None else shares(x, languages))
+                sure.append(0.0 if x is None else certainty(x))
             best = [max(f, key=lambda k: (f[k], k)) if f else "und" for f in found]
             yield pa.RecordBatch.from_arrays(
                 [
