@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import ChainMap
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -137,7 +138,7 @@ class TrieBpe:
         for word, ids in self.encode_words(new):
             (known if len(word) <= LONGEST_CACHED else once)[word] = ids
         if once:
-            known = known | once
+            known = ChainMap(once, known)
         of_special = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
         return [b"".join([b"".join(map((of_special if s else known).__getitem__, words)) for s, words in own]) for own in parts]
 
@@ -196,6 +197,8 @@ def encode(docs: DataFrame, spec: str, keep: bool = True) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Ids and decoded text, as digests, of all rows of documents; null texts count as empty, repeated rows and null ids
+    stay, very long texts are encoded whole."""
     import public_tokenizers
 
     with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:

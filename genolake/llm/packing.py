@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from genolake.llm.bpe import printable_bytes
-from genolake.llm.common import Scratch, small_batches, table
+from genolake.llm.common import Scratch, free_name, small_batches, table
 
 MAX_TOKENS = 2048
 END_ID = 1
@@ -26,9 +27,17 @@ BYTE_NAMES = {b: c for c, b in printable_bytes().items()}
 #: Words of these letters and signs alone need no normalising but lower case: each is one composed character.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: Fixed value: the vocabulary's published splitting pattern, for lower-case words of such characters.
+NORMALISERS, PATTERN = ["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+def has_known_rules(spec: dict) -> bool:
+    """Whether the file normalises and splits by the rules that the short cut for plain words stands for."""
+    normal, split = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    kinds, steps = [x.get("type") for x in normal.get("normalizers", [])], split.get("pretokenizers", [])
+    return kinds == NORMALISERS and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": PATTERN}
+
+
 class WordIds:
     """Ids of texts by the tokenizers library, asked once for each distinct run between ASCII white space.
 
@@ -45,6 +54,7 @@ class WordIds:
         self.tokenizer.no_padding()
         self.specials = "<|" if any("<|" in t.content for t in self.tokenizer.get_added_tokens_decoder().values()) else "<"
         self.model = self.tokenizer.model
+        self.short_cut = has_known_rules(json.loads(spec))
         self.cache: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -58,7 +68,7 @@ class WordIds:
 
     def word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if PLAIN.fullmatch(text) and self.specials not in text:
+        if self.short_cut and PLAIN.fullmatch(text) and self.specials not in text:
             return b"".join(map(self.part, PLAIN_SPLIT.findall(text.lower())))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -145,19 +155,20 @@ def pack(items: DataFrame, most: int = MAX_TOKENS, group_pieces: int = GROUP_PIE
     with many rows does not make a large group. Groups are packed on their own; the number of groups follows the input.
     """
     spark = items.sparkSession
-    kept = Scratch(spark, "packing").save(items.withColumn("_place", F.monotonically_increasing_id()), "pieces")
+    place, dealt_to = free_name(items, "place"), free_name(items, "dealt_to")
+    kept = Scratch(spark, "packing").save(items.withColumn(place, F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-kept.count() // group_pieces))
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("_place")
-        number = group.column("_group")[0].as_py() if len(group) else 0
+        group = group.sort_by(place)
+        number = group.column(dealt_to)[0].as_py() if len(group) else 0
         bins, offsets = first_fit_decreasing(group.column("length").to_numpy().astype(np.int64), most)
-        group = group.drop_columns(["_place", "_group"])
+        group = group.drop_columns([place, dealt_to])
         return group.append_column("sequence_id", pa.array(bins + number * (1 << 24))).append_column("offset", pa.array(offsets))
 
     schema = StructType([*items.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    dealt = kept.withColumn("_group", F.pmod(F.xxhash64("_place", F.lit(seed)), F.lit(groups)))
-    return dealt.groupBy("_group").applyInArrow(run, schema)
+    dealt = kept.withColumn(dealt_to, F.pmod(F.xxhash64(place, F.lit(seed)), F.lit(groups)))
+    return dealt.groupBy(dealt_to).applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, spec: str, keep_ids: bool = False) -> DataFrame:
@@ -174,4 +185,6 @@ def vocabulary(path: str | None = None) -> str:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """All rows of documents packed; null and empty texts are the end token alone. Equal texts are packed as often as they
+    occur; of bins that fit, the first is taken; texts of any length are cut into pieces."""
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(path))
