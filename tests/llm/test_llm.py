@@ -254,6 +254,21 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark).limit(0), spec).count() == 0
 
 
+def test_packing_of_another_vocabulary_and_clashing_names(spark):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(packing.vocabulary())
+    spec["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "NFC"}]}  # no lower case: the short cut must not apply
+    text = "The Quick BROWN fox's 12 THE"
+    assert packing.has_known_rules(json.loads(packing.vocabulary())) and not packing.has_known_rules(spec)
+    want = Tokenizer.from_str(json.dumps(spec)).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.WordIds(json.dumps(spec)).encode(text.encode()), "<u4").tolist() == want
+    items = spark.createDataFrame([(5, "a", "b"), (7, "a", "b")], "length long, place string, dealt_to string")
+    assert {(r.length, r.place, r.dealt_to) for r in packing.pack(items, 12).collect()} == {(5, "a", "b"), (7, "a", "b")}
+
+
 def test_first_fit_decreasing_matches_a_plain_scan():
     sizes = np.random.default_rng(1).integers(1, 100, 300)
     bins, offsets = packing.first_fit_decreasing(sizes, 100)
