@@ -13,6 +13,7 @@ from genolake.functions.mutations import mutation_text, parse_mutation
 from genolake.functions.seq import CODES, COMPLEMENTS, codon_table, reverse_complement
 from genolake.operators import aa, align, catalog, detect, muts, nuc, qc, ranges, results, tree
 from genolake.plans import fixtures as fx
+from genolake.plans import run
 from genolake.plans.numbering import numbered
 from genolake.plans.scratch import cut_lineage, new_folder
 from genolake.sources import fasta, tables
@@ -815,6 +816,44 @@ def _(spark, d):
     return m.join(align.gap_open_scores(fx.SIZE, fx.segments(spark)), "pos").select("pos", F.col("cost").cast("int").alias("cost"), "n")
 
 
+# ---- the whole run ----
+
+TURNED = "translate(substr(r, (pos+1)::INT, 1), 'ACGT', 'CGTA')"
+fx.SQL["bignode"] = f"SELECT DISTINCT cl.node_id, pos, {TURNED} qry FROM cl JOIN (SELECT s_suppkey node_id, ((s_suppkey*97+k*53)%290)::INT pos FROM supplier, range(4) t(k)) m ON m.node_id=cl.ancestor_id, ref"
+fx.SQL["esubs"] = f"SELECT seq_index, pos::INT pos, ref, {TURNED} qry FROM edits JOIN refpos ON pos%97 = seq_index%97, ref WHERE seq_index%50<>1 AND pos >= skip+25 AND pos < 2950 AND NOT (pos >= del_at-25 AND pos < del_at+del_size+25) AND NOT (pos >= ins_at-25 AND pos < ins_at+25)"
+fx.SQL["ealns"] = "SELECT e.seq_index, string_agg(CASE WHEN p.pos < skip THEN '-' ELSE coalesce(s.qry, p.ref) END, '' ORDER BY p.pos) a FROM edits e JOIN refpos p ON p.pos < 300 LEFT JOIN esubs s ON s.seq_index=e.seq_index AND s.pos=p.pos WHERE e.seq_index%50<>1 GROUP BY 1"
+fx.SQL["ecdsseq"] = fx.SQL["cdsseq"].replace("alns", "ealns")
+fx.SQL["ecodons"] = fx.SQL["codons"].replace("cdsseq", "ecdsseq")
+fx.SQL["eranges"] = "SELECT seq_index, cds, ((greatest(skip,b2)-b2+before)//3)::INT b, ((e2-b2+before)//3)::INT e FROM edits JOIN segs ON skip < e2"
+fx.SQL["eaa"] = fx.SQL["aachanges"].replace("aaranges", "eranges").replace("codons c", "ecodons c")
+fx.SQL["edist"] = (
+    "SELECT e.seq_index, n.node_id, n.name, n.clade, n.prior, n.preorder, coalesce(a.c,0) + coalesce(b.c,0) - coalesce(l.less,0) distance FROM (SELECT * FROM edits WHERE seq_index%50<>1) e CROSS JOIN nodes n LEFT JOIN (SELECT seq_index, count(*) c FROM esubs GROUP BY 1) a ON a.seq_index=e.seq_index "
+    "LEFT JOIN (SELECT node_id, count(*) c FROM bignode GROUP BY 1) b ON b.node_id=n.node_id LEFT JOIN (SELECT seq_index, node_id, sum(x) less FROM (SELECT s.seq_index, m.node_id, 2 x FROM esubs s JOIN bignode m USING (pos) "
+    "UNION ALL SELECT e.seq_index, m.node_id, 1 FROM edits e JOIN bignode m ON m.pos < e.skip) GROUP BY 1,2) l ON l.seq_index=e.seq_index AND l.node_id=n.node_id"
+)
+fx.SQL["enear"] = "SELECT seq_index, name, clade FROM edist QUALIFY row_number() OVER (PARTITION BY seq_index ORDER BY distance, prior DESC, preorder)=1"
+RUN = """SELECT e.seq_index::VARCHAR seq_index, 's' || e.seq_index AS seq_name, near.clade, near.name nearest, coalesce(s.n,0)::VARCHAR n_subs, del_size::VARCHAR n_deletions, length(ins)::VARCHAR n_insertions, coalesce(x.n,0)::VARCHAR n_aa_changes,
+round((3000-skip)/3000.0, 4)::DOUBLE coverage, s.t substitutions, x.t aa_changes, NULL::VARCHAR errors FROM edits e JOIN enear near USING (seq_index) LEFT JOIN (SELECT seq_index, count(*) n, string_agg(ref||(pos+1)||qry, ',' ORDER BY pos) t FROM esubs GROUP BY 1) s USING (seq_index)
+LEFT JOIN (SELECT seq_index, count(*) n, string_agg(cds||':'||ref||(pos+1)||qry, ',' ORDER BY cds, pos) t FROM eaa GROUP BY 1) x USING (seq_index) WHERE e.seq_index%50<>1
+UNION ALL SELECT seq_index::VARCHAR, 's' || seq_index, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'sequence is too short: 60' FROM edits WHERE seq_index%50=1"""
+
+
+@query("run_analysis", "edits esubs eaa enear", RUN)
+def _(spark, d):
+    """FASTA files to the results file and back: numbers of the records are their places in the files."""
+    at, t, key = folder(spark), tree_of(spark, d), F.col("s_suppkey")
+    own = fx.table(spark, d, "supplier").select(key.cast("long").alias("ancestor_id"), F.explode(F.array(*[((key * 97 + k * 53) % 290).cast("int") for k in range(4)])).alias("pos"))
+    letter = F.translate(F.substr(F.lit(fx.REF), F.col("pos") + 1, F.lit(1)), "ACGT", "CGTA")
+    states = cut_lineage(t.closure.join(own, "ancestor_id").select("node_id", F.lit("nuc").alias("cds"), "pos", letter.alias("qry")).distinct())
+    fasta.write_fasta(fx.once(spark, d, "edited", fx.edited(spark, d)).withColumn("seq_name", F.concat(F.lit("s"), F.col("seq_index").cast("string"))), f"{at}/fasta")
+    none = fx.masks(spark).where("false")
+    out = run.analyse(fasta.read_fasta(spark, [f"{at}/fasta"]), fx.REF, fx.segments(spark), t.nodes, states, none)
+    columns = ["seq_name", "clade", "nearest", "n_subs", "n_deletions", "n_insertions", "n_aa_changes", "coverage", "substitutions", "aa_changes", "errors"]
+    tables.results_to_csv(out, f"{at}/csv", columns)
+    back = spark.read.csv(f"{at}/csv", sep=";", header=True)
+    return back.select(F.substr("seq_name", F.lit(2)).alias("seq_index"), *[F.round(F.col(c).cast("double"), 4).alias(c) if c == "coverage" else F.col(c) for c in columns])
+
+
 # ---- result tables ----
 
 
