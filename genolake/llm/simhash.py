@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, ByteType, LongType, StructField, StructType
 
 from genolake.llm.common import Scratch, components, free_name, small_batches, table, with_result
 
@@ -22,8 +22,11 @@ MAX_BITS = 2
 SIMILAR_WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 20, 5
+#: One byte of each of so many minima makes a sketch. Two texts of similarity 0.8 agree in 128 of them, give or take 5; with
+#: fewer than ALIKE (a chance of about 0.00005 at 0.8) they are not verified.
+SKETCH, ALIKE = 160, 107
 #: Odd factors, one for each minimum: a permutation of 64-bit hashes each.
-FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = np.random.default_rng(42).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes | None, n_words: int = SHINGLE_WORDS) -> int:
@@ -129,12 +132,14 @@ def shingles(text: bytes | None, n_words: int = SIMILAR_WORDS) -> tuple[bytes, n
     return joined, np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[n_words - 1 :].tolist(), strict=True)], np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A key for each band: the hash of its number and minima."""
+def band_keys(hashes: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """(a key for each band: the hash of its number and minima; the sketch: a byte of each minimum)."""
     least = np.full(len(FACTORS), ~np.uint64(0))
     for k in range(0, len(hashes), 4096):
         least = np.minimum(least, (hashes[k : k + 4096, None] * FACTORS).min(0))
-    return [xxhash.xxh64_intdigest(row.tobytes(), b) - (1 << 63) for b, row in enumerate(least.reshape(BANDS, ROWS))]
+    bands = least[: BANDS * ROWS].reshape(BANDS, ROWS)
+    mixed = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
+    return [xxhash.xxh64_intdigest(row.tobytes(), b) - (1 << 63) for b, row in enumerate(bands)], mixed.astype(np.uint8).view(np.int8)
 
 
 @lru_cache(maxsize=64)
@@ -149,32 +154,48 @@ def jaccard(a: str | None, b: str | None) -> float:
 
 
 def similar_links(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): rows of members(key, me) that share a key and are similar, as far as they decide what is kept.
-
-    In each round the first 1 (then 4, 16, ..) members of a key are its centres, and every member is compared with the
-    centres before it, on all shingles of texts(row, text). Members linked to a centre and the centres leave; the rest goes
-    to the next round, until no key has two. So two members that share a key are both first of their groups only if they
-    were compared and are not similar, and a group of copies costs a pair a member instead of a pair of each two.
+    """(a, b): rows of members(key, me, sketch) that share a key and are similar, as far as they decide what is kept.
+
+    First every member is compared with one other, the least of all that come first under any of its keys, on all shingles
+    of texts(row, text). If they are similar it takes the other's label. Then, in each round, the first 1 (then 4, 16, ..)
+    members of a key are its centres, and every member is compared with the centres before it, unless their labels are
+    equal: then a link to one and the same member joins them already. Pairs whose sketches tell that they can't be similar are
+    left out where keys are joined, and verify nothing. Members joined to a centre and the centres leave; the
+    rest goes to the next round, until no key has two. So two members that share a key are both first of their groups only
+    if they were compared and are not similar, and a group of copies costs about a pair a member.
     """
 
     @F.arrow_udf(BooleanType())
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([jaccard(x, y) >= SIMILAR for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
-    spark = texts.sparkSession
-    found, centres, k = spark.createDataFrame([], "a long, b long"), 1, 0
+    def verified(pairs: DataFrame) -> DataFrame:
+        one, other = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
+        return pairs.join(one, "a").join(other, "b").where(similar("text_a", "text_b")).select("a", "b")
+
+    def leading(rows: DataFrame, centres: int) -> DataFrame:
+        order = Window.partitionBy("key").orderBy("me")
+        return rows.withColumn("no", F.row_number().over(order)).where(F.col("no") <= centres).drop("no").withColumnsRenamed({"me": "c", "sketch": "c_sketch"})
+
+    equal = F.aggregate(F.zip_with("sketch", "c_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    alike = (F.col("me") > F.col("c")) & (equal >= ALIKE)
+
+    centres, k = 1, 0
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rest = scratch.save(members.join(shared, "key"), "members0")
+    rest = scratch.save(members.join(shared, "key"), "shared")
+    lead = rest.join(leading(rest, 1), "key").where(alike).groupBy("me").agg(F.min("c").alias("c"))
+    found = scratch.save(verified(lead.select(F.col("me.row").alias("a"), F.col("c.row").alias("b"))), "leads")
+    labels = found.select(F.col("a").alias("_row"), F.col("b").alias("label"))
+    labelled = rest.join(labels, F.col("me.row") == F.col("_row"), "left")
+    rest = scratch.save(labelled.select("key", "me", "sketch", F.coalesce("label", "me.row").alias("label")), "members0")
     while not rest.isEmpty():
-        order = Window.partitionBy("key").orderBy("me")
-        first = rest.withColumn("no", F.row_number().over(order)).where(F.col("no") <= centres).select("key", F.col("me").alias("c"))
-        pairs = scratch.save(rest.join(first, "key").where("me > c").select("key", "me", "c"), f"pairs{k}")
-        distinct = pairs.select(F.col("me.row").alias("a"), F.col("c.row").alias("b")).distinct()
-        one, other = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-        links = scratch.save(distinct.join(one, "a").join(other, "b").where(similar("text_a", "text_b")).select("a", "b"), f"links{k}")
+        first = leading(rest.withColumnRenamed("label", "c_label"), centres)
+        pairs = scratch.save(rest.join(first, "key").where(alike).select("key", "me", "c", (F.col("label") == F.col("c_label")).alias("known")), f"pairs{k}")
+        distinct = pairs.where("not known").select(F.col("me.row").alias("a"), F.col("c.row").alias("b")).distinct()
+        links = scratch.save(verified(distinct), f"links{k}")
         found = found.union(links)
-        linked = pairs.join(links, (F.col("me.row") == links.a) & (F.col("c.row") == links.b), "left_semi").select("key", "me")
-        gone = linked.union(first.select("key", F.col("c").alias("me"))).distinct()
+        linked = pairs.where("not known").join(links, (F.col("me.row") == links.a) & (F.col("c.row") == links.b), "left_semi").select("key", "me")
+        gone = pairs.where("known").select("key", "me").union(linked).union(first.select("key", F.col("c").alias("me"))).distinct()
         k, centres = k + 1, min(4 * centres, 256)
         rest = scratch.save(rest.join(gone, ["key", "me"], "left_anti"), f"members{k}")
         scratch.drop(f"members{k - 1}")
@@ -191,21 +212,22 @@ def one_of_similar(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "similar")
     mark, row = free_name(docs, "mark"), free_name(docs, "row")
-    kind = StructType([StructField("digest", BinaryType()), StructField("keys", ArrayType(LongType()))])
+    kind = StructType([StructField("digest", BinaryType()), StructField("keys", ArrayType(LongType())), StructField("sketch", ArrayType(ByteType()))])
 
     def make():
         def compute(texts):
             found = [shingles(t.encode() if t else None) for t in texts]
             digests = pa.array([xxhash.xxh3_128_digest(joined) for joined, _ in found], pa.binary())
-            return pa.StructArray.from_arrays([digests, pa.array([band_keys(h) for _, h in found], pa.list_(pa.int64()))], ["digest", "keys"])
+            keys, sketches = zip(*(band_keys(h) for _, h in found), strict=True)
+            return pa.StructArray.from_arrays([digests, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int8()))], ["digest", "keys", "sketch"])
 
         return compute
 
     hashed = scratch.save(with_result(docs, mark, kind, make).withColumn(row, F.monotonically_increasing_id()), "hashed")
     me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("row"))
     nodes = scratch.save(hashed.select(F.col(f"{mark}.digest").alias("digest"), me.alias("me")).groupBy("digest").agg(F.min("me").alias("me")).select("me"), "nodes")
-    keys = hashed.select(F.col(row).alias("_row"), F.explode(f"{mark}.keys").alias("key"))
-    members = keys.join(nodes, keys._row == F.col("me.row")).select("key", "me")
+    keys = hashed.select(F.col(row).alias("_row"), F.col(f"{mark}.sketch").alias("sketch"), F.explode(f"{mark}.keys").alias("key"))
+    members = keys.join(nodes, keys._row == F.col("me.row")).select("key", "me", "sketch")
     links = similar_links(members, hashed.select(F.col(row).alias("row"), "text"), scratch)
     roots = components(docs.sparkSession, links, scratch)
     best = nodes.join(roots, F.col("me.row") == roots.node, "left").groupBy(F.coalesce("root", "me.row").alias("root")).agg(F.min("me").alias("me"))
@@ -213,4 +235,5 @@ def one_of_similar(docs: DataFrame) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all rows of documents; see there for nulls, empties, ties and repeats."""
     return near_duplicates(table(spark, sf_dir, "documents"))
