@@ -18,7 +18,7 @@ from genolake.llm.fitting import bounded_sample, fitted
 
 BINS = 1 << 18
 BLOCK = 64
-DOCS_PER_LABEL = 1200
+DOCS_PER_LABEL = 2400
 STEPS = (30, 15)
 RIDGE = 3e-5
 THRESHOLD = 0.3
