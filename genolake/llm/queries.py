@@ -14,6 +14,7 @@ from genolake.llm.quality import op10_quality
 from genolake.llm.resampling import op13_resampling
 from genolake.llm.simhash import op5_simhash
 from genolake.llm.toxicity import op8_toxicity
+from genolake.llm.variants import op11_variants
 from genolake.llm.vectors import op4_vectors
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_piecewise": op9_piecewise,
     "op10_quality": op10_quality,
+    "op11_variants": op11_variants,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_resampling": op13_resampling,
 }
