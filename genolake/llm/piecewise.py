@@ -15,7 +15,10 @@ from genolake.llm.common import small_batches, table
 
 WINDOW = 7
 SIGNATURE, SIZES = 64, 3
-LEAST_LEVEL = 2
+#: The two levels above the last one still have thresholds over 0.
+LEAST_LEVEL, LAST_LEVEL = 2, 29
+#: Added to each window's sum, so that a run of NULs does not hash to 0.
+OFFSET = 0x7F4A7C15
 BLOCK_BYTES = 1 << 22
 #: One multiplier for each byte of the window, made by a rule: odd 32-bit numbers from powers of 0x9E3779B1.
 FACTORS = [np.uint32(pow(0x9E3779B1, k + 1, 1 << 32) | 1) for k in range(WINDOW)]
@@ -29,6 +32,7 @@ def window_hashes(data: np.ndarray) -> np.ndarray:
     for k in range(1, WINDOW):
         if k < len(x):
             out[k:] += x[:-k] * FACTORS[k]
+    out += np.uint32(OFFSET)
     out ^= out >> np.uint32(15)
     out *= np.uint32(0x85EBCA6B)
     out ^= out >> np.uint32(13)
@@ -40,7 +44,8 @@ def fingerprint(text: bytes) -> str:
     """`level:signature:signature at double size:signature at fourfold size`. Level k cuts after each byte whose window hash
     falls into the lowest 1 / 2^k; a chunk's letter comes from the sum of its window hashes. The level is the least one, from
     4 below what the length suggests, with at most 64 chunks in fact, so a signature never leaves a chunk out. The whole
-    text is hashed, in blocks of bounded size. A text in which all places have a few hashes may have a single chunk."""
+    text is hashed, in blocks of bounded size. A text in which all places have a few hashes may have a single chunk; one that
+    has over 64 chunks even at the last level (a window of tiny hash, repeated) counts as a single chunk there."""
     least = max(LEAST_LEVEL, (max(1, len(text) - 1) // SIGNATURE).bit_length() - 4)
     marks, values, sums, before = [], [], [], np.uint32(0)
     for begin in range(0, len(text), BLOCK_BYTES):
@@ -60,11 +65,12 @@ def fingerprint(text: bytes) -> str:
         return np.append(found, before) if len(text) and not (chosen.any() and at[chosen][-1] == len(text) - 1) else found
 
     def signature(k: int) -> str:
-        pieces = np.diff(ends(k), prepend=np.uint32(0)).astype(np.uint32) * np.uint32(0x9E3779B1)
+        at_ends = ends(k)
+        pieces = np.diff(at_ends if len(at_ends) <= SIGNATURE else at_ends[-1:], prepend=np.uint32(0)).astype(np.uint32) * np.uint32(0x9E3779B1)
         return "".join(map(LETTERS.__getitem__, (pieces >> np.uint32(26)).tolist()))
 
     level = least
-    while len(ends(level)) > SIGNATURE:
+    while level < LAST_LEVEL and len(ends(level)) > SIGNATURE:
         level += 1
     return ":".join([str(level), *(signature(level + k) for k in range(SIZES))])
 

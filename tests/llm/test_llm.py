@@ -543,7 +543,7 @@ def plain_fingerprint(data: bytes) -> str:
     window, hashes = [0] * 7, []
     for c in data:
         window = [c, *window[:6]]
-        h = sum(x * f for x, f in zip(window, factors, strict=True)) & m
+        h = sum(x * f for x, f in zip(window, factors, strict=True)) + 0x7F4A7C15 & m
         h ^= h >> 15
         h = h * 0x85EBCA6B & m
         h ^= h >> 13
@@ -556,10 +556,10 @@ def plain_fingerprint(data: bytes) -> str:
             if h < 1 << (32 - level) or k == len(hashes) - 1:
                 out += piecewise.LETTERS[(total * 0x9E3779B1 & m) >> 26]
                 total = 0
-        return out
+        return out if len(out) <= 64 or level < 29 else piecewise.LETTERS[(sum(hashes) * 0x9E3779B1 & m) >> 26]
 
     level = max(2, (max(1, len(data) - 1) // 64).bit_length() - 4)
-    while len(signature(level)) > 64:
+    while level < 29 and len(signature(level)) > 64:
         level += 1
     return ":".join([str(level), *(signature(level + k) for k in range(3))])
 
@@ -602,6 +602,21 @@ def test_piecewise(spark):
     assert len(piecewise.fingerprints(docs(spark, repeat=3)).collect()) == 3 * len(TEXTS)
 
 
+def test_piecewise_of_uniform_and_binary_texts(spark, monkeypatch):
+    texts = ["\0" * 65, "\0" * 100, "\0" * 5000, "\0\1" * 3000, "a" * 4000, "".join(map(chr, range(128))) * 90, "\x7f\0" + " " * 900, "\U0001f600" * 700]
+    noise = [bytes(rnd.randrange(256) for _ in range(3000)).decode("latin-1") for _ in range(3)]
+    for t in texts + noise:
+        assert piecewise.fingerprint(t.encode()) == plain_fingerprint(t.encode())
+    for c in range(256):
+        assert int(piecewise.fingerprint(bytes([c]) * 400).split(":")[0]) < 20
+    out = piecewise.fingerprints(docs(spark, texts)).collect()
+    assert len(out) == len(texts) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out)
+    # a window whose hash is below every threshold, again and again
+    monkeypatch.setattr(piecewise, "window_hashes", lambda data: np.where(data == 65, np.uint32(0), np.uint32(1 << 31)))
+    level, *signatures = piecewise.fingerprint(b"A" * 500).split(":")
+    assert level == "29" and [len(x) for x in signatures] == [1, 1, 1] and len(piecewise.fingerprint(b"B" * 500).split(":")[1]) == 1
+
+
 def test_piecewise_distance_and_blocks():
     for _ in range(200):
         a, b = ("".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 64))) for _ in range(2))
