@@ -16,8 +16,12 @@ COSINE = 0.95
 #: Vectors expected behind a filter, whatever the table's size.
 BUCKET = 200
 #: Independent rotations, each with a code of its own; a vector takes at least its best FLOOR filters of each. So every
-#: vector has filters, and misses of one rotation are not misses of the next.
-ROTATIONS, FLOOR = 4, 2
+#: vector has filters, and misses of one rotation are not misses of the next. In a cone (see centres()) linked vectors are less
+#: alike once the centre is taken out, so there are more rotations, of as many more filters: the same number of pairs, better
+#: spread. (least cosine that remains, rotations)
+ROTATIONS, FLOOR = ((0.94, 4), (0.9, 6), (0.8, 10), (0.65, 16)), 2
+#: Vectors of one length from which on their centre is looked for.
+CENTRED = 1000
 #: A vector passes a filter if it comes this near to its best one of the rotation.
 NEAR_BEST = 0.98
 HOT_ROWS = 2000
@@ -31,7 +35,7 @@ class Caps:
     so many of them that one holds about BUCKET of n random vectors; words a block follow from that, and the number of blocks
     keeps a block's words below 64, so that scoring all words costs far less than scoring all filters."""
 
-    def __init__(self, n: int, dim: int, rotation: int, seed: int = 11):
+    def __init__(self, n: float, dim: int, rotation: int, seed: int = 11):
         filters = max(4, FLOOR * n / BUCKET)
         blocks = min(dim, max(2, math.ceil(math.log(filters, 64))))
         words = max(2, math.ceil(filters ** (1 / blocks)))
@@ -63,12 +67,20 @@ class Caps:
 
 
 class Rotations:
-    """The filters of all rotations, for vectors of one dimension."""
+    """The filters of all rotations, for unit vectors of one dimension, coded by what remains of them without the centre."""
 
-    def __init__(self, n: int, dim: int):
-        self.caps = [Caps(n, dim, k) for k in range(ROTATIONS)]
+    def __init__(self, n: int, dim: int, centre: np.ndarray | None = None):
+        remains = 1.0 if centre is None else 1 - (1 - COSINE) / (1 - float(centre @ centre))
+        first = ROTATIONS[0][1]
+        rotations = next((r for least, r in ROTATIONS if remains >= least), None)
+        self.centre = None if rotations is None else centre  # of a narrower cone the whole vectors are coded
+        rotations = rotations or first
+        self.caps = [Caps(n * rotations / first, dim, k) for k in range(rotations)]
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.centre is not None:
+            rest = x - self.centre
+            x = np.where(np.linalg.norm(rest, axis=1, keepdims=True) > 1e-6, rest, x)
         found = [c.decode(x) for c in self.caps]
         row, code = np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
         order = np.lexsort((code, row))
@@ -83,16 +95,47 @@ def unit(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def filtered(reps: DataFrame, n: int) -> DataFrame:
-    """(bucket, dim, id, filters): one row for each vector and filter that it exceeds, without the vector."""
+def centres(reps: DataFrame) -> dict[int, np.ndarray]:
+    """The mean unit vector of each length of vectors that is frequent enough. Embeddings of texts lie in a cone around it, and
+    filters on whole vectors would put most of them behind the few filters near its axis. Summed in each task first; a vector a
+    length comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for b in batches:
+            sizes = b.column(0).value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes).tolist():
+                part = pa.Table.from_batches([b]).filter(pa.array(sizes == dim)).combine_chunks()
+                n, total = sums.get(dim, (0, np.zeros(dim)))
+                sums[dim] = (n + len(part), total + unit(part.column(0).chunk(0)).sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([t.tolist() for _, t in sums.values()], pa.list_(pa.float64()))], ["dim", "n", "total"])
+
+    part = reps.select("embedding").mapInArrow(run, "dim int, n long, total array<double>")
+    enough = part.groupBy("dim").agg(F.sum("n").alias("n")).where(F.col("n") >= CENTRED)
+    places = part.select("dim", F.posexplode("total").alias("at", "x")).groupBy("dim", "at").agg(F.sum("x").alias("x"))
+    out: dict[int, np.ndarray] = {}
+    for r in places.join(enough, "dim").select("dim", "at", F.col("x") / F.col("n")).collect():
+        out.setdefault(r[0], np.zeros(r[0]))[r[1]] = r[2]
+    return out
+
+
+def filtered(reps: DataFrame, n: int, middle: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """(bucket, dim, id, filters): one row for each vector and filter that it exceeds, without the vector. middle: the centres
+    that are taken out for the filters; cosines are those of whole vectors."""
+    middle = middle or {}
     caps: dict[int, Rotations] = {}
 
+    def caps_of(dim: int) -> Rotations:
+        if dim not in caps:
+            caps[dim] = Rotations(n, dim, middle.get(dim))
+        return caps[dim]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(sizes):
                 part = pa.Table.from_batches([b]).filter(pa.array(sizes == dim)).combine_chunks()
-                row, code = caps.setdefault(int(dim), Rotations(n, int(dim))).decode(unit(part.column(1).chunk(0)))
+                row, code = caps_of(int(dim)).decode(unit(part.column(1).chunk(0)))
                 edges = np.searchsorted(row, np.arange(len(part) + 1))  # rows come in order
                 lists = [code[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)]
                 take = pa.array(row)
@@ -168,7 +211,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     reps = valid.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     reps = scratch.save(reps.withColumn("id", F.monotonically_increasing_id()), "distinct")
     n = reps.count()
-    coded = scratch.save(filtered(reps, n), "coded")
+    coded = scratch.save(filtered(reps, n, centres(reps)), "coded")
     hot = coded.groupBy("bucket", "dim").count().where(F.col("count") > HOT_ROWS)
     hot = hot.select("bucket", "dim", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
     dealt = coded.join(hot, ["bucket", "dim"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

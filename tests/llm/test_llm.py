@@ -310,7 +310,7 @@ def test_filters_catch_pairs_at_any_size(n):
     x = rng.standard_normal((1500, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     own = filters(x)
-    assert min(map(len, own)) >= vectors.ROTATIONS * vectors.FLOOR and np.mean(list(map(len, own))) < 14
+    assert min(map(len, own)) >= len(at.caps) * vectors.FLOOR and np.mean(list(map(len, own))) < 14
     for cosine in (0.951, 0.97, 0.99):
         z = rng.standard_normal(x.shape)
         z -= (z * x).sum(1, keepdims=True) * x
@@ -318,6 +318,50 @@ def test_filters_catch_pairs_at_any_size(n):
         assert np.mean([bool(a & b) for a, b in zip(own, filters(y), strict=True)]) >= 0.98
 
 
+def cone(rng, n, dim, mean):
+    """n vectors of mean cosine `mean`."""
+    g = rng.standard_normal((n, dim))
+    return math.sqrt(mean) * np.eye(dim)[0] + math.sqrt(1 - mean) * g / np.linalg.norm(g, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.2, 0.5, 0.8])
+def test_filters_in_a_cone_compare_few_pairs(mean):
+    rng = np.random.default_rng(4)
+    x = cone(rng, 20_000, 64, mean)
+    rest = x[:1000] - math.sqrt(mean) * np.eye(64)[0]  # partners in the cone, just over the bar
+    z = rng.standard_normal(rest.shape)
+    z -= (z * rest).sum(1, keepdims=True) * rest / (rest * rest).sum(1, keepdims=True)
+    keep = 1 - 0.049 / (1 - mean)
+    y = math.sqrt(mean) * np.eye(64)[0] + keep * rest + math.sqrt(1 - keep**2) * np.linalg.norm(rest, axis=1, keepdims=True) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    near = (x[:1000] * y).sum(1) >= vectors.COSINE
+    at = vectors.Rotations(20_000, 64, x.mean(0))
+    row, code = at.decode(x)
+    sizes = np.unique(code, return_counts=True)[1]
+    assert (sizes * (sizes - 1) // 2).sum() < 20_000_000
+    of_x, of_y = ([set(c.tolist()) for c in np.split(code, np.searchsorted(row, np.arange(1, 1000)))] for row, code in (at.decode(x[:1000]), at.decode(y)))
+    assert near.sum() > 300 and np.mean([bool(a & b) for a, b in zip(of_x, of_y, strict=True)]) >= 0.95
+
+
+def test_centres_are_means_of_unit_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = 3 * cone(rng, 1500, 8, 0.6)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000 + i, [1.0, float(i)]) for i in range(20)]
+    got = vectors.centres(spark.createDataFrame(rows, "id long, embedding array<double>").repartition(4))
+    assert list(got) == [8] and np.allclose(got[8], (x / np.linalg.norm(x, axis=1, keepdims=True)).mean(0))
+
+
+def test_links_in_a_cone_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    x = cone(rng, 3000, 32, 0.7)
+    x[:400] = x[400:800] + 0.03 * rng.standard_normal((400, 32))
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    links = np.array([got[i] for i in range(3000)])
+    assert (links <= want).all() and want.sum() > 500 and links.sum() >= 0.95 * want.sum()
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((4000, 64))
