@@ -179,10 +179,10 @@ def accepted(docs: DataFrame, model: bytes, least_share: float = 0.4) -> DataFra
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, languages, shares) of every row of documents, learnt from those whose
-    crc32(doc_id as text) mod 3 is not 1. The defined results for nulls, empties, ties, repeats are those of identify()."""
+    crc32(doc_id as text) mod 3 is not 1. A row with a null doc_id is neither learnt from nor held out. The defined results for nulls, empties, ties, repeats are those of identify()."""
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, bucket("doc_id", 3) != 1)
     return identify(docs, model).select(
-        "doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score",
+        "doc_id", F.coalesce(bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score",
         F.array_join("languages", ",").alias("languages"), F.array_join(F.transform("shares", lambda x: F.round(x, 6).cast("string")), ",").alias("shares"),
     )

@@ -31,6 +31,8 @@ BATCH_ROWS, BATCH_BYTES = 1500, "4m"
 #: Word counts of so many entries are put together before they leave a task.
 MERGED = 1_500_000
 PART = 1 << 16
+#: Runs seen more than once that a task counts before it sends them on.
+HELD_RUNS = 50_000
 
 _made: dict[str, object] = {}
 
@@ -123,16 +125,26 @@ def bit_counts(docs: DataFrame, coder: Callable[[], Coder], table_bits: int, scr
 
 def runs_of(docs: DataFrame) -> DataFrame:
     """(key, run, n, total): for each anchor's hash the most frequent run after it (of equally frequent ones the last in
-    order), how often it and how often any run was seen. One shuffle by key; copies in a batch are counted before it."""
+    order), how often it and how often any run was seen. One shuffle by key; what a batch has more than once is counted over
+    the whole task before it, so an anchor of every document sends a row or so a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[tuple[int, bytes]] = Counter()
         for b in batches:
             t = Tokens(b.column(0))
             _, key, begin, end = t.anchors()
             seen = Counter(zip(key.tolist(), mixing.slices(t.data, begin, end).to_pylist(), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in seen], pa.int64()), pa.array([r for _, r in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["key", "run", "n"]
-            )
+            held.update({k: n for k, n in seen.items() if n > 1 or k in held})
+            yield batch({k: n for k, n in seen.items() if k not in held})
+            if len(held) > HELD_RUNS:
+                yield batch(held)
+                held = Counter()
+        yield batch(held)
+
+    def batch(seen: dict[tuple[int, bytes], int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in seen], pa.int64()), pa.array([r for _, r in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["key", "run", "n"]
+        )
 
     found = docs.select("text").mapInArrow(run, "key long, run binary, n long").repartition("key")
     found = found.groupBy("key", "run").agg(F.sum("n").alias("n"))
@@ -268,7 +280,9 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row of documents, learnt
-    from those whose crc32(doc_id as text) mod 10 is not 0. Nulls, empties, repeats and long texts: see score()."""
+    from those whose crc32(doc_id as text) mod 10 is not 0. A row with a null doc_id is neither learnt from nor held out. Nulls,
+    empties, repeats and long texts: see score()."""
     docs = table(spark, sf_dir, "documents")
     out = score(docs, bucket("doc_id", 10) != 0)
-    return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    held = F.coalesce(bucket("doc_id", 10) == 0, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
