@@ -151,6 +151,35 @@ def test_motifs(spark):
     assert rows(m) == [(1, "g", "S", 0, "NAS"), (1, "g", "S", 3, "NNT"), (1, "g", "S", 7, "NXT")]
 
 
+def plain_minimizers(text, k, cutoff):
+    t, out, m = text.upper().replace("-", ""), set(), (1 << 32) - 1
+    for i in range(len(t) - k):
+        s = [t[i + j] for j in range(k) if j % 3 != 2]
+        if set(s) <= set("ACGT"):
+            x = sum("GCTA".index(c) << (2 * n) for n, c in enumerate(s))
+            x = (~x + (x << 21)) & m
+            x ^= x >> 24
+            x = (x + (x << 3) + (x << 8)) & m
+            x ^= x >> 14
+            x = (x + (x << 2) + (x << 4)) & m
+            x ^= x >> 28
+            x = (x + (x << 31)) & m
+            if x < cutoff:
+                out.add(x)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 11, 17, 19])
+def test_minimizers_match_a_plain_loop(k, monkeypatch):
+    rnd = random.Random(k)
+    texts = ["".join(rnd.choice("ACGTacgtN-é*") if rnd.random() < 0.1 else rnd.choice("ACGT") for _ in range(rnd.randint(0, 300))) for _ in range(40)] + ["", None, "ACG"]
+    for block in (50, 64, 1 << 20):
+        monkeypatch.setattr(detect, "BLOCK_LETTERS", block)
+        row, h = detect.sketch(texts, k, 1 << 30)
+        for i, t in enumerate(texts):
+            assert h[row == i].tolist() == plain_minimizers(t or "", k, 1 << 30)
+
+
 def test_global_datasets_match_a_plain_loop(spark):
     rnd, hits = random.Random(6), []
     for s in range(60):
