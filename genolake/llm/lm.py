@@ -32,7 +32,7 @@ BATCH_ROWS, BATCH_BYTES = 1500, "4m"
 MERGED = 1_500_000
 PART = 1 << 16
 #: Runs seen more than once that a task counts before it sends them on.
-HELD_RUNS = 50_000
+HELD_RUNS = 4_000
 
 _made: dict[str, object] = {}
 
