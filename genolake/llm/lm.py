@@ -38,10 +38,10 @@ _made: dict[str, object] = {}
 
 
 def once(key: str, make: Callable):
-    """One object for each key and Python worker; a new model replaces the one before."""
+    """One object for each key `run-part` and Python worker; those of another run go first, so a worker never holds two models."""
     if key not in _made:
-        if len(_made) > 3:
-            _made.clear()
+        for other in [k for k in _made if k.rpartition("-")[0] != key.rpartition("-")[0]]:
+            del _made[other]
         _made[key] = make()
     return _made[key]
 
@@ -50,6 +50,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all rows' tokens without the end token; summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _made.clear()  # of a run before
         parts, size = [], 0
         for b in batches:
             t = Tokens(b.column(0))
