@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genolake.operators.muts import compose_muts, inverted, label_mutations
+from genolake.operators.placement import placed_muts
 from genolake.operators.ranges import in_range, is_sequenced, islands
+from genolake.operators.tour import last_on_path
 from genolake.plans.numbering import numbered
 from genolake.plans.scratch import cut_lineage
 
@@ -35,35 +37,27 @@ def ancestors(tree_nodes: DataFrame) -> DataFrame:
             raise ValueError("the tree has a circle of parents")
 
 
-def node_mutations(branch_muts: DataFrame, closure: DataFrame, ref: DataFrame) -> DataFrame:
+def node_mutations(branch_muts: DataFrame, tour: DataFrame, ref: DataFrame) -> DataFrame:
     """(node_id, cds, pos, qry): the state of each node where it isn't the reference's: the last change on its path.
     ref: (cds, pos, ref)."""
-    path = closure.join(branch_muts.withColumnRenamed("node_id", "ancestor_id").select("ancestor_id", "cds", "pos", "qry"), "ancestor_id")
-    last = path.groupBy("node_id", "cds", "pos").agg(F.min_by("qry", "distance").alias("qry"))
-    return last.join(ref.withColumnRenamed("ref", "_ref"), ["cds", "pos"], "left").where(~F.col("qry").eqNullSafe(F.col("_ref"))).drop("_ref")
+    last = last_on_path(branch_muts.select("node_id", "cds", "pos", "qry"), tour, ["cds", "pos"], "qry")
+    return last.join(ref.withColumnRenamed("ref", "_ref"), ["cds", "pos"], "left").where(~F.col("qry").eqNullSafe(F.col("_ref"))).select("node_id", "cds", "pos", "qry")
 
 
-def validate_tree(branch_muts: DataFrame, closure: DataFrame, ref: DataFrame) -> DataFrame:
+def validate_tree(branch_muts: DataFrame, tour: DataFrame, ref: DataFrame) -> DataFrame:
     """(node_id, cds, pos, ref, expected, problem) of the branch mutations whose first letter is not the state above (or
     the reference's), or whose place lies outside the reference."""
-    above = closure.where("distance > 0").join(branch_muts.select(F.col("node_id").alias("ancestor_id"), "cds", "pos", F.col("qry").alias("_q")), "ancestor_id")
-    above = above.groupBy("node_id", "cds", "pos").agg(F.min_by("_q", "distance").alias("_above"))
+    last = last_on_path(branch_muts.select("node_id", "cds", "pos", "qry"), tour, ["cds", "pos"], "qry")
+    above = tour.select("node_id", "parent_id").join(last.select(F.col("node_id").alias("parent_id"), "cds", "pos", F.col("qry").alias("_above")), "parent_id").drop("parent_id")
     j = branch_muts.join(above, ["node_id", "cds", "pos"], "left").join(ref.withColumnRenamed("ref", "_ref"), ["cds", "pos"], "left")
     j = j.withColumn("expected", F.coalesce("_above", "_ref"))
     problem = F.when(F.col("_ref").isNull(), "outside").when(F.col("ref") != F.col("expected"), "origin")
     return j.withColumn("problem", problem).where("problem is not null").select("node_id", "cds", "pos", "ref", "expected", "problem")
 
 
-def placed_muts(node_muts: DataFrame, masks: DataFrame) -> DataFrame:
-    """(node_id, pos, node_qry) that count for placement: nucleotides, no deletions, outside the masks. A masked site would
-    count as undetermined for every sequence, so leaving it out on both sides gives the same distances."""
-    nuc = node_muts.where("cds = 'nuc' and qry <> '-'").select("node_id", "pos", F.col("qry").alias("node_qry"))
-    return in_range(nuc, masks, [], "left_anti")
-
-
 def placement_distance(subs: DataFrame, aligned: DataFrame, missing: DataFrame, dels: DataFrame, node_muts: DataFrame, masks: DataFrame, ref_length: int) -> DataFrame:
     """(seq_index, node_id, distance) for the pairs of a sequence and a node that share a mutated site, or where a node's
-    site is undetermined in the sequence; every other pair is at n_node + n_seq (see candidates()).
+    site is undetermined in the sequence; every other pair is at n_node + n_seq. For the nearest nodes see placement.place().
 
     distance = n_node + n_seq - 2 shared - shared sites - undetermined. The tree's table is small and may be broadcast;
     ranges become places only where some node is mutated. aligned, missing, dels: (seq_index, begin, end).
@@ -84,33 +78,6 @@ def placement_distance(subs: DataFrame, aligned: DataFrame, missing: DataFrame,
     return out.select("seq_index", "node_id", (F.coalesce("n_node", F.lit(0)) + F.coalesce("n_seq", F.lit(0)) - F.col("less")).cast("long").alias("distance"))
 
 
-def candidates(seqs: DataFrame, subs: DataFrame, distances: DataFrame, tree_nodes: DataFrame, node_muts: DataFrame, masks: DataFrame, ties: bool = False) -> DataFrame:
-    """(seq_index, node_id, distance, prior, preorder): nodes that may be nearest.
-
-    These are the pairs in `distances`, and the best node among those without overlap. The latter differ only in the number
-    of their own mutations, so in one ranking of all nodes it is the first that is not among the sequence's overlapping
-    ones: the first gap in their sorted ranks. No pair of a sequence and a node is made for the others; with `ties` those
-    with as few mutations as that node are added.
-    """
-    n_node = placed_muts(node_muts, masks).groupBy("node_id").agg(F.count("*").alias("n"))
-    nodes = tree_nodes.select("node_id", F.coalesce("prior", F.lit(-10.0)).alias("prior"), "preorder").join(n_node, "node_id", "left").na.fill(0, ["n"])
-    nodes = numbered(nodes.orderBy("n", F.desc("prior"), "preorder"), "place").withColumn("place", (F.col("place") + 1).cast("int"))
-    n_seq = in_range(subs.where("cds = 'nuc'"), masks, [], "left_anti").groupBy("seq_index").agg(F.count("*").alias("n_seq"))
-    near = distances.join(nodes, "node_id")
-    by_place = Window.partitionBy("seq_index").orderBy("place")
-    gaps = near.select("seq_index", "place", F.row_number().over(by_place).alias("k")).groupBy("seq_index")
-    first = gaps.agg(F.coalesce(F.min(F.when(F.col("place") != F.col("k"), F.col("k"))), F.max("k") + 1).alias("place"))
-    free = seqs.select("seq_index").join(first, "seq_index", "left").na.fill(1, ["place"]).join(nodes.select("place", "n"), "place")
-    if ties:
-        alike = free.select("seq_index", "n").join(nodes, "n")
-        free = alike.join(distances, ["seq_index", "node_id"], "left_anti")
-    else:
-        free = free.select("seq_index", "place").join(nodes, "place")
-    cols = ["seq_index", "node_id", "distance", "prior", "preorder"]
-    free = free.join(n_seq, "seq_index", "left").withColumn("distance", (F.col("n") + F.coalesce("n_seq", F.lit(0))).cast("long"))
-    return near.select(*cols).union(free.select(*cols))
-
-
 def nearest_node(ranked: DataFrame) -> DataFrame:
     """(seq_index, node_id, distance): least distance, then greatest prior, then first in preorder. A reduction to one row
     for each sequence that is combined before the shuffle."""
@@ -158,20 +125,41 @@ def private_summary(private: DataFrame, labels: DataFrame, seqs: DataFrame) -> D
     return out.na.fill(0)
 
 
-def clade_founder(nearest: DataFrame, closure: DataFrame, tree_nodes: DataFrame, attribute: str = "clade") -> DataFrame:
-    """(seq_index, founder_id): the farthest ancestor with the attribute of the nearest node, else the node itself."""
-    a = tree_nodes.select("node_id", F.col(attribute).alias("_own"))
-    b = tree_nodes.select(F.col("node_id").alias("ancestor_id"), F.col(attribute).alias("_theirs"))
-    founders = closure.join(a, "node_id").join(b, "ancestor_id").where(F.col("_own").eqNullSafe(F.col("_theirs")))
-    founders = founders.groupBy("node_id").agg(F.max_by("ancestor_id", "distance").alias("founder_id"))
+def clade_founder(nearest: DataFrame, tour: DataFrame, tree_nodes: DataFrame, attribute: str = "clade") -> DataFrame:
+    """(seq_index, founder_id): the farthest ancestor with the attribute of the nearest node, else the node itself.
+
+    Among the nodes of one attribute, those that lie in no other's range are founders of all in their own range; as ranges
+    never cross, a node's founder is the last of these that begins before it. One sort by attribute and place."""
+    t = tour.select("node_id", "enter", "exit").join(tree_nodes.select("node_id", F.col(attribute).alias("_a")), "node_id")
+    so_far = Window.partitionBy("_a").orderBy("enter")
+    covered = F.max("exit").over(so_far.rowsBetween(Window.unboundedPreceding, -1))
+    t = t.withColumn("_outer", F.when(covered.isNull() | (covered <= F.col("enter")), F.col("node_id")))
+    founders = t.select("node_id", F.last("_outer", ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("founder_id"))
     return nearest.join(founders, "node_id", "left").select("seq_index", F.coalesce("founder_id", "node_id").alias("founder_id"))
 
 
-def ancestor_search(nearest: DataFrame, closure: DataFrame, tree_nodes: DataFrame, criteria: DataFrame) -> DataFrame:
+def marked_above(tree_nodes: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+    """(node_id, keys, near, far): for each node and group of keys, the nearest and the farthest of its proper ancestors that
+    are in marks(node_id, keys); no row without any. By doubling: in each round a node takes over what the node it points to has
+    seen above itself, and points on. Rows: nodes times groups, whatever the depth."""
+    groups = marks.select(*keys).distinct()
+    marked = marks.select(F.col("node_id").alias("to"), *keys, F.lit(True).alias("is_marked")).distinct()
+    at = tree_nodes.select("node_id", F.col("parent_id").alias("to")).crossJoin(F.broadcast(groups)).join(marked, ["to", *keys], "left")
+    seen = F.when(F.col("is_marked"), F.col("to"))
+    at = cut_lineage(at.select("node_id", *keys, "to", seen.alias("near"), seen.alias("far")))
+    while True:
+        above = at.select(F.col("node_id").alias("to"), *keys, F.col("to").alias("_to"), F.col("near").alias("_near"), F.col("far").alias("_far"))
+        at = cut_lineage(at.join(above, ["to", *keys], "left").select("node_id", *keys, F.col("_to").alias("to"), F.coalesce("near", "_near").alias("near"), F.coalesce("_far", "far").alias("far")))
+        if at.where("to is not null").isEmpty():
+            return at.where("near is not null").drop("to")
+
+
+def ancestor_search(nearest: DataFrame, tree_nodes: DataFrame, criteria: DataFrame) -> DataFrame:
     """(seq_index, search, found_id): for each search, the node that the first fitting criterion finds.
 
     criteria: (search, rank, qry_clade, target_clade, target_name, strategy); a null qry_clade fits any sequence;
-    strategy: nearest or earliest ancestor (never the node itself), or first in preorder of the whole tree.
+    strategy: nearest or earliest ancestor (never the node itself), or first in preorder of the whole tree. The criteria are a
+    few rows of a configuration.
     """
     # what a criterion asks of the sequence: its clade, or nothing; as keys of an equal join
     about = tree_nodes.select("node_id", F.explode(F.array(F.concat(F.lit("c"), "clade"), F.lit("any"))).alias("asked")).where("asked is not null")
@@ -180,13 +168,12 @@ def ancestor_search(nearest: DataFrame, closure: DataFrame, tree_nodes: DataFram
     cols = ["search", "rank", asked, "strategy", "found_id", "preorder"]
     by_name = criteria.join(node, F.col("_n") == F.col("target_name")).select(*cols)
     wanted = by_name.union(criteria.join(node, F.col("_c") == F.col("target_clade")).select(*cols)).distinct()
-    up = closure.where("distance > 0").select("node_id", F.col("ancestor_id").alias("found_id"), "distance")
-    on_path = wanted.where("strategy <> 'first'").join(up, "found_id").join(about, ["node_id", "asked"])
-    on_path = on_path.withColumn("_order", F.when(F.col("strategy") == "nearest", F.col("distance")).otherwise(-F.col("distance")))
-    first = wanted.where("strategy = 'first'").groupBy("search", "rank", "asked").agg(F.min(F.struct("preorder", "found_id")).alias("f"))
-    whole = first.join(about, "asked").select("node_id", "search", "rank", F.col("f.found_id").alias("found_id"), F.col("f.preorder").alias("_order"))
-    options = on_path.select("node_id", "search", "rank", "found_id", "_order").union(whole)
-    best = options.groupBy("node_id", "search").agg(F.min(F.struct("rank", "_order", "found_id")).alias("b"))
+    keys = ["search", "rank", "asked", "strategy"]
+    above = marked_above(tree_nodes, wanted.where("strategy <> 'first'").select(F.col("found_id").alias("node_id"), *keys), keys)
+    on_path = above.join(about, ["node_id", "asked"]).select("node_id", "search", "rank", F.when(F.col("strategy") == "nearest", F.col("near")).otherwise(F.col("far")).alias("found_id"))
+    first = wanted.where("strategy = 'first'").groupBy("search", "rank", "asked").agg(F.min_by("found_id", "preorder").alias("found_id"))
+    options = on_path.union(first.join(about, "asked").select("node_id", "search", "rank", "found_id"))
+    best = options.groupBy("node_id", "search").agg(F.min(F.struct("rank", "found_id")).alias("b"))
     return nearest.select("seq_index", "node_id").join(best, "node_id").select("seq_index", "search", "b.found_id")
 
 
@@ -279,12 +266,7 @@ def attach_nodes(place: DataFrame, private: DataFrame, divergences: DataFrame, t
     return numbered(out.orderBy("n_private", "seq_index"), "rank")
 
 
-def ladderize(tree_nodes: DataFrame, closure: DataFrame) -> DataFrame:
+def ladderize(tree_nodes: DataFrame, tour: DataFrame) -> DataFrame:
     """(node_id, parent_id, leaves, child_no): children in order of the number of leaves below, then preorder."""
-    inner = tree_nodes.where("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct()
-    leaves = tree_nodes.select("node_id").join(inner, "node_id", "left_anti")
-    n = closure.join(leaves, "node_id", "left_semi").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("leaves"))
     w = Window.partitionBy("parent_id").orderBy("leaves", "preorder")
-    return tree_nodes.join(n, "node_id").select("node_id", "parent_id", "leaves", F.row_number().over(w).alias("child_no"))
-
-
+    return tree_nodes.join(tour.select("node_id", "leaves"), "node_id").select("node_id", "parent_id", "leaves", F.row_number().over(w).alias("child_no"))

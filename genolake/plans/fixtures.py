@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genolake.operators.tour import last_on_path
 from genolake.plans.scratch import new_folder
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
@@ -135,9 +136,14 @@ SQL["edit_subs"] = (
 )
 
 
-def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: One in so many sequences has unknown letters beside its deletion; so many.
+UNKNOWN_EVERY, UNKNOWN = 5, 7
+
+
+def edited(spark: SparkSession, sf_dir: str, unknown: bool = False) -> DataFrame:
     """(seq_index, seq): the reference without its first letters, with one deletion, one insertion of the document's own letters
-    and substitutions far from both; one in seven is reverse-complemented, and one in fifty is cut to 60 letters."""
+    and substitutions far from both; one in seven is reverse-complemented, and one in fifty is cut to 60 letters. With `unknown`
+    the letters before some deletions are N."""
     d = F.col("doc_id")
     e = table(spark, sf_dir, "documents").select(d.cast("long").alias("seq_index"), F.translate(clean(), ALPHABET, TO_REF).alias("t"))
     i = F.col("seq_index")
@@ -149,7 +155,10 @@ def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = lambda p: F.translate(F.substr(F.lit(REF), (p + 1).cast("int"), F.lit(1)), "ACGT", "CGTA")
     changed = F.aggregate(spots, F.lit(REF), lambda s, p: F.overlay(s, other(p), (p + 1).cast("int")))
     part = lambda a, b: F.substr("s", (a + 1).cast("int"), (b - a).cast("int"))
-    e = e.withColumn("s", changed).withColumn("seq", F.concat(part(F.col("skip"), F.col("del_at")), part(F.col("del_at") + F.col("del_size"), F.col("ins_at")), "ins", part(F.col("ins_at"), F.lit(REF_SIZE))))
+    before = part(F.col("skip"), F.col("del_at"))
+    if unknown:
+        before = F.when(i % UNKNOWN_EVERY == 2, F.concat(part(F.col("skip"), F.col("del_at") - UNKNOWN), F.lit("N" * UNKNOWN))).otherwise(before)
+    e = e.withColumn("s", changed).withColumn("seq", F.concat(before, part(F.col("del_at") + F.col("del_size"), F.col("ins_at")), "ins", part(F.col("ins_at"), F.lit(REF_SIZE))))
     turned = F.when(i % 7 == 3, F.reverse(F.translate("seq", "ACGT", "TGCA"))).otherwise(F.col("seq"))
     return e.select("seq_index", F.when(i % 50 == 1, F.substr("seq", F.lit(1), F.lit(60))).otherwise(turned).alias("seq"))
 
@@ -213,12 +222,12 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def branch_muts(spark: SparkSession, sf_dir: str, closure: DataFrame) -> DataFrame:
+def branch_muts(spark: SparkSession, sf_dir: str, tour: DataFrame) -> DataFrame:
     """(node_id, cds, pos, ref, qry); the first letter is the state above, so the tree is valid."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("node_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
     raw = s.groupBy("node_id", F.expr("cast((node_id * 37 + k * 53) % 300 as int)").alias("pos")).agg(F.min(F.expr("substr('ACGT', cast((node_id * 3 + k * 2 + 1) % 4 as int) + 1, 1)")).alias("qry"))
-    up = closure.where("distance > 0").join(raw.select(F.col("node_id").alias("ancestor_id"), "pos", F.col("qry").alias("u")), "ancestor_id")
-    up = up.groupBy("node_id", "pos").agg(F.min_by("u", "distance").alias("u"))
+    last = last_on_path(raw, tour, ["pos"], "qry").select(F.col("node_id").alias("parent_id"), "pos", F.col("qry").alias("u"))
+    up = tour.select("node_id", "parent_id").join(last, "parent_id").drop("parent_id")
     out = raw.join(up, ["node_id", "pos"], "left").withColumn("ref", F.coalesce("u", F.expr("substr('ACGT', pos % 4 + 1, 1)")))
     return out.where("ref <> qry").select("node_id", F.lit("nuc").alias("cds"), "pos", "ref", "qry")
 

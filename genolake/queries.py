@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from genolake.functions.mutations import mutation_text, parse_mutation
 from genolake.functions.seq import CODES, COMPLEMENTS, codon_table, reverse_complement
-from genolake.operators import aa, align, catalog, detect, muts, nuc, qc, ranges, results, tree
+from genolake.operators import aa, align, catalog, detect, muts, nuc, placement, qc, ranges, results, tree
+from genolake.operators.tour import euler_tour, last_on_path
 from genolake.plans import fixtures as fx
 from genolake.plans import run
 from genolake.plans.numbering import numbered
@@ -357,10 +358,10 @@ def _(spark, d):
 
 def tree_of(spark, d) -> SimpleNamespace:
     nodes = fx.nodes(spark, d)
-    closure = tree.ancestors(nodes)
-    branch = cut_lineage(fx.branch_muts(spark, d, closure))
-    states = cut_lineage(tree.node_mutations(branch, closure, fx.small_ref(spark)))
-    return SimpleNamespace(nodes=nodes, closure=closure, branch=branch, states=states, masks=fx.masks(spark))
+    tour = euler_tour(nodes)
+    branch = cut_lineage(fx.branch_muts(spark, d, tour))
+    states = cut_lineage(tree.node_mutations(branch, tour, fx.small_ref(spark)))
+    return SimpleNamespace(nodes=nodes, tour=tour, branch=branch, states=states, masks=fx.masks(spark))
 
 
 def distances(spark, d, t) -> DataFrame:
@@ -369,8 +370,8 @@ def distances(spark, d, t) -> DataFrame:
 
 def placed(spark, d, ties: bool = False) -> tuple[SimpleNamespace, DataFrame]:
     t = tree_of(spark, d)
-    ranked = tree.candidates(fx.seqs(spark, d), fx.muts(spark, d), cut_lineage(distances(spark, d, t)), t.nodes, t.states, t.masks, ties)
-    return t, tree.nearest_ties(ranked) if ties else cut_lineage(tree.nearest_node(ranked))
+    ranked = placement.place(fx.seqs(spark, d), fx.muts(spark, d), fx.span(spark, d), fx.missing(spark, d), fx.dels(spark, d), t.nodes, t.tour, t.states, t.masks, fx.SIZE, ties)
+    return t, tree.nearest_ties(ranked) if ties else cut_lineage(ranked.select("seq_index", "node_id", "distance"))
 
 
 def privates(spark, d, t, nearest) -> DataFrame:
@@ -380,7 +381,7 @@ def privates(spark, d, t, nearest) -> DataFrame:
 
 @query("n1_ancestors", "cl", "SELECT node_id, ancestor_id, distance::INT distance FROM cl")
 def _(spark, d):
-    return tree_of(spark, d).closure
+    return tree.ancestors(fx.nodes(spark, d))
 
 
 @query("n2_node_mutations", "nodemuts", "SELECT * FROM nodemuts")
@@ -392,7 +393,7 @@ def _(spark, d):
 def _(spark, d):
     t = tree_of(spark, d)
     spoilt = t.branch.withColumn("ref", F.when(F.col("node_id") % 7 == 0, "N").otherwise(F.col("ref")))
-    return tree.validate_tree(spoilt, t.closure, fx.small_ref(spark))
+    return tree.validate_tree(spoilt, t.tour, fx.small_ref(spark))
 
 
 @query("n4_placement_distance", "dist less", "SELECT d.seq_index, d.node_id, d.distance FROM dist d JOIN less l USING (seq_index, node_id)")
@@ -470,7 +471,7 @@ fx.SQL["founder"] = FOUNDER
 @query("n9_clade_founder", "founder", "SELECT * FROM founder")
 def _(spark, d):
     t, near = placed(spark, d)
-    return tree.clade_founder(near, t.closure, t.nodes)
+    return tree.clade_founder(near, t.tour, t.nodes)
 
 
 CRITERIA = [("a", 1, "c1", "c2", None, "nearest"), ("a", 2, None, None, "n1", "earliest"), ("b", 1, None, "c3", None, "first")]
@@ -480,12 +481,12 @@ CRITERIA = [("a", 1, "c1", "c2", None, "nearest"), ("a", 2, None, None, "n1", "e
 def _(spark, d):
     t, near = placed(spark, d)
     criteria = spark.createDataFrame(CRITERIA, "search string, rank int, qry_clade string, target_clade string, target_name string, strategy string")
-    return tree.ancestor_search(near, t.closure, t.nodes, criteria)
+    return tree.ancestor_search(near, t.nodes, criteria)
 
 
 def relative(spark, d) -> tuple[SimpleNamespace, DataFrame]:
     t, near = placed(spark, d)
-    founder = tree.clade_founder(near, t.closure, t.nodes).select("seq_index", F.lit("clade").alias("ref_kind"), F.col("founder_id").alias("node_id"))
+    founder = tree.clade_founder(near, t.tour, t.nodes).select("seq_index", F.lit("clade").alias("ref_kind"), F.col("founder_id").alias("node_id"))
     parent = near.join(t.nodes.select("node_id", "parent_id"), "node_id").where("parent_id is not null").select("seq_index", F.lit("parent").alias("ref_kind"), F.col("parent_id").alias("node_id"))
     nuc_of = lambda x: x.select("seq_index", F.lit("nuc").alias("cds"), "begin", "end")
     return t, tree.relative_mutations(fx.muts(spark, d), fx.gone(spark, d), founder.union(parent), t.states, nuc_of(fx.span(spark, d)), nuc_of(fx.missing(spark, d)), fx.small_ref(spark))
@@ -557,8 +558,8 @@ def _(spark, d):
 
 @query("n16_ladderize", "nodes cl", "SELECT n.node_id, n.parent_id, leaves, row_number() OVER (PARTITION BY n.parent_id ORDER BY leaves, preorder)::INT child_no FROM nodes n JOIN (SELECT ancestor_id node_id, count(*) leaves FROM cl WHERE node_id NOT IN (SELECT parent_id FROM nodes WHERE parent_id IS NOT NULL) GROUP BY 1) USING (node_id)")
 def _(spark, d):
-    t = tree_of(spark, d)
-    return tree.ladderize(t.nodes, t.closure)
+    nodes = fx.nodes(spark, d)
+    return tree.ladderize(nodes, euler_tour(nodes))
 
 
 # ---- quality ----
@@ -615,7 +616,7 @@ def called(spark, d) -> DataFrame:
     """The results of all sequences: clade and quality."""
     t, near = placed(spark, d)
     s = cut_lineage(tree.private_summary(privates(spark, d, t, near), fx.labels(spark), fx.seqs(spark, d)))
-    j = s.join(qc.private_score(s), "seq_index").join(near, "seq_index").join(F.broadcast(t.nodes.select("node_id", "clade")), "node_id")
+    j = s.join(qc.private_score(s), "seq_index").join(near, "seq_index").join(t.nodes.select("node_id", "clade"), "node_id")
     score = qc.overall([F.col("score")])
     return j.select("seq_index", F.concat(F.lit("s"), F.col("seq_index").cast("string")).alias("seq_name"), "clade", score.alias("qc_score"), qc.status(score).alias("qc_status"), "n_subs", "n_deletions")
 
@@ -793,14 +794,14 @@ def _(spark, d):
     return align.oriented(s, r, len(ref), SEED, EVERY).drop("seq", "spans").withColumn("cover", F.round("cover", 6))
 
 
-A3 = """SELECT e.seq_index, (3*(3000-skip-del_size-coalesce(n,0)) - coalesce(n,0) - 6 - CASE WHEN ins='' THEN 0 ELSE 6 END)::BIGINT score, e.seq_index%7=3 is_rc, NULL::VARCHAR errors,
+A3 = f"""SELECT e.seq_index, (3*(3000-skip-del_size-coalesce(n,0)) - coalesce(n,0) - 6 - CASE WHEN ins='' THEN 0 ELSE 6 END - CASE WHEN e.seq_index%{fx.UNKNOWN_EVERY}=2 THEN {fx.UNKNOWN} ELSE 0 END)::BIGINT score, e.seq_index%7=3 is_rc, NULL::VARCHAR errors,
 (skip+del_size)::BIGINT qry_gaps, length(ins)::BIGINT ref_gaps, true whole FROM edits e LEFT JOIN edit_subs USING (seq_index) WHERE e.seq_index%50<>1
 UNION ALL SELECT seq_index, NULL, false, 'sequence is too short: 60', NULL, NULL, NULL FROM edits WHERE seq_index%50=1"""
 
 
 @query("a3_align", "edits edit_subs", A3)
 def _(spark, d):
-    s = fx.once(spark, d, "edited", fx.edited(spark, d))
+    s = fx.once(spark, d, "edited_unknown", fx.edited(spark, d, unknown=True))
     cost = [x["cost"] for x in align.gap_open_scores(fx.REF_SIZE, fx.segments(spark)).orderBy("pos").collect()]  # one number a reference base
     found = cut_lineage(align.oriented(s, spark.createDataFrame([(0, fx.REF)], "seq_index long, seq string"), fx.REF_SIZE, SEED, EVERY))
     out = align.align_to_reference(found, fx.REF, cost)
@@ -842,12 +843,13 @@ UNION ALL SELECT seq_index::VARCHAR, 's' || seq_index, NULL, NULL, NULL, NULL, N
 def _(spark, d):
     """FASTA files to the results file and back: numbers of the records are their places in the files."""
     at, t, key = folder(spark), tree_of(spark, d), F.col("s_suppkey")
-    own = fx.table(spark, d, "supplier").select(key.cast("long").alias("ancestor_id"), F.explode(F.array(*[((key * 97 + k * 53) % 290).cast("int") for k in range(4)])).alias("pos"))
+    own = fx.table(spark, d, "supplier").select(key.cast("long").alias("node_id"), F.explode(F.array(*[((key * 97 + k * 53) % 290).cast("int") for k in range(4)])).alias("pos"))
     letter = F.translate(F.substr(F.lit(fx.REF), F.col("pos") + 1, F.lit(1)), "ACGT", "CGTA")
-    states = cut_lineage(t.closure.join(own, "ancestor_id").select("node_id", F.lit("nuc").alias("cds"), "pos", letter.alias("qry")).distinct())
+    own = own.select("node_id", F.lit("nuc").alias("cds"), "pos", letter.alias("qry")).distinct()
+    states = cut_lineage(last_on_path(own, t.tour, ["cds", "pos"], "qry"))
     fasta.write_fasta(fx.once(spark, d, "edited", fx.edited(spark, d)).withColumn("seq_name", F.concat(F.lit("s"), F.col("seq_index").cast("string"))), f"{at}/fasta")
     none = fx.masks(spark).where("false")
-    out = run.analyse(fasta.read_fasta(spark, [f"{at}/fasta"]), fx.REF, fx.segments(spark), t.nodes, states, none)
+    out = run.analyse(fasta.read_fasta(spark, [f"{at}/fasta"]), fx.REF, fx.segments(spark), t.nodes, t.tour, states, none)
     columns = ["seq_name", "clade", "nearest", "n_subs", "n_deletions", "n_insertions", "n_aa_changes", "coverage", "substitutions", "aa_changes", "errors"]
     tables.results_to_csv(out, f"{at}/csv", columns)
     back = spark.read.csv(f"{at}/csv", sep=";", header=True)

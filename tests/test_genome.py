@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from genolake.functions.mutations import parse_mutation
 from genolake.functions.seq import codon_table, gap_counts, reverse_complement, translate_codons
-from genolake.operators import aa, align, catalog, detect, muts, nuc, qc, ranges, results, tree
+from genolake.operators import aa, align, catalog, detect, muts, nuc, placement, qc, ranges, results, tree
+from genolake.operators.tour import euler_tour, last_on_path
 from genolake.plans.numbering import numbered
 from genolake.plans.scratch import cut_lineage
 from genolake.sources import fasta, tables
@@ -61,8 +62,9 @@ def test_placement_distance(spark, subs, node, missing, aligned, masks, want):
     r = lambda x: spark.createDataFrame([(1, *p) for p in x], "seq_index long, begin int, end int")
     m = spark.createDataFrame(masks, "begin int, end int")
     d = tree.placement_distance(s, r([aligned]), r(missing), r([]), n, m, 100)
-    nodes = spark.createDataFrame([(7, 0, 0.0)], "node_id long, preorder int, prior double")
-    near = tree.nearest_node(tree.candidates(spark.createDataFrame([(1,)], "seq_index long"), s, d, nodes, n, m)).collect()
+    assert [r.distance for r in d.collect()] in ([], [want])
+    nodes = spark.createDataFrame([(7, None, 0, 0.0)], "node_id long, parent_id long, preorder int, prior double")
+    near = placement.place(spark.createDataFrame([(1,)], "seq_index long"), s, r([aligned]), r(missing), r([]), nodes, euler_tour(nodes), n, m, 100).collect()
     assert [(r.node_id, r.distance) for r in near] == [(7, want)]
 
 
@@ -206,13 +208,19 @@ def test_global_datasets_leave_no_sequence_unmatched(spark):
     assert {r.seq_index: r.name for r in detect.assign_global(hits.select("seq_index"), hits, found).collect()} == {s: f"d{s}" for s in range(23)}
 
 
+def pair(a, b):
+    if "N" in (a, b):
+        return 2
+    return 3 if a == b or "R" in (a, b) and {a, b} <= set("AGR") else -1
+
+
 def full_score(q, r, cost):
     h, gap_r = np.zeros((len(r) + 1, len(q) + 1)), np.full((len(r) + 1, len(q) + 1), -1e9)
     for i in range(1, len(r) + 1):
         along = -1e9
         for j in range(len(q) + 1):
             gap_r[i, j] = max(gap_r[i - 1, j], h[i - 1, j] - (0 if j == len(q) else cost[i - 1])) if j else 0
-            diagonal = h[i - 1, j - 1] + (3 if align.FITS[ord(r[i - 1]), ord(q[j - 1])] else -1) if j else -1e9
+            diagonal = h[i - 1, j - 1] + pair(r[i - 1], q[j - 1]) if j else -1e9
             best = max(diagonal, gap_r[i, j])
             h[i, j] = max(best, along)
             along = max(along, best - (0 if i == len(r) else cost[i - 1]))
@@ -229,7 +237,7 @@ def score_of(q, r, cost):
         if now and now != before:
             total -= cost[i - (now == "ins")]
         elif not now:
-            total += 3 if align.FITS[ord(x), ord(y)] else -1
+            total += pair(x, y)
         i, before = i + (y != "-"), now
     return total
 
@@ -248,6 +256,17 @@ def test_alignment_has_the_best_score():
         assert score == full_score(q, r, cost) and (score <= 0 or score_of(a, b, cost) == score)
 
 
+def test_unknown_letters_count_one_less():
+    r = "ACGTTGCAAC" * 5
+    for at in (0, 13, 40):
+        q = r[:at] + "N" * 10 + r[at + 10 :]
+        for pair_ in ((q, r), (r, q)):
+            assert align.aligned_batch([(pair_[0], [])], pair_[1], np.full(50, 6))[0][2] == 3 * 40 + 2 * 10
+    # the deletion takes what is known as far as the reference has it: the unknown letters stand beside the gap
+    ((a, b, score, _),) = align.aligned_batch([(r[:20] + "NNN" + r[26:], [])], r, np.full(50, 6))
+    assert score == 3 * 44 + 2 * 3 - 6 and a.replace("-", "") == r[:20] + "NNN" + r[26:] and a.count("-") == 3 and b == r
+
+
 @pytest.mark.parametrize(
     "q, r, want",
     [
