@@ -256,6 +256,20 @@ def test_alignment_has_the_best_score():
         assert score == full_score(q, r, cost) and (score <= 0 or score_of(a, b, cost) == score)
 
 
+@pytest.mark.parametrize("cells", [1, 900, 40_000])
+def test_alignment_in_stretches_is_the_same(cells, monkeypatch):
+    rnd = random.Random(cells)
+    jobs, r = [], "".join(rnd.choice("ACGT") for _ in range(400))
+    for _ in range(12):
+        a, b = sorted(rnd.sample(range(400), 2))
+        q = r[rnd.randint(0, 30) : a] + "".join(rnd.choice("ACGTN") for _ in range(rnd.randint(0, 40))) + r[a:b] + r[min(400, b + rnd.randint(0, 80)) :]
+        jobs.append((q, [(0, len(q), 0)] if rnd.random() < 0.5 else []))
+    cost = np.array([rnd.choice([6, 7, 8]) for _ in r])
+    whole = align.aligned_batch(jobs, r, cost, extra=5)
+    monkeypatch.setattr(align, "BATCH_CELLS", cells)
+    assert align.aligned_batch(jobs, r, cost, extra=5) == whole
+
+
 def test_unknown_letters_count_one_less():
     r = "ACGTTGCAAC" * 5
     for at in (0, 13, 40):
