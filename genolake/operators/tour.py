@@ -36,8 +36,9 @@ def euler_tour(tree_nodes: DataFrame) -> DataFrame:
 
     while reach < size:  # two doublings for each table written
         at, reach = cut_lineage(doubled(doubled(at))), 4 * reach
-    if not at.where("to is not null").isEmpty() or at.where("side = 0 and n = 0").count():
-        raise ValueError("the tree has a circle of parents")
+    open_, most = at.agg(F.count("to"), F.coalesce(F.max("n"), F.lit(0))).first()
+    if open_ or 2 * most != size:  # places that never end, or a list beside that of the roots
+        raise ValueError("the tree has a circle of parents, or an unknown parent")
     by_side = [at.where(F.col("side") == s).select("node_id", *[F.col(c).alias(f"{c}{s}") for c in sums]) for s in (0, 1)]
     total = F.lit(size // 2)
     out = tree_nodes.select("node_id", "parent_id").join(by_side[0], "node_id").join(by_side[1], "node_id")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from types import SimpleNamespace
 
@@ -644,10 +643,18 @@ def _(spark, d):
     return called(spark, d).select("seq_index", "clade", "qc_status")
 
 
-@query("c8_primer_changes", "muts", "SELECT m.seq_index, 'p'||p_partkey AS name, pos, ref, qry FROM muts m JOIN part p ON pos >= (p_partkey*7)%280 AND pos < (p_partkey*7)%280+20 AND NOT (pos = (p_partkey*7)%280+3 AND qry IN ('A','G'))")
+#: The primers of a kit: one at each place where some part stands, 40 at most.
+fx.SQL["kit"] = "SELECT DISTINCT 'p' || ((p_partkey*7)%280) AS name, ((p_partkey*7)%280)::INT b FROM part"
+
+
+def kit(spark, d) -> DataFrame:
+    begin = ((F.col("p_partkey") * 7) % 280).cast("int")
+    return fx.table(spark, d, "part").select(F.concat(F.lit("p"), begin.cast("string")).alias("name"), begin.alias("begin"), (begin + 20).alias("end")).distinct()
+
+
+@query("c8_primer_changes", "muts kit", "SELECT m.seq_index, name, pos, ref, qry FROM muts m JOIN kit ON pos >= b AND pos < b+20 AND NOT (pos = b+3 AND qry IN ('A','G'))")
 def _(spark, d):
-    p = fx.table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), ((F.col("p_partkey") * 7) % 280).cast("int").alias("begin"))
-    p = p.withColumn("end", F.col("begin") + 20)
+    p = kit(spark, d)
     return qc.primer_changes(fx.muts(spark, d), p, p.select("name", (F.col("begin") + 3).alias("pos"), F.lit("AG").alias("letters")))
 
 
@@ -1045,14 +1052,12 @@ def _(spark, d):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-fx.SQL["fewprimers"] = "SELECT 'p' || p_partkey AS name, (p_partkey*7)%280 b FROM part WHERE p_size=1"
-S7P = """SELECT seq_index, string_agg(name || ':' || m, ',' ORDER BY name) primer_changes FROM (SELECT m.seq_index, name, string_agg(ref||(pos+1)||qry, ';' ORDER BY pos, qry) m FROM muts m JOIN fewprimers ON pos>=b AND pos<b+20 GROUP BY 1,2) GROUP BY 1"""
+S7P = """SELECT seq_index, string_agg(name || ':' || m, ',' ORDER BY name) primer_changes FROM (SELECT m.seq_index, name, string_agg(ref||(pos+1)||qry, ';' ORDER BY pos, qry) m FROM muts m JOIN kit ON pos>=b AND pos<b+20 GROUP BY 1,2) GROUP BY 1"""
 
 
-@query("s7_primer_cells", "muts fewprimers", S7P)
+@query("s7_primer_cells", "muts kit", S7P)
 def _(spark, d):
-    p = fx.table(spark, d, "part").where("p_size = 1").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), ((F.col("p_partkey") * 7) % 280).cast("int").alias("begin"))
-    p = p.withColumn("end", F.col("begin") + 20)
+    p = kit(spark, d)
     none = p.select("name", F.col("begin").alias("pos"), F.lit("A").alias("letters")).where("false")
     return results.primer_cells(qc.primer_changes(fx.muts(spark, d), p, none))
 
@@ -1081,36 +1086,24 @@ fx.SQL["deepfirst"] = "SELECT n.* REPLACE ((row_number() OVER (ORDER BY path))::
 
 @query("s11_tree_from_json", "deepfirst branch nodes", S11)
 def _(spark, d):
-    """A tree file is one nested JSON object, so the file is put together from its rows on the driver, as it is read there."""
-    t = tree_of(spark, d)
-    muts_of: dict[int, list[str]] = {}
-    for r in t.branch.orderBy("pos").collect():
-        muts_of.setdefault(r.node_id, []).append(f"{r.ref}{r.pos + 1}{r.qry}")
-    made = {r.node_id: ({"name": r.name, "node_attrs": {"div": r.div, "clade_membership": {"value": r.clade}, "placement_prior": {"value": r.prior}, "region": {"value": f"r{r.node_id % 3}"}}, "branch_attrs": {"mutations": {"nuc": muts_of.get(r.node_id, [])}}, "children": []}, r.parent_id) for r in t.nodes.orderBy("node_id").collect()}
-    for node, parent in made.values():
-        if parent:
-            made[parent][0]["children"].append(node)
-    top = {"name": "top", "children": [x for x, p in made.values() if p is None]}  # the table may hold several roots
-    n, m, _ = tables.tree_from_json(spark, json.dumps({"tree": top}))
-    n = n.withColumn("preorder", F.col("preorder") - 1)
+    """A tree written as one row a node and read back, numbered by its own order."""
+    t, path = tree_of(spark, d), f"{folder(spark)}/tree"
+    region = F.create_map(F.lit("region"), F.concat(F.lit("r"), (F.col("node_id") % 3).cast("string")))
+    tables.write_tree(t.nodes.withColumn("attrs", region), t.branch, path)
+    n, m = tables.read_tree(spark, path)
     text = results.joined(m, ["node_id"], F.concat("cds", F.lit(":"), "ref", (F.col("pos") + 1).cast("string"), "qry"), ["pos"], "muts")
-    parent = n.where("name <> 'top'").select(F.col("node_id").alias("parent_id"), F.col("name").alias("parent"))
-    return n.where("name <> 'top'").join(parent, "parent_id", "left").join(text, "node_id", "left").select("name", "parent", "preorder", "clade", "div", "prior", F.col("attrs")["region"].alias("region"), "muts")
+    parent = n.select(F.col("node_id").alias("parent_id"), F.col("name").alias("parent"))
+    return n.join(parent, "parent_id", "left").join(text, "node_id", "left").select("name", "parent", "preorder", "clade", "div", "prior", F.col("attrs")["region"].alias("region"), "muts")
 
 
 @query("s12_read_minimizer_index", "refmins minirefs", f"SELECT r.name, len AS length, n_minimizers, hash, {K} k, {CUTOFF}::BIGINT cutoff FROM refmins JOIN minirefs r USING (ref_id)")
 def _(spark, d):
-    """An index file is one JSON object as well; it is written by one task, as its size is that of the references' index."""
+    """An index written as one row a hash and a reference, and read back."""
     index, refs = detect.build_index(fx.mini_refs(spark, d), K, CUTOFF)
-    refs = cut_lineage(numbered(refs.orderBy("ref_id"), "no"))
-    by_hash = index.join(refs.select("ref_id", "no"), "ref_id").groupBy("hash").agg(F.array_sort(F.collect_list("no")).alias("refs"))
-    entries = F.map_from_entries(F.collect_list(F.struct(F.col("hash").cast("string"), "refs"))).alias("minimizers")
-    listed = refs.agg(F.array_sort(F.collect_list(F.struct("no", "name", F.col("length").cast("long").alias("length"), F.col("n_minimizers").alias("nMinimizers")))).alias("r"))
-    whole = by_hash.agg(entries).crossJoin(listed).select("minimizers", F.transform("r", lambda x: F.struct(x["name"].alias("name"), x["length"].alias("length"), x["nMinimizers"].alias("nMinimizers"))).alias("references"))  # one row each
     path = f"{folder(spark)}/index"
-    whole.withColumn("params", F.struct(F.lit(K).alias("k"), F.lit(CUTOFF).alias("cutoff"))).coalesce(1).write.json(path)
-    m, r, params = tables.read_minimizer_index(spark, path)
-    return m.join(r, "ref_id").join(F.broadcast(params), F.lit(True)).select("name", "length", "n_minimizers", "hash", "k", "cutoff")
+    tables.write_index(index, refs, K, CUTOFF, path)
+    m, r, params = tables.read_index(spark, path)
+    return m.join(r, "ref_id").join(params, F.lit(True)).select("name", "length", "n_minimizers", "hash", "k", "cutoff")
 
 
 @query("s8_combine", "res", "SELECT *, row_number() OVER (ORDER BY seq_index) - 1 AS place FROM (" + RES.format(", errors", "res") + ")")

@@ -404,3 +404,19 @@ def test_annotation_tree_and_primers(spark, tmp_path):
     p = spark.createDataFrame([("f", "CGR"), ("x_R", "TTT"), ("no", "GGGG")], "name string, seq string")
     found = {r.name: (r.begin, r.end, r.errors) for r in tables.find_primers(p, "AACGAAAC").collect()}
     assert found["f"][:2] == (2, 5) and found["x_R"][:2] == (4, 7) and found["no"][2]
+
+
+def test_tree_and_index_files_of_rows(spark, tmp_path):
+    nodes = spark.createDataFrame([(5, None, "root", "a", 0.0, None, {}, 0), (7, 5, "x", "b", 1.5, -2.0, {"region": "r"}, 2), (6, 5, "y", None, 2.0, None, None, 1)], "node_id long, parent_id long, name string, clade string, div double, prior double, attrs map<string,string>, preorder int")
+    branch = spark.createDataFrame([(7, "nuc", 22, "A", "T"), (7, "nuc", 3, "C", "-"), (6, "S", 500, "N", "Y")], "node_id long, cds string, pos int, ref string, qry string")
+    tables.write_tree(nodes, branch, f"{tmp_path}/tree")
+    n, m = tables.read_tree(spark, f"{tmp_path}/tree")
+    assert [(r.node_id, r.parent_id, r.name, r.clade, r.div, r.prior) for r in n.orderBy("node_id").collect()] == [(0, None, "root", "a", 0.0, None), (1, 0, "y", None, 2.0, None), (2, 0, "x", "b", 1.5, -2.0)]
+    assert sorted(map(tuple, m.collect())) == [(1, "S", 500, "N", "Y"), (2, "nuc", 3, "C", "-"), (2, "nuc", 22, "A", "T")]
+    with pytest.raises(Exception, match="can't be read"):
+        tables.tree_mutations(spark.createDataFrame([(1, "nuc", "A23"), (1, "nuc", "A23T")], "node_id long, cds string, text string")).collect()
+
+    refs = spark.createDataFrame([(0, "a", 30, 2), (1, "b", 40, 1)], "ref_id long, name string, length int, n_minimizers long")
+    tables.write_index(spark.createDataFrame([(9, 0), (9, 1), (4, 0)], "hash long, ref_id long"), refs, 17, 99, f"{tmp_path}/index")
+    found, r, params = tables.read_index(spark, f"{tmp_path}/index")
+    assert sorted(map(tuple, found.collect())) == [(4, 0), (9, 0), (9, 1)] and sorted(map(tuple, r.collect())) == [(0, "a", 30, 2), (1, "b", 40, 1)] and tuple(params.first()) == (17, 99)
