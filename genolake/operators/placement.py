@@ -163,7 +163,8 @@ def search(own: DataFrame, kids: DataFrame) -> tuple[DataFrame, Callable[[], int
     if not seen:
         return own.select("digest", *[F.lit(None).cast(k).alias(c) for c, k in (("node_id", "long"), ("distance", "int"), ("less", "double"), ("preorder", "int"))]).limit(0), lambda: 0
     bounds = reduce(DataFrame.union, seen).groupBy("digest").agg(F.min("distance").alias("bound"))
-    level, seen = cut_lineage(top.join(bounds, "digest")), []
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    level, seen = cut_lineage(top.join(bounds, "digest").repartition(parts)), []  # small rows, much work: not put together
     while True:
         possible = F.filter("found", lambda x: (x["distance"] <= F.col("bound")) | (x["inner"] & (x["least"] <= F.col("bound"))))
         at = cut_lineage(step(level, possible))
