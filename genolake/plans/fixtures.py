@@ -8,8 +8,11 @@ and branch_muts: a tree from suppliers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from genolake.operators.tour import last_on_path
 from genolake.plans.scratch import new_folder
@@ -89,17 +92,22 @@ def clean(column: str = "text") -> F.Column:
     return F.regexp_replace(F.lower(column), "[^a-z]", "")
 
 
-_written: dict[tuple[str, str, str], str] = {}
+_written: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> DataFrame:
-    """df written once for each session and folder of tables: queries share it."""
+def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What build() makes, written once for each session and folder of tables: queries share it."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
-        path = new_folder(spark, name)
+        df, path = build(), new_folder(spark, name)
         df.write.parquet(path)
-        _written[key] = path
-    return spark.read.schema(df.schema).parquet(_written[key])
+        _written[key] = path, df.schema
+    path, schema = _written[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> DataFrame:
+    return shared(spark, sf_dir, name, lambda: df)
 
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:

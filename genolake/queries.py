@@ -356,10 +356,11 @@ def _(spark, d):
 
 
 def tree_of(spark, d) -> SimpleNamespace:
+    """The reference tree, prepared once for all queries."""
     nodes = fx.nodes(spark, d)
-    tour = euler_tour(nodes)
-    branch = cut_lineage(fx.branch_muts(spark, d, tour))
-    states = cut_lineage(tree.node_mutations(branch, tour, fx.small_ref(spark)))
+    tour = fx.shared(spark, d, "tour", lambda: euler_tour(nodes))
+    branch = fx.shared(spark, d, "branch", lambda: fx.branch_muts(spark, d, tour))
+    states = fx.shared(spark, d, "states", lambda: tree.node_mutations(branch, tour, fx.small_ref(spark)))
     return SimpleNamespace(nodes=nodes, tour=tour, branch=branch, states=states, masks=fx.masks(spark))
 
 
@@ -367,10 +368,14 @@ def distances(spark, d, t) -> DataFrame:
     return tree.placement_distance(fx.muts(spark, d), fx.span(spark, d), fx.missing(spark, d), fx.dels(spark, d), t.states, t.masks, fx.SIZE)
 
 
-def placed(spark, d, ties: bool = False) -> tuple[SimpleNamespace, DataFrame]:
+def nearest(spark, d, t: SimpleNamespace, ties: bool = False) -> DataFrame:
+    return placement.place(fx.seqs(spark, d), fx.muts(spark, d), fx.span(spark, d), fx.missing(spark, d), fx.dels(spark, d), t.nodes, t.tour, t.states, t.masks, fx.SIZE, ties)
+
+
+def placed(spark, d) -> tuple[SimpleNamespace, DataFrame]:
+    """The tree, and the nearest nodes, which the queries on placed sequences share."""
     t = tree_of(spark, d)
-    ranked = placement.place(fx.seqs(spark, d), fx.muts(spark, d), fx.span(spark, d), fx.missing(spark, d), fx.dels(spark, d), t.nodes, t.tour, t.states, t.masks, fx.SIZE, ties)
-    return t, tree.nearest_ties(ranked) if ties else cut_lineage(ranked.select("seq_index", "node_id", "distance"))
+    return t, fx.shared(spark, d, "nearest", lambda: nearest(spark, d, t).select("seq_index", "node_id", "distance"))
 
 
 def privates(spark, d, t, nearest) -> DataFrame:
@@ -402,12 +407,12 @@ def _(spark, d):
 
 @query("n5_nearest_node", "nearest", "SELECT * FROM nearest")
 def _(spark, d):
-    return placed(spark, d)[1]
+    return nearest(spark, d, tree_of(spark, d)).select("seq_index", "node_id", "distance")
 
 
 @query("n6_nearest_ties", "dist", "SELECT seq_index, distance, string_agg(node_id::VARCHAR, ',' ORDER BY prior DESC, preorder) nodes FROM (SELECT *, min(distance) OVER (PARTITION BY seq_index) m FROM dist) WHERE distance=m GROUP BY 1,2")
 def _(spark, d):
-    return placed(spark, d, True)[1].select("seq_index", "distance", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"))
+    return tree.nearest_ties(nearest(spark, d, tree_of(spark, d), True)).select("seq_index", "distance", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"))
 
 
 @query("n7_private_nuc", "private", "SELECT * FROM private")
