@@ -171,6 +171,42 @@ def edited(spark: SparkSession, sf_dir: str, unknown: bool = False) -> DataFrame
     return e.select("seq_index", F.when(i % 50 == 1, F.substr("seq", F.lit(1), F.lit(60))).otherwise(turned).alias("seq"))
 
 
+#: Amino acids that the reference peptide of a CDS does not have, with a codon of each; places where codons may be put in (first
+#: codon, number of places); the genome position of the CDS's first base and the direction.
+PLANTS = {"S": ("WEGQ", ["TGG", "GAA", "GGA", "CAA"], 3, 15, 0, 1), "M": ("WCDH", ["TGG", "TGC", "GAC", "CAC"], 12, 6, 60, 1), "N": ("WHKM", ["TGG", "CAC", "AAA", "ATG"], 3, 14, 260, -1)}
+_COUNT = "(length(t) - length(replace(t, '{}', '')))"
+_LETTERS = ", ".join(f"substr(aas, ({_COUNT.format(c)} % 4 + 1)::INT, 1)" for c in "aiot")
+SQL["stretches"] = f"SELECT (doc_id*{STRETCHES} + k)::BIGINT seq_index, substr(t, (k*{REF_SIZE}+1)::INT, {REF_SIZE}) t FROM (SELECT doc_id, t, unnest(range((length(t)-1)//{REF_SIZE}+1)) k FROM (SELECT doc_id, regexp_replace(lower(text),'[^a-z]','','g') t FROM documents) WHERE t <> '')"
+SQL["plantrules"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{cds}', '{v[0]}', {v[2]}, {v[3]})" for i, (cds, v) in enumerate(PLANTS.items())) + ") v(no, cds, aas, low, n)"
+SQL["plants"] = f"SELECT seq_index, cds, (low + {_COUNT.format('n')} % n - 1)::INT pos, substr(concat({_LETTERS}), 1, (1 + {_COUNT.format('e')} % 4)::INT) ins FROM stretches JOIN plantrules ON no = seq_index % 3"
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_index, qry_aln, ref_aln): for each stretch of a document's letters the reference with codons put in between two of a
+    CDS, told by the stretch's letters. Where the same sequence can be aligned with the gap one letter later, so that it cuts two
+    codons, it is."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", clean().alias("t")).where("t <> ''")
+    steps = F.sequence(F.lit(0), F.floor((F.length("t") - 1) / REF_SIZE).cast("int"))
+    s = docs.select("doc_id", F.posexplode(F.transform(steps, lambda k: F.substr(F.col("t"), k * REF_SIZE + 1, F.lit(REF_SIZE)))).alias("k", "t"))
+    s = s.withColumn("seq_index", F.col("doc_id") * STRETCHES + F.col("k"))
+    count = lambda c: F.length("t") - F.length(F.replace(F.col("t"), F.lit(c), F.lit("")))
+
+    def choose(f: Callable[[str], F.Column]) -> F.Column:
+        first, second, third = (f(cds) for cds in PLANTS)
+        return F.when(F.col("seq_index") % 3 == 0, first).when(F.col("seq_index") % 3 == 1, second).otherwise(third)
+
+    def codons(cds: str) -> F.Column:
+        text = F.array_join(F.slice(F.array(*[F.get(F.array(*map(F.lit, PLANTS[cds][1])), count(c) % 4) for c in "aiot"]), F.lit(1), 1 + count("e") % 4), "")
+        return text if PLANTS[cds][5] > 0 else F.reverse(F.translate(text, "ACGT", "TGCA"))
+
+    place = lambda cds: F.lit(PLANTS[cds][4]) + PLANTS[cds][5] * 3 * (F.lit(PLANTS[cds][2]) + count("n") % PLANTS[cds][3])
+    s = s.select("seq_index", choose(place).alias("at"), choose(codons).alias("ins"))
+    part = lambda a, b: F.substr(F.lit(REF), a + 1, b - a)
+    at, end = F.col("at"), F.lit(REF_SIZE)
+    later = at + (part(at, at + 1) == F.left("ins", F.lit(1))).cast("int")
+    return s.select("seq_index", F.concat(part(F.lit(0), at), "ins", part(at, end)).alias("qry_aln"), F.concat(part(F.lit(0), later), F.repeat(F.lit("-"), F.length("ins")), part(later, end)).alias("ref_aln"))
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_index, seq_name, seq): unaligned sequences, one for each document."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_index"), F.concat_ws(" ", F.concat(F.lit("s"), "doc_id"), "lang").alias("seq_name"), F.translate(clean(), ALPHABET, TO_SEQ).alias("seq"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from genolake.functions.mutations import mutation_text, parse_mutation
 from genolake.functions.seq import CODES, COMPLEMENTS, codon_table, reverse_complement
-from genolake.operators import aa, align, catalog, detect, muts, nuc, placement, qc, ranges, results, tree
+from genolake.operators import aa, align, catalog, detect, muts, nuc, peptides, placement, qc, ranges, results, tree
 from genolake.operators.tour import euler_tour, last_on_path
 from genolake.plans import fixtures as fx
 from genolake.plans import run
@@ -215,6 +215,22 @@ def _(spark, d):
     return aa_changes(spark, d)[1]
 
 
+def realigned(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    seg = fx.segments(spark)
+    whole = spark.createDataFrame([(0, fx.REF)], "seq_index long, aln string")
+    return peptides.translate_aligned(fx.planted(spark, d), seg, aa.translate(aa.extract_cds(whole, seg)).select("cds", "aa"))
+
+
+@query("t2_aligned_peptides", "stretches refcodons", "SELECT seq_index, cds, aa FROM stretches CROSS JOIN (SELECT cds, string_agg(ref, '' ORDER BY pos) aa FROM refcodons GROUP BY 1)")
+def _(spark, d):
+    return realigned(spark, d)[0]
+
+
+@query("t7_aa_insertions", "plants", "SELECT * FROM plants")
+def _(spark, d):
+    return realigned(spark, d)[1]
+
+
 fx.SQL["aasessions"] = "SELECT seq_index, cds, no, min(pos) f, max(pos) l, count(*) n FROM (SELECT *, sum(fresh) OVER (PARTITION BY seq_index, cds ORDER BY pos) no FROM (SELECT *, coalesce(pos > lag(pos) OVER (PARTITION BY seq_index, cds ORDER BY pos) + 3, true)::INT fresh FROM aachanges)) GROUP BY 1,2,3"
 fx.SQL["aapads"] = "SELECT s.seq_index, s.cds, no, x FROM (SELECT *, unnest([f-2,f-1,l+1,l+2]) x FROM aasessions) s WHERE x>=0 AND EXISTS (SELECT 1 FROM aaranges a WHERE a.seq_index=s.seq_index AND a.cds=s.cds AND x>=a.b AND x<a.e)"
 fx.SQL["aagroups"] = "SELECT s.seq_index, s.cds, least(f, coalesce(min(x), f))::INT b, (greatest(l, coalesce(max(x), l))+1)::INT e, n FROM aasessions s LEFT JOIN aapads p USING (seq_index, cds, no) GROUP BY s.seq_index, s.cds, no, f, l, n"
