@@ -867,23 +867,84 @@ LEFT JOIN (SELECT seq_index, count(*) n, string_agg(cds||':'||ref||(pos+1)||qry,
 UNION ALL SELECT seq_index::VARCHAR, 's' || seq_index, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'sequence is too short: 60' FROM edits WHERE seq_index%50=1"""
 
 
+def whole_run(spark, d) -> DataFrame:
+    """FASTA files to results: numbers of the records are their places in the files."""
+
+    def build() -> DataFrame:
+        at = folder(spark)
+        fasta.write_fasta(edited_records(spark, d), f"{at}/fasta")
+        return whole_analysis(spark, d)(fasta.read_fasta(spark, [f"{at}/fasta"]))
+
+    return fx.shared(spark, d, "whole_run", build)
+
+
+def edited_records(spark, d) -> DataFrame:
+    return fx.once(spark, d, "edited", fx.edited(spark, d)).withColumn("seq_name", F.concat(F.lit("s"), F.col("seq_index").cast("string")))
+
+
+def whole_analysis(spark, d) -> Callable[[DataFrame], DataFrame]:
+    """The analysis of a table of sequences with everything that doesn't depend on them."""
+    t, key = tree_of(spark, d), F.col("s_suppkey")
+
+    def states() -> DataFrame:
+        own = fx.table(spark, d, "supplier").select(key.cast("long").alias("node_id"), F.explode(F.array(*[((key * 97 + k * 53) % 290).cast("int") for k in range(4)])).alias("pos"))
+        own = own.select("node_id", F.lit("nuc").alias("cds"), "pos", turned("pos").alias("qry")).distinct()
+        return last_on_path(own, t.tour, ["cds", "pos"], "qry")
+
+    node_states = fx.shared(spark, d, "big_states", states)
+    return lambda seqs: run.analyse(seqs, fx.REF, fx.segments(spark), t.nodes, t.tour, node_states, fx.masks(spark).where("false"), run_settings(spark, d))
+
+
+def turned(pos: str) -> F.Column:
+    return F.translate(F.substr(F.lit(fx.REF), F.col(pos) + 1, F.lit(1)), "ACGT", "CGTA")
+
+
+LABEL_EVERY = 5
+
+
+def run_settings(spark, d) -> run.Settings:
+    labels = spark.range(0, fx.SIZE, LABEL_EVERY).select(F.lit("nuc").alias("cds"), F.col("id").cast("int").alias("pos"))
+    labels = labels.select("cds", "pos", turned("pos").alias("qry"), F.array(F.lit("x")).alias("labels"))
+    letters = kit(spark, d).select("name", (F.col("begin") + 3).alias("pos"), F.lit("AG").alias("letters"))
+    return run.Settings(labels=labels, primers=kit(spark, d), primer_letters=letters, ignored_stops=spark.createDataFrame([("S", 7)], "cds string, codon int"), motifs=MOTIFS)
+
+
 @query("run_analysis", "edits esubs eaa enear", RUN)
 def _(spark, d):
-    """FASTA files to the results file and back: numbers of the records are their places in the files."""
-    at, t, key = folder(spark), tree_of(spark, d), F.col("s_suppkey")
-    own = fx.table(spark, d, "supplier").select(key.cast("long").alias("node_id"), F.explode(F.array(*[((key * 97 + k * 53) % 290).cast("int") for k in range(4)])).alias("pos"))
-    letter = F.translate(F.substr(F.lit(fx.REF), F.col("pos") + 1, F.lit(1)), "ACGT", "CGTA")
-    own = own.select("node_id", F.lit("nuc").alias("cds"), "pos", letter.alias("qry")).distinct()
-    states = cut_lineage(last_on_path(own, t.tour, ["cds", "pos"], "qry"))
-    fasta.write_fasta(fx.once(spark, d, "edited", fx.edited(spark, d)).withColumn("seq_name", F.concat(F.lit("s"), F.col("seq_index").cast("string"))), f"{at}/fasta")
-    none = fx.masks(spark).where("false")
-    out = run.analyse(fasta.read_fasta(spark, [f"{at}/fasta"]), fx.REF, fx.segments(spark), t.nodes, t.tour, states, none)
+    """FASTA files to the results file and back."""
+    at, out = folder(spark), whole_run(spark, d)
     columns = ["seq_name", "clade", "nearest", "n_subs", "n_deletions", "n_insertions", "n_aa_changes", "coverage", "substitutions", "aa_changes", "errors"]
     tables.results_to_csv(out, f"{at}/csv", columns)
     back = spark.read.csv(f"{at}/csv", sep=";", header=True)
     return back.select(F.substr("seq_name", F.lit(2)).alias("seq_index"), *[F.round(F.col(c).cast("double"), 4).alias(c) if c == "coverage" else F.col(c) for c in columns])
 
 
+fx.SQL["enearid"] = "SELECT seq_index, n.node_id FROM enear JOIN nodes n USING (name)"
+fx.SQL["efounder"] = fx.SQL["founder"].replace("nearest", "enearid")
+fx.SQL["enode"] = "SELECT seq_index, pos, qry FROM enearid JOIN bignode USING (node_id)"
+fx.SQL["epriv"] = "SELECT seq_index, pos, qry, false reversion FROM esubs ANTI JOIN enode USING (seq_index, pos) UNION ALL SELECT n.seq_index, n.pos, p.ref, true FROM (SELECT * FROM enode ANTI JOIN esubs USING (seq_index, pos)) n JOIN refpos p USING (pos) JOIN edits e USING (seq_index) WHERE n.pos >= e.skip"
+fx.SQL["esum"] = f"SELECT seq_index, count(*) n, count(*) FILTER (reversion) back, count(*) FILTER (NOT reversion AND pos % {LABEL_EVERY} = 0 AND pos < {fx.SIZE}) labelled FROM epriv GROUP BY 1"
+fx.SQL["eclusters"] = "SELECT seq_index, count(*) n FROM (SELECT *, hot AND NOT coalesce(lag(hot) OVER (PARTITION BY seq_index ORDER BY pos), false) fresh FROM (SELECT seq_index, pos, count(*) OVER w > 5 hot FROM epriv WINDOW w AS (PARTITION BY seq_index ORDER BY pos RANGE BETWEEN 100 PRECEDING AND CURRENT ROW))) WHERE fresh GROUP BY 1"
+fx.SQL["estops"] = "SELECT seq_index, count(*) n, count(*) FILTER (NOT (cds='S' AND pos=7)) counted FROM (SELECT *, max(pos) OVER (PARTITION BY seq_index, cds) last FROM ecodons) WHERE qry='*' AND pos<last GROUP BY 1"
+fx.SQL["eprimed"] = "SELECT seq_index, count(*) n, string_agg(name || ':' || t, ',' ORDER BY name) t FROM (SELECT seq_index, name, string_agg(ref||(pos+1)||qry, ';' ORDER BY pos) t, count(*) n FROM esubs JOIN kit ON pos >= b AND pos < b+20 AND NOT (pos = b+3 AND qry IN ('A','G')) GROUP BY 1, 2) GROUP BY 1"
+fx.SQL["erules"] = (
+    "SELECT e.seq_index, coalesce(u.n,0) n_private, coalesce(back,0) n_back, coalesce(labelled,0) n_labelled, coalesce(t.n,0) n_stops, greatest(coalesce(u.n + labelled,0)+1-5, 0)*100.0/15 r1, coalesce(c.n,0)*50.0 r2, coalesce(t.counted,0)*75.0 r3 "
+    "FROM edits e LEFT JOIN esum u USING (seq_index) LEFT JOIN eclusters c USING (seq_index) LEFT JOIN estops t USING (seq_index) WHERE e.seq_index%50<>1"
+)
+QUALITY = """SELECT r.seq_index, n_private::BIGINT n_private_subs, n_back::BIGINT n_private_reversions, n_labelled::BIGINT n_private_labelled, del_size::BIGINT n_private_deletions, n_stops::BIGINT n_stop_codons, 0::BIGINT n_frame_shifts, 0::BIGINT n_aa_insertions,
+coalesce(p.n,0)::BIGINT n_primer_changes, p.t primer_changes, f.name founder, round(n.div + CASE WHEN n_private=0 THEN 0.06 ELSE n_private END, 6) divergence, round(r1::DOUBLE, 6) qc_private, round(r2::DOUBLE, 6) qc_snp_clusters, round(r3::DOUBLE, 6) qc_stop_codons,
+round(((r1*r1+r2*r2+r3*r3)/100)::DOUBLE, 4) qc_score, CASE WHEN r1*r1+r2*r2+r3*r3 < 3000 THEN 'good' WHEN r1*r1+r2*r2+r3*r3 < 10000 THEN 'mediocre' ELSE 'bad' END qc_status
+FROM erules r JOIN edits USING (seq_index) JOIN enearid x USING (seq_index) JOIN nodes n ON n.node_id = x.node_id JOIN efounder y USING (seq_index) JOIN nodes f ON f.node_id = y.founder_id LEFT JOIN eprimed p USING (seq_index)"""
+
+
+@query("run_quality", "erules edits enearid efounder eprimed", QUALITY)
+def _(spark, d):
+    out = whole_run(spark, d).where("errors is null")
+    counts = ["n_private_subs", "n_private_reversions", "n_private_labelled", "n_private_deletions", "n_stop_codons", "n_frame_shifts", "n_aa_insertions", "n_primer_changes"]
+    scores = ["divergence", "qc_private", "qc_snp_clusters", "qc_stop_codons"]
+    return out.select(F.substr("seq_name", F.lit(2)).cast("long").alias("seq_index"), *counts, "primer_changes", "founder", *[F.round(c, 6).alias(c) for c in scores], F.round("qc_score", 4).alias("qc_score"), "qc_status")
+
+
 # ---- result tables ----
 
 
@@ -1182,3 +1243,18 @@ def _(spark, d):
     runs.run_stream(source, lambda b: nuc.find_nuc_subs(b, ref), f"{at}/out", f"{at}/ck").awaitTermination()
     return runs.read_in_order(spark, f"{at}/out")
 
+
+STREAM = """SELECT e.seq_index, near.clade, coalesce(s.n,0)::BIGINT n_subs, s.t substitutions, NULL::VARCHAR errors FROM edits e JOIN enear near USING (seq_index) LEFT JOIN (SELECT seq_index, count(*) n, string_agg(ref||(pos+1)||qry, ',' ORDER BY pos) t FROM esubs GROUP BY 1) s USING (seq_index) WHERE e.seq_index%50<>1
+UNION ALL SELECT seq_index, NULL, NULL, NULL, 'sequence is too short: 60' FROM edits WHERE seq_index%50=1"""
+
+
+@query("st2_stream_fasta", "edits esubs enear", STREAM)
+def _(spark, d):
+    """The whole analysis of FASTA files as they come: half of them before a stop, the rest after a new start."""
+    at = folder(spark)
+    for half in range(2):
+        fasta.write_fasta(edited_records(spark, d).where(F.col("seq_index") % 2 == half), f"{at}/in/{half}")
+        source = runs.fasta_stream(spark, f"{at}/in/*")
+        runs.run_fasta_stream(source, whole_analysis(spark, d), f"{at}/out", f"{at}/ck").awaitTermination()
+    out = runs.read_in_order(spark, f"{at}/out")
+    return out.select(F.substr("seq_name", F.lit(2)).cast("long").alias("seq_index"), "clade", "n_subs", "substitutions", "errors")
