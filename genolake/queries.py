@@ -1244,7 +1244,7 @@ def _(spark, d):
     return runs.read_in_order(spark, f"{at}/out")
 
 
-STREAM = """SELECT e.seq_index, near.clade, coalesce(s.n,0)::BIGINT n_subs, s.t substitutions, NULL::VARCHAR errors FROM edits e JOIN enear near USING (seq_index) LEFT JOIN (SELECT seq_index, count(*) n, string_agg(ref||(pos+1)||qry, ',' ORDER BY pos) t FROM esubs GROUP BY 1) s USING (seq_index) WHERE e.seq_index%50<>1
+STREAM = """SELECT e.seq_index, near.clade, coalesce(s.n,0)::VARCHAR n_subs, s.t substitutions, NULL::VARCHAR errors FROM edits e JOIN enear near USING (seq_index) LEFT JOIN (SELECT seq_index, count(*) n, string_agg(ref||(pos+1)||qry, ',' ORDER BY pos) t FROM esubs GROUP BY 1) s USING (seq_index) WHERE e.seq_index%50<>1
 UNION ALL SELECT seq_index, NULL, NULL, NULL, 'sequence is too short: 60' FROM edits WHERE seq_index%50=1"""
 
 
@@ -1257,4 +1257,4 @@ def _(spark, d):
         source = runs.fasta_stream(spark, f"{at}/in/*")
         runs.run_fasta_stream(source, whole_analysis(spark, d), f"{at}/out", f"{at}/ck").awaitTermination()
     out = runs.read_in_order(spark, f"{at}/out")
-    return out.select(F.substr("seq_name", F.lit(2)).cast("long").alias("seq_index"), "clade", "n_subs", "substitutions", "errors")
+    return out.select(F.substr("seq_name", F.lit(2)).cast("long").alias("seq_index"), "clade", F.col("n_subs").cast("string").alias("n_subs"), "substitutions", "errors")
