@@ -219,7 +219,7 @@ def refine_placement(private: DataFrame, nearest: DataFrame, tree_nodes: DataFra
     In each round a sequence compares the score of what its private mutations share with its own branch (reversed) and
     with each child's branch. A child that scores more than the own branch wins, ties by preorder. Else the sequence moves
     to the parent if it reverts the whole own branch (an empty one too). Private mutations are then rewritten for the new
-    node. Lineage is cut after each round.
+    node; one that doesn't follow the branch's letters is an error (validate_tree() finds such branches). Lineage is cut after each round.
     """
     key, site = ["seq_index"], ["cds", "pos", "ref", "qry"]
     muts = branch_muts.select("node_id", *site)
@@ -248,7 +248,8 @@ def refine_placement(private: DataFrame, nearest: DataFrame, tree_nodes: DataFra
         theirs = priv.join(moves.select("seq_index"), "seq_index", "left_semi")
         kept = theirs.join(change, [*key, *site], "left_anti")
         rest = inverted(change.join(theirs, [*key, *site], "left_anti"))
-        rewritten = compose_muts(kept, rest, key).drop("valid")
+        broken = F.raise_error(F.concat(F.lit("mutations don't follow one another at "), "cds", F.lit(":"), F.col("pos") + 1))
+        rewritten = compose_muts(kept, rest, key).withColumn("qry", F.when(F.col("valid"), F.col("qry")).otherwise(broken)).drop("valid")
         priv = cut_lineage(priv.join(moves.select("seq_index"), "seq_index", "left_anti").unionByName(rewritten))
         place = cut_lineage(place.join(moves.select("seq_index", "to"), "seq_index", "left").select("seq_index", F.coalesce("to", "at").alias("at")))
         going = place.join(moves.select("seq_index"), "seq_index", "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from genolake.functions.mutations import mutation_text, parse_mutation
 from genolake.functions.seq import CODES, COMPLEMENTS, codon_table, reverse_complement
-from genolake.operators import aa, align, catalog, detect, muts, nuc, peptides, placement, qc, ranges, results, tree
+from genolake.operators import aa, align, catalog, detect, growth, muts, nuc, peptides, placement, qc, ranges, results, tree
 from genolake.operators.tour import euler_tour, last_on_path
 from genolake.plans import fixtures as fx
 from genolake.plans import run
@@ -546,8 +546,15 @@ def _(spark, d):
 
 def refined(spark, d) -> tuple[SimpleNamespace, DataFrame, DataFrame, DataFrame]:
     t, near = placed(spark, d)
-    p = cut_lineage(privates(spark, d, t, near).drop("reversion"))
-    return t, near, *tree.refine_placement(p, near, t.nodes, t.branch, t.masks)
+    both = []
+
+    def refine(k: int) -> DataFrame:
+        if not both:
+            p = cut_lineage(privates(spark, d, t, near).drop("reversion"))
+            both.extend(tree.refine_placement(p, near, t.nodes, t.branch, t.masks))
+        return both[k]
+
+    return t, near, fx.shared(spark, d, "refined", lambda: refine(0)), fx.shared(spark, d, "refined_private", lambda: refine(1))
 
 
 @query("n14_refine_placement")
@@ -576,6 +583,15 @@ def _(spark, d):
     return out.withColumn("muts", F.try_element_at("muts", F.lit("nuc")))
 
 
+@query("n15_grown_tree")
+def _(spark, d):
+    t, _, place, private = refined(spark, d)
+    nodes, changes = growth.grow_tree(place, private, t.nodes, t.branch, t.masks)
+    text = F.struct("cds", "pos", F.concat("ref", (F.col("pos") + 1).cast("string"), "qry").alias("t"))
+    muts = changes.groupBy("node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(text)), lambda x: x["t"]), ",").alias("muts"))
+    return nodes.join(muts, "node_id", "left").withColumn("div", F.round("div", 6))
+
+
 @query("n16_ladderize", "nodes cl", "SELECT n.node_id, n.parent_id, leaves, row_number() OVER (PARTITION BY n.parent_id ORDER BY leaves, preorder)::INT child_no FROM nodes n JOIN (SELECT ancestor_id node_id, count(*) leaves FROM cl WHERE node_id NOT IN (SELECT parent_id FROM nodes WHERE parent_id IS NOT NULL) GROUP BY 1) USING (node_id)")
 def _(spark, d):
     nodes = fx.nodes(spark, d)
