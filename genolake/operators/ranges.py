@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,17 +21,33 @@ def group_adjacent(points: DataFrame, keys: list[str]) -> DataFrame:
     return islands(points, keys)
 
 
+def with_open_ends(points: DataFrame, kinds: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """(row, open): row holds the columns of a point; open[k] is the farthest end of the ranges of kind k and the point's keys
+    that begin at or before it, null without any. A sweep: points and ranges in one sort by keys and place, the ends carried forward,
+    so a point is not met with each range of its keys. Null keys, places and ends belong to nothing."""
+    place = lambda c: F.col(c).cast("long").alias("_at")
+    tables = [points.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], place("pos"), F.lit(None).cast("string").alias("_kind"), F.lit(None).cast("long").alias("_end"), F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("row"))]
+    for kind, r in kinds.items():
+        known = r.dropna(subset=[*keys, "begin", "end"])
+        tables.append(known.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], place("begin"), F.lit(kind).alias("_kind"), F.col("end").cast("long").alias("_end"), F.lit(None).alias("row")))
+    both = reduce(DataFrame.union, tables)
+    w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_at", F.col("_kind").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.struct(*[F.max(F.when(F.col("_kind") == k, F.col("_end"))).over(w).alias(k) for k in kinds])
+    return both.select("row", "_kind", ends.alias("open")).where("_kind is null").drop("_kind")
+
+
 def in_range(points: DataFrame, ranges: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
     """Points within (left_semi) or outside (left_anti) the ranges of the same keys. With no keys, ranges must be a small
     table (masks): Spark then broadcasts it."""
-    r = ranges.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("begin").alias("_begin"), F.col("end").alias("_end"))
-    on = (F.col("pos") >= F.col("_begin")) & (F.col("pos") < F.col("_end"))
-    for k in keys:
-        on = on & (points[k] == F.col(f"_r_{k}"))
-    return points.join(r, on, how)
+    if keys:
+        within = F.coalesce(F.col("open.r") > F.col("row.pos"), F.lit(False))
+        return with_open_ends(points, {"r": ranges}, keys).where(within if how == "left_semi" else ~within).select("row.*")
+    r = ranges.select(F.col("begin").alias("_begin"), F.col("end").alias("_end"))
+    return points.join(r, (F.col("pos") >= F.col("_begin")) & (F.col("pos") < F.col("_end")), how)
 
 
 def is_sequenced(points: DataFrame, aligned: DataFrame, missing: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Points inside the aligned range of their sequence and in none of its missing ranges."""
-    keys = keys or ["seq_index"]
-    return in_range(in_range(points, aligned, keys), missing, keys, "left_anti")
+    """Points inside the aligned range of their sequence and in none of its missing ranges, in one sweep."""
+    swept = with_open_ends(points, {"aligned": aligned, "missing": missing}, keys or ["seq_index"])
+    at = F.col("row.pos")
+    return swept.where((F.col("open.aligned") > at) & ~F.coalesce(F.col("open.missing") > at, F.lit(False))).select("row.*")
