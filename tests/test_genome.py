@@ -408,6 +408,13 @@ def test_annotation_tree_and_primers(spark, tmp_path):
     assert found["f"][:2] == (2, 5) and found["x_R"][:2] == (4, 7) and found["no"][2]
 
 
+def test_primers_that_fit_at_several_places(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("name,seq,place\na,ACG,\nb,ACG,0\nc,ACG,1\nd,ACG,7\ne_R,CGT,4\nf,ACR,2\ng,GGG,1\nh,ACG,90\n")
+    p = tables.read_primers(spark, str(tmp_path / "p.csv"))
+    found = {r.name: r.begin for r in tables.find_primers(p, "ACGTACGTAC").collect()}
+    assert found == {"a": 0, "b": 0, "c": 4, "d": 0, "e_R": 4, "f": 4, "g": None, "h": 0}
+
+
 def test_tree_and_index_files_of_rows(spark, tmp_path):
     nodes = spark.createDataFrame([(5, None, "root", "a", 0.0, None, {}, 0), (7, 5, "x", "b", 1.5, -2.0, {"region": "r"}, 2), (6, 5, "y", None, 2.0, None, None, 1)], "node_id long, parent_id long, name string, clade string, div double, prior double, attrs map<string,string>, preorder int")
     branch = spark.createDataFrame([(7, "nuc", 22, "A", "T"), (7, "nuc", 3, "C", "-"), (6, "S", 500, "N", "Y")], "node_id long, cds string, pos int, ref string, qry string")
