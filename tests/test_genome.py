@@ -12,6 +12,7 @@ from genolake.operators import aa, align, catalog, detect, muts, nuc, placement,
 from genolake.operators.tour import euler_tour, last_on_path
 from genolake.plans.numbering import numbered
 from genolake.plans.scratch import cut_lineage
+from genolake.queries import QUERIES
 from genolake.sources import fasta, tables
 
 
@@ -415,6 +416,13 @@ def test_primers_that_fit_at_several_places(spark, tmp_path):
     assert found == {"a": 0, "b": 0, "c": 4, "d": 0, "e_R": 4, "f": 4, "g": None, "h": 0}
 
 
+def test_every_part_is_a_primer(spark, tmp_path):
+    spark.createDataFrame([(1,), (41,), (2,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(9, 308, 6.0)], "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["c8_primer_changes"](spark, str(tmp_path))
+    assert rows(got) == [(9, "p1", 8, "A", "G"), (9, "p41", 8, "A", "G")]
+
+
 def test_tree_and_index_files_of_rows(spark, tmp_path):
     nodes = spark.createDataFrame([(5, None, "root", "a", 0.0, None, {}, 0), (7, 5, "x", "b", 1.5, -2.0, {"region": "r"}, 2), (6, 5, "y", None, 2.0, None, None, 1)], "node_id long, parent_id long, name string, clade string, div double, prior double, attrs map<string,string>, preorder int")
     branch = spark.createDataFrame([(7, "nuc", 22, "A", "T"), (7, "nuc", 3, "C", "-"), (6, "S", 500, "N", "Y")], "node_id long, cds string, pos int, ref string, qry string")
