@@ -182,3 +182,19 @@ def test_placement_without_nodes_or_sequences(spark):
     none = nodes.limit(0)
     assert placement.place(t.seqs, t.subs, t.aligned, t.missing, t.dels, none, euler_tour(none), t.states.limit(0), m, 40).count() == 0
     assert placement.place(t.seqs.limit(0), t.subs, t.aligned, t.missing, t.dels, nodes, tour, t.states, m, 40).count() == 0
+
+
+def test_changes_back_in_many_branches_are_not_added_up(spark):
+    # 1 has ten changes, and each of its ten children sets another of them back; a plain sequence is nearest to the root
+    parent = {0: None, 1: 0} | {v: 1 for v in range(10, 20)} | {v + 10: v for v in range(10, 20)}
+    full = {p: "T" for p in range(10)}
+    state = {0: {}, 1: full} | {v: {p: q for p, q in full.items() if p != v % 10} for v in range(10, 30)}
+    t, nodes = tables_of(spark, state, [({}, [], [], None)] * 3 + [({0: "T", 1: "T", 3: "T"}, [(5, 6)], [(8, 9)], None)]), frame(spark, parent, {v: v for v in parent})
+    masks, tour = spark.createDataFrame([], "begin int, end int"), euler_tour(nodes)
+    most = {r.node_id: r.most for r in placement.most_below(tour, spark.createDataFrame([(v, 1) for v in range(10, 20)], "node_id long, n long")).collect()}
+    assert most == {v: int(v < 2) for v in parent}
+    placed = cut_lineage(placement.placed_muts(t.states, masks))
+    ranks = cut_lineage(placement.site_ranks(placed, 40))
+    own = cut_lineage(placement.profiles(t.seqs.where("seq_index < 3"), t.subs.limit(0), t.aligned, t.missing.limit(0), t.dels.limit(0), ranks, masks, 40)[1])
+    found, pairs = placement.search(own, placement.children(nodes, tour, placed, ranks))
+    assert [(r.node_id, r.distance) for r in found.collect()] == [(0, 0)] and pairs() == 4
