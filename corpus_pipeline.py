@@ -25,7 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: five-word shingles with a similarity of 0.8 or more."""
+    """Keeps one document of each group of near duplicates: candidates by SimHash and by bands of minima, verified by five-word
+    shingles with a similarity of 0.8 or more."""
     return simhash.one_of_similar(docs)
 
 

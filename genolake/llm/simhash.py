@@ -1,5 +1,5 @@
-"""Operator 5: SimHash near-duplicates by multi-index hashing. The pipeline's stage keeps one of each similar text instead
-(one_of_similar), by word shingles."""
+"""Operator 5: SimHash near-duplicates by multi-index hashing. The pipeline's stage keeps one of each similar text
+(one_of_similar): its candidates come from SimHash and from bands of minima, and word shingles decide."""
 
 from __future__ import annotations
 
@@ -169,9 +169,14 @@ def similar_links(members: DataFrame, texts: DataFrame, scratch: Scratch) -> Dat
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([jaccard(x, y) >= SIMILAR for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        one, other = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-        return pairs.join(one, "a").join(other, "b").where(similar("text_a", "text_b")).select("a", "b")
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        # texts are the bulk of the table: only those of a pair go through the joins, and they are few
+        pairs = scratch.save(pairs, f"{label}_ids")
+        named = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+        some = scratch.save(texts.join(named, "row", "left_semi"), f"{label}_texts")
+        found = scratch.save(pairs.join(some.toDF("a", "text_a"), "a").join(some.toDF("b", "text_b"), "b").where(similar("text_a", "text_b")).select("a", "b"), label)
+        scratch.drop(f"{label}_texts")
+        return found
 
     def leading(rows: DataFrame, centres: int) -> DataFrame:
         order = Window.partitionBy("key").orderBy("me")
@@ -183,8 +188,9 @@ def similar_links(members: DataFrame, texts: DataFrame, scratch: Scratch) -> Dat
     centres, k = 1, 0
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     rest = scratch.save(members.join(shared, "key"), "shared")
+    texts = scratch.save(texts.join(rest.select(F.col("me.row").alias("row")).distinct(), "row", "left_semi"), "texts")
     lead = rest.join(leading(rest, 1), "key").where(alike).groupBy("me").agg(F.min("c").alias("c"))
-    found = scratch.save(verified(lead.select(F.col("me.row").alias("a"), F.col("c.row").alias("b"))), "leads")
+    found = verified(lead.select(F.col("me.row").alias("a"), F.col("c.row").alias("b")), "leads")
     labels = found.select(F.col("a").alias("_row"), F.col("b").alias("label"))
     labelled = rest.join(labels, F.col("me.row") == F.col("_row"), "left")
     rest = scratch.save(labelled.select("key", "me", "sketch", F.coalesce("label", "me.row").alias("label")), "members0")
@@ -192,7 +198,7 @@ def similar_links(members: DataFrame, texts: DataFrame, scratch: Scratch) -> Dat
         first = leading(rest.withColumnRenamed("label", "c_label"), centres)
         pairs = scratch.save(rest.join(first, "key").where(alike).select("key", "me", "c", (F.col("label") == F.col("c_label")).alias("known")), f"pairs{k}")
         distinct = pairs.where("not known").select(F.col("me.row").alias("a"), F.col("c.row").alias("b")).distinct()
-        links = scratch.save(verified(distinct), f"links{k}")
+        links = verified(distinct, f"links{k}")
         found = found.union(links)
         linked = pairs.where("not known").join(links, (F.col("me.row") == links.a) & (F.col("c.row") == links.b), "left_semi").select("key", "me")
         gone = pairs.where("known").select("key", "me").union(linked).union(first.select("key", F.col("c").alias("me"))).distinct()
@@ -203,30 +209,40 @@ def similar_links(members: DataFrame, texts: DataFrame, scratch: Scratch) -> Dat
     return found
 
 
+def fingerprint_keys(hashed: DataFrame) -> DataFrame:
+    """hashed(fp, ..) with a column key, equal for rows whose fingerprints near_duplicates() links."""
+    scratch = Scratch(hashed.sparkSession, "fingerprints")
+    return hashed.join(groups(hashed, scratch), "fp").withColumn("key", F.xxhash64(F.lit("fp"), "root"))
+
+
 def one_of_similar(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more: the one
     with the least doc_id (null ids last, then the first written of equal ones). All columns stay.
 
-    Equal normalised texts are collapsed first. Candidates share one of 20 bands of minima and are verified on all their
-    shingles. Every dropped row is linked to a kept one, over others at most; kept rows that share a band are not similar.
+    Equal normalised texts are collapsed first. Candidates are the groups of SimHash fingerprints that near_duplicates() links, and
+    texts that share one of 20 bands of minima, as fingerprints of similar texts mostly differ in more than two bits. All
+    are verified on all their shingles. Every dropped row is linked to a kept one, over others at most; kept rows that share
+    a band or a group of fingerprints are not similar.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     mark, row = free_name(docs, "mark"), free_name(docs, "row")
-    kind = StructType([StructField("digest", BinaryType()), StructField("keys", ArrayType(LongType())), StructField("sketch", ArrayType(ByteType()))])
+    kind = StructType([StructField("digest", BinaryType()), StructField("fp", LongType()), StructField("keys", ArrayType(LongType())), StructField("sketch", ArrayType(ByteType()))])
 
     def make():
         def compute(texts):
             found = [shingles(t.encode() if t else None) for t in texts]
             digests = pa.array([xxhash.xxh3_128_digest(joined) for joined, _ in found], pa.binary())
+            fps = pa.array(np.array([fingerprint(joined) for joined, _ in found], np.uint64).view(np.int64))
             keys, sketches = zip(*(band_keys(h) for _, h in found), strict=True)
-            return pa.StructArray.from_arrays([digests, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int8()))], ["digest", "keys", "sketch"])
+            return pa.StructArray.from_arrays([digests, fps, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int8()))], ["digest", "fp", "keys", "sketch"])
 
         return compute
 
     hashed = scratch.save(with_result(docs, mark, kind, make).withColumn(row, F.monotonically_increasing_id()), "hashed")
     me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("row"))
     nodes = scratch.save(hashed.select(F.col(f"{mark}.digest").alias("digest"), me.alias("me")).groupBy("digest").agg(F.min("me").alias("me")).select("me"), "nodes")
-    keys = hashed.select(F.col(row).alias("_row"), F.col(f"{mark}.sketch").alias("sketch"), F.explode(f"{mark}.keys").alias("key"))
+    about = hashed.select(F.col(row).alias("_row"), F.col(f"{mark}.sketch").alias("sketch"), F.col(f"{mark}.fp").alias("fp"), F.col(f"{mark}.keys").alias("keys"))
+    keys = about.select("_row", "sketch", F.explode("keys").alias("key")).union(fingerprint_keys(about).select("_row", "sketch", "key"))
     members = keys.join(nodes, keys._row == F.col("me.row")).select("key", "me", "sketch")
     links = similar_links(members, hashed.select(F.col(row).alias("row"), "text"), scratch)
     roots = components(docs.sparkSession, links, scratch)

@@ -438,6 +438,13 @@ def test_dedup_stage_drops_edited_copies(spark):
     assert left == sorted(set(root)) and len(texts) - len(left) > 30
 
 
+def test_dedup_stage_takes_candidates_from_simhash(spark):
+    fps = [5, 7, 6, 5, 1 << 40, -1, -4, (1 << 40) + 1023]
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "i int, fp long")
+    key = {r.i: r.key for r in simhash.fingerprint_keys(rows).collect()}
+    assert len(key) == 8 and key[0] == key[1] == key[2] == key[3] and key[5] == key[6] and len(set(key.values())) == 4
+
+
 def test_similarity_of_shingles():
     assert simhash.jaccard("a b c d e f", "A  b c d e f\n") == 1 and simhash.jaccard("a b c d e f", "a b c d e g") == 1 / 3
     assert simhash.jaccard(None, "") == 1 and simhash.jaccard("a b", "a c") == 0
