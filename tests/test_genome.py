@@ -437,3 +437,53 @@ def test_tree_and_index_files_of_rows(spark, tmp_path):
     tables.write_index(spark.createDataFrame([(9, 0), (9, 1), (4, 0)], "hash long, ref_id long"), refs, 17, 99, f"{tmp_path}/index")
     found, r, params = tables.read_index(spark, f"{tmp_path}/index")
     assert sorted(map(tuple, found.collect())) == [(4, 0), (9, 0), (9, 1)] and sorted(map(tuple, r.collect())) == [(0, "a", 30, 2), (1, "b", 40, 1)] and tuple(params.first()) == (17, 99)
+
+
+def test_band_holds_both_diagonals_where_letters_are_put_in_between_two_seeds():
+    rnd = random.Random(8)
+    r = "".join(rnd.choice("ACGT") for _ in range(128))
+    q = r[:61] + "".join(rnd.choice("ACGT") for _ in range(40)) + r[61:]
+    ((a, b, score, errors),) = align.aligned_batch([(q, [(0, 61, 0), (101, 168, -40)])], r, np.full(128, 6), extra=5)
+    assert score == score_of(a, b, np.full(128, 6)) >= 3 * 128 - 6 and errors is None
+
+
+def test_cells_by_diagonal_move_along_with_the_band():
+    """Sequences that drift far from one diagonal, begin late or end early, beside each other; rows of a score are few."""
+    rnd = random.Random(9)
+    r, jobs = "".join(rnd.choice("ACGT") for _ in range(700)), []
+    for cuts in ([(100, 160), (300, 360), (500, 560)], [(0, 350)], [(300, 700)], [(0, 129), (400, 480)], []):
+        q, at, spans = "", 0, []
+        for begin, end in [*cuts, (700, 700)]:
+            spans += [(len(q), len(q) + begin - at, at - len(q))] if begin > at else []
+            q, at = q + r[at:begin], end
+        jobs.append((q, spans))
+    rows = align.Rows([q for q, _ in jobs], r, np.full(700, 6), [align.band(s, len(q), 700, 3) for q, s in jobs])
+    assert rows.width < 150  # all diagonals of the first two would be 350
+    for (q, _), (a, b, score, _) in zip(jobs, align.aligned_batch(jobs, r, np.full(700, 6), extra=3), strict=True):
+        ((_, _, best, _),) = align.aligned_batch([(q, [])], r, np.full(700, 6))
+        assert score == best and a.replace("-", "") == q and b == r
+
+
+def test_few_small_sequences_are_spread_over_all_tasks(spark):
+    rnd = random.Random(4)
+    ref = "".join(rnd.choice("ACGT") for _ in range(400))
+    s = spark.createDataFrame([(k, ref[k:]) for k in range(40)], "seq_index long, seq string").coalesce(1)
+    one = spark.createDataFrame([(0, ref)], "seq_index long, seq string")
+    used = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    assert used(align.seed_hits(s, one)) == 4
+    assert used(align.align_to_reference(cut_lineage(align.oriented(s, one, 400).coalesce(1)), ref, [6] * 400)) == 4
+
+
+def test_skip_kmers_are_those_of_plain_python(spark):
+    rnd = random.Random(6)
+    texts = ["", "ACGT", "".join(rnd.choice("ACGTN") if k % 50 == 0 else rnd.choice("ACGT") for k in range(3000)), "é" + "ACGTTGCA" * 30 + "漢" + "TTGCAACG" * 9, None]
+    s = spark.createDataFrame(list(enumerate(texts)), "seq_index long, seq string")
+    for k, distance in ((15, 30), (5, 1), (4, 2)):
+        span = k + (k - 1) // 2
+        want = []
+        for no, t in enumerate(texts):
+            for p in range(len(t or "") - span + 1):
+                kmer = "".join(t[p + x] for x in range(span) if x % 3 != 2)
+                if p % distance < min(3, distance) and not set(kmer) - set("ACGT"):
+                    want.append((no, p, kmer))
+        assert rows(align.skip_kmers(s, k, distance)) == sorted(want)
