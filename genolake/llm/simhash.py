@@ -186,8 +186,7 @@ def similar_links(members: DataFrame, texts: DataFrame, scratch: Scratch) -> Dat
     alike = (F.col("me") > F.col("c")) & (equal >= ALIKE)
 
     centres, k = 1, 0
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rest = scratch.save(members.join(shared, "key"), "shared")
+    rest = scratch.save(members, "shared")
     texts = scratch.save(texts.join(rest.select(F.col("me.row").alias("row")).distinct(), "row", "left_semi"), "texts")
     lead = rest.join(leading(rest, 1), "key").where(alike).groupBy("me").agg(F.min("c").alias("c"))
     found = verified(lead.select(F.col("me.row").alias("a"), F.col("c.row").alias("b")), "leads")
@@ -241,9 +240,14 @@ def one_of_similar(docs: DataFrame) -> DataFrame:
     hashed = scratch.save(with_result(docs, mark, kind, make).withColumn(row, F.monotonically_increasing_id()), "hashed")
     me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("row"))
     nodes = scratch.save(hashed.select(F.col(f"{mark}.digest").alias("digest"), me.alias("me")).groupBy("digest").agg(F.min("me").alias("me")).select("me"), "nodes")
-    about = hashed.select(F.col(row).alias("_row"), F.col(f"{mark}.sketch").alias("sketch"), F.col(f"{mark}.fp").alias("fp"), F.col(f"{mark}.keys").alias("keys"))
-    keys = about.select("_row", "sketch", F.explode("keys").alias("key")).union(fingerprint_keys(about).select("_row", "sketch", "key"))
-    members = keys.join(nodes, keys._row == F.col("me.row")).select("key", "me", "sketch")
+    # 21 keys a text are shuffled by row and key alone; order and sketch go with the rows whose key another row has
+    about = hashed.join(nodes.select(F.col("me.row").alias(row)), row, "left_semi")
+    about = scratch.save(about.select(F.col(row).alias("row"), F.col(f"{mark}.fp").alias("fp"), F.col(f"{mark}.keys").alias("keys")), "about")
+    keys = scratch.save(about.select("row", F.explode("keys").alias("key")).union(fingerprint_keys(about.select("row", "fp")).select("row", "key")), "keys")
+    common = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = scratch.save(keys.join(common, "key", "left_semi"), "shared_keys")
+    sketches = hashed.select(F.col(row).alias("row"), me.alias("me"), F.col(f"{mark}.sketch").alias("sketch")).join(shared.select("row").distinct(), "row", "left_semi")
+    members = shared.join(sketches, "row").select("key", "me", "sketch")
     links = similar_links(members, hashed.select(F.col(row).alias("row"), "text"), scratch)
     roots = components(docs.sparkSession, links, scratch)
     best = nodes.join(roots, F.col("me.row") == roots.node, "left").groupBy(F.coalesce("root", "me.row").alias("root")).agg(F.min("me").alias("me"))

@@ -445,6 +445,14 @@ def test_dedup_stage_takes_candidates_from_simhash(spark):
     assert len(key) == 8 and key[0] == key[1] == key[2] == key[3] and key[5] == key[6] and len(set(key.values())) == 4
 
 
+def test_dedup_stage_shuffles_sketches_of_texts_with_a_common_key_only(spark, monkeypatch):
+    seen, links = [], simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda members, *a: seen.append(members.select("me.doc_id").distinct().collect()) or links(members, *a))
+    texts = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(12)]
+    kept = simhash.one_of_similar(docs(spark, [*texts, texts[3] + " more"])).collect()
+    assert len(kept) == 12 and sorted(r.doc_id for r in seen[0]) == [3, 12]
+
+
 def test_similarity_of_shingles():
     assert simhash.jaccard("a b c d e f", "A  b c d e f\n") == 1 and simhash.jaccard("a b c d e f", "a b c d e g") == 1 / 3
     assert simhash.jaccard(None, "") == 1 and simhash.jaccard("a b", "a c") == 0
