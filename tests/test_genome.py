@@ -71,6 +71,31 @@ def test_placement_distance(spark, subs, node, missing, aligned, masks, want):
     assert [(r.node_id, r.distance) for r in near] == [(7, want)]
 
 
+def test_placement_distances_in_groups(spark, monkeypatch):
+    """Several groups of sequences and of nodes, overlapping holes and repeated rows give what plain sets give."""
+    monkeypatch.setattr(tree, "PROFILES", 7)
+    monkeypatch.setattr(tree, "NODES", 4)
+    rng = random.Random(3)
+    subs = {(s, p): rng.choice("ACGT") for s in range(20) for p in rng.sample(range(60), 5)}
+    node = {(n, p): rng.choice("ACGT-") for n in range(11) for p in rng.sample(range(60), rng.choice([1, 3, 9]))}
+    holes = [(s, b, b + rng.randrange(1, 12)) for s in range(3, 24) for b in rng.sample(range(50), 2)]
+    spans = [(s, None, None) if s == 5 else (s, s % 4, 60 - s % 3) for s in range(22)]
+    r = lambda x: spark.createDataFrame(x, "seq_index long, begin int, end int")
+    s, n = (spark.createDataFrame([(i, "nuc", p, q) for (i, p), q in x.items()], f"{name} long, cds string, pos int, qry string") for x, name in ((subs, "seq_index"), (node, "node_id")))
+    masks = [(10, 14)]
+    got = tree.placement_distance(s, r(spans), r(holes[::2]), r(holes[1::2]), n, spark.createDataFrame(masks, "begin int, end int"), 60)
+    unknown = {(s, p) for s, b, e in holes for p in range(b, e)} | {(s, p) for s, b, e in spans for p in range(60) if b is None or p < b or p >= e}
+    seen = lambda x: {k: q for k, q in x.items() if not 10 <= k[1] < 14}
+    subs, node, want = seen(subs), {k: q for k, q in seen(node).items() if q != "-"}, []
+    for i in range(24):
+        for k in range(11):
+            own, its = ({p: q for (j, p), q in x.items() if j == of} for x, of in ((subs, i), (node, k)))
+            less = sum((p in own) + (own.get(p) == q) + ((i, p) in unknown) for p, q in its.items())
+            if less:
+                want.append((i, k, len(own) + len(its) - less))
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_sequence_functions(spark):
     df = spark.createDataFrame([("--AC-G-",), ("-",), ("---",), ("ACG",), ("",)], "s string")
     got = [tuple(r[0]) for r in df.select(gap_counts(F.col("s"))).collect()]
