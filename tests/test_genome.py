@@ -118,6 +118,26 @@ def test_insertions_and_calls(spark):
     assert sorted(map(tuple, nuc.alignment_range(x).collect()), key=str) == [(1, 1, 7), (2, None, None)]
 
 
+def test_calls_in_one_pass_are_those_of_each_step(spark):
+    rng = random.Random(5)
+    ref = "".join(rng.choice("ACGT") for _ in range(70))
+    pairs = [("-" * 70, ref), ("NN" + ref[2:], ref), ("é" + ref[1:], ref), (ref[:9] + "-A-" + ref[9:], ref[:9] + "---" + ref[9:]), ("AC" + ref, "--" + ref)]
+    for _ in range(20):
+        r = "".join(c + "-" * rng.choice([0, 0, 0, 2]) for c in ref)
+        pairs.append(("".join(rng.choice("ACGTNR-----") for _ in r), r))
+    a = spark.createDataFrame([(k, *x) for k, x in enumerate(pairs)], "seq_index long, qry_aln string, ref_aln string")
+    one, (aligned, insertions) = nuc.calls(a, ref), nuc.strip_insertions(a)
+    listed = lambda c: rows(one.select("seq_index", F.inline(c)))
+    assert rows(one.select("seq_index", "aln")) == rows(aligned) and listed("insertions") == rows(insertions)
+    assert listed("subs") == rows(nuc.find_nuc_subs(aligned, ref)) and listed("dels") == rows(nuc.find_nuc_dels(aligned))
+    assert listed("missing") == rows(ranges.islands(nuc.points(aligned, "N"), ["seq_index"])) and listed("unknown") == rows(ranges.islands(nuc.points(aligned, "[^ACGT-]"), ["seq_index"]))
+    assert sorted(map(tuple, one.select("seq_index", "begin", "end").collect()), key=str) == sorted(map(tuple, nuc.alignment_range(aligned).collect()), key=str)
+    want = ["".join(q for q, r in zip(*x, strict=True) if r != "-") for x in pairs]
+    assert [r.aln for r in aligned.orderBy("seq_index").collect()] == want
+    assert rows(nuc.find_nuc_subs(aligned, ref)) == [(k, p, r, q) for k, t in enumerate(want) for p, (r, q) in enumerate(zip(ref, t, strict=True)) if q in "ACGT" and q != r]
+    assert "Window" not in one._jdf.queryExecution().toString() and "Exchange" not in one._jdf.queryExecution().toString()
+
+
 def plain_frame_shifts(size, runs):
     out, frame, open_at = [], 0, None
     for begin, end, shift in runs:
