@@ -163,3 +163,24 @@ def test_growing_without_sequences_and_with_a_hot_place(spark):
     got, _ = growth.grow_tree(many, theirs, nodes, muts, masks)
     by = {r["parent_id"]: r["count"] for r in got.groupBy("parent_id").count().collect()}
     assert by == {None: 1, "0": 1, "inner_0_0": 2 + 2_000, "inner_1_0": 1_000}
+
+
+@pytest.mark.parametrize(("most", "letters"), [(40, 1 << 23), (40, 80), (1, 1)])
+def test_places_too_large_for_one_step_are_shared_out(spark, monkeypatch, most, letters):
+    parent, state, branch, place, seqs = random_case(4, 3, 90)
+    nodes, muts, near, private, masks = tables(spark, parent, branch, place, {i: diff(state[place[i]], s) for i, s in seqs.items()})
+    want = {v: (p, kind, round(div, 6), c) for v, (p, kind, div, c, _) in grown(parent, state, branch, place, seqs).items()}
+    monkeypatch.setattr(growth, "MOST", most)
+    monkeypatch.setattr(growth, "LETTERS", letters)
+    got = growth.grow_tree(near, private, nodes, muts, masks)[0].collect()
+    assert {r.node_id: (r.parent_id, r.kind, round(r.div, 6), r.clade) for r in got} == want
+
+
+def test_tables_written_do_not_follow_the_depth(spark, monkeypatch):
+    """Each sequence has the changes of the one before and one more, so each inner node hangs below another."""
+    parent, branch, n = {0: None, 1: 0}, {1: {("nuc", 5, "A", "C")}}, 12
+    nodes, muts, near, private, masks = tables(spark, parent, branch, dict.fromkeys(range(n), 1), {i: {("nuc", 6 + k, "A", "G") for k in range(i + 1)} for i in range(n)})
+    written, write = [], growth.cut_lineage
+    monkeypatch.setattr(growth, "cut_lineage", lambda df: written.append(df) or write(df))
+    got = growth.grow_tree(near, private, nodes, muts, masks)[0].where("kind = 'inner'").collect()
+    assert {r.node_id for r in got} == {"inner_0_0", *[f"inner_{k}_{k - 1}" for k in range(1, n)]} and len(written) < n
