@@ -19,7 +19,7 @@ print("rows", len(driver.queries()[name](spark, folder).collect()))
 """
 
 
-@pytest.mark.parametrize(("name", "rows"), [("t10_cds_coverage", 5)])
+@pytest.mark.parametrize(("name", "rows"), [("t10_cds_coverage", 5), ("t8_group_aa_changes", 1)])
 def test_first_query_of_a_session(tmp_path, name, rows):
     texts = ["a" * 40 + "k" + "a" * 300, "a" * 70]  # the second ends before the last gene
     rows_of = {"doc_id": pa.array([1, 2], pa.int64()), "text": texts, "lang": ["en"] * 2, "source": ["web"] * 2, "n_chars": pa.array([341, 70], pa.int64())}
